@@ -6,13 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, mixing, quality_classifier, quality_rules, secret_scan, simhash, url_filter
+from quern.llm import (
+    decontaminate,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op1_sharding(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op2_line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op3_license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op4_secret_scan(table(spark, sf_dir, "documents"))
 
@@ -42,6 +65,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
@@ -52,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_OP2,
     "op6_mixing": mixing.ORACLE_OP6,
     "op8_decontaminate": decontaminate.ORACLE_OP8,
     "op9_url_filter": url_filter.oracle_op9(),
