@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import intents, quality, relational  # noqa: F401
+from quern.plans import cleaning, intents, quality, relational  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
