@@ -55,7 +55,7 @@ def decode_head(data: bytes) -> tuple[str, str]:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace"), name
-    for cut in range(4):  # the head may end within a character
+    for cut in range(4 if len(data) >= HEAD_BYTES else 1):  # a full head may end within a character
         try:
             return data[: len(data) - cut].decode("utf-8"), "utf-8"
         except UnicodeDecodeError:
