@@ -125,7 +125,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: in
 
 
 def row_names(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("did", F.coalesce("doc_id", F.lit(0))).withColumn("key", row_key("doc_id", "text"))
+    """(did, key, doc_id, text): what matches name the rows by."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("did"), row_key("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -151,8 +152,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any occurrence of a window, in the input's columns."""
-    hit = stored(phrase_matches(docs, items, window).select("did", "key").distinct(), "hit")
-    return row_names(docs).join(hit, ["did", "key"], "left_anti").select(*docs.columns)
+    hit = stored(phrase_matches(docs, items, window).select(F.col("did").alias("__q_did"), F.col("key").alias("__q_key")).distinct(), "hit")
+    named = docs.withColumns({"__q_did": F.coalesce("doc_id", F.lit(0)), "__q_key": row_key("doc_id", "text")})
+    return named.join(hit, ["__q_did", "__q_key"], "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def repeats(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(did, key, removed): the spans to remove of each document that has any, in order."""
     # Ids first, rows without one after all others; the text's hash orders what shares an id.
     rank = {"none": F.col("doc_id").isNull(), "did": F.coalesce("doc_id", F.lit(0)), "key": row_key("doc_id", "text")}
-    units = docs.withColumns(rank).select(*rank, F.explode(line_units("text", min_words)).alias("u"))
+    units = docs.select("doc_id", "text").withColumns(rank).select(*rank, F.explode(line_units("text", min_words)).alias("u"))
     units = stored(units.select(*rank, "u.*"), "line-units")
     place = F.struct("none", "did", "key", "pos")
     firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -88,13 +88,13 @@ def cut(text: Column, removed: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """The input with repeated lines cut from ``text``, and ``removed``: the original offsets of each."""
-    named = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(0)), "_key": row_key("doc_id", "text")})
-    spans = stored(repeats(docs, min_words), "line-spans")
-    joined = named.join(spans, (F.col("_did") == F.col("did")) & (F.col("_key") == F.col("key")), "left")
+    named = docs.withColumns({"__q_did": F.coalesce("doc_id", F.lit(0)), "__q_key": row_key("doc_id", "text")})
+    spans = stored(repeats(docs, min_words).toDF("__q_did", "__q_key", "__q_spans"), "line-spans")
+    joined = named.join(spans, ["__q_did", "__q_key"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    result = joined.withColumn("_removed", F.coalesce("removed", none))
-    kept = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.size("_removed") > 0, cut(F.col("text"), F.col("_removed"))).otherwise(F.col("text"))}
-    return result.select(*[c.alias(n) for n, c in kept.items()], F.col("_removed").alias("removed_spans"))
+    gone = F.coalesce("__q_spans", none)
+    text = F.when(F.size(gone) > 0, cut(F.col("text"), gone)).otherwise(F.col("text"))
+    return joined.withColumns({"text": text, "removed_spans": gone}).select(*docs.columns, "removed_spans")
 
 
 def op2_line_dedup(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ Defined results: a null source counts as the source of empty name; null and
 empty texts have no tokens: they take no budget and come along where they fall;
 a source without tokens has weight 0 and is left out; rows of one id are ordered
 by their text, repeated rows are used as often as they are there; null ids are
-one id; an empty table gives an empty mix. Other columns are carried along.
+one id; an empty table gives an empty mix. Other columns are carried along, but
+those that are named like an added one.
 """
 
 from __future__ import annotations
@@ -81,9 +82,10 @@ def mixed(
 ) -> DataFrame:
     """The input's rows once for each copy in the mix, with n_tokens, epoch, block and place."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    marked = docs.withColumns({"_source": source_name(), "_tokens": token_count(), "_order": order}).withColumn("_bucket", F.substring("_order", 1, 3))
-    buckets = stored(marked.groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("tokens")), "mix-buckets")
-    sources = stored(buckets.groupBy("_source").agg(F.sum("tokens").alias("total")).where("total > 0"), "mix-sources")
+    marked = docs.withColumns({"__q_source": source_name(), "__q_tokens": token_count(), "__q_order": order}).withColumn("__q_bucket", F.substring("__q_order", 1, 3))
+    buckets = marked.groupBy(F.col("__q_source").alias("s"), F.col("__q_bucket").alias("b")).agg(F.sum("__q_tokens").alias("tokens"))
+    buckets = stored(buckets, "mix-buckets")
+    sources = stored(buckets.groupBy("s").agg(F.sum("tokens").alias("total")).where("total > 0"), "mix-sources")
     corpus = sources.agg(F.sum("total")).first()[0]
     if not corpus:
         nothing = {"n_tokens": F.lit(0).cast("long"), "epoch": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "place": F.lit("")}
@@ -93,22 +95,23 @@ def mixed(
     a = exponent(shares, target_entropy, repetition_limit, None if budget is None else budget / corpus)
     z, most = shares.agg(F.sum(F.pow("p", F.lit(a))), F.max(F.pow("p", F.lit(1 - a)))).first()
     whole = float(budget) if budget is not None else corpus * z * most
-    plan = shares.select(F.col("_source").alias("s"), "total", F.round(F.pow("p", F.lit(a)) / F.lit(z) * F.lit(whole)).cast("long").alias("budget"))
-    before = F.sum("tokens").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = buckets.withColumn("start", F.coalesce(before, F.lit(0))).join(plan, F.col("_source") == F.col("s"))
-    starts = stored(starts.select("s", F.col("_bucket").alias("b"), "start", "total", "budget"), "mix-starts")
-
-    ties = ["_order", "doc_id", "text"]
-    within = F.sum("_tokens").over(Window.partitionBy("_source", "_bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1))
-    placed = marked.withColumn("_within", F.coalesce(within, F.lit(0))).join(starts, (F.col("_source") == F.col("s")) & (F.col("_bucket") == F.col("b")))
-    at = F.col("start") + F.col("_within")
-    copies = F.expr("greatest(budget - (start + _within) + total - 1, 0L) div total")
+    plan = shares.select("s", "total", F.round(F.pow("p", F.lit(a)) / F.lit(z) * F.lit(whole)).cast("long").alias("budget"))
+    before = F.sum("tokens").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = buckets.withColumn("start", F.coalesce(before, F.lit(0))).join(plan, "s")
+    starts = starts.select(F.col("s").alias("__q_source"), F.col("b").alias("__q_bucket"), *[F.col(c).alias(f"__q_{c}") for c in ("start", "total", "budget")])
+    starts = stored(starts, "mix-starts")
+
+    within = F.sum("__q_tokens").over(Window.partitionBy("__q_source", "__q_bucket").orderBy("__q_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    placed = marked.withColumn("__q_within", F.coalesce(within, F.lit(0))).join(starts, ["__q_source", "__q_bucket"])
+    placed = placed.withColumn("__q_at", F.col("__q_start") + F.col("__q_within"))
+    copies = F.expr("greatest(__q_budget - __q_at + __q_total - 1, 0L) div __q_total")
     n_blocks = max(1, math.ceil(whole / block_tokens))
-    read = placed.withColumn("_at", at).where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    share = (F.col("epoch") * F.col("total") + F.col("_at")).cast("double") / F.col("budget").cast("double")
+    read = placed.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    share = (F.col("epoch") * F.col("__q_total") + F.col("__q_at")).cast("double") / F.col("__q_budget").cast("double")
     block = F.least(F.floor(share * F.lit(float(n_blocks))), F.lit(n_blocks - 1)).cast("long")
-    read = read.withColumn("block", block).withColumn("place", F.md5(F.concat_ws(":", "_order", "epoch", "block")))
-    return read.withColumnRenamed("_tokens", "n_tokens").select(*docs.columns, "n_tokens", "epoch", "block", "place")
+    read = read.withColumn("block", block).withColumns({"place": F.md5(F.concat_ws(":", "__q_order", "epoch", "block")), "n_tokens": F.col("__q_tokens")})
+    added = ["n_tokens", "epoch", "block", "place"]
+    return read.select(*[c for c in docs.columns if c not in added], *added)
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:

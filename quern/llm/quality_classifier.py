@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 2
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The input with ``score``; one pass, no shuffle."""
-    return docs.withColumn("_s", text_stats("text")).withColumn("score", model.score("_s")).drop("_s")
+    return docs.withColumn("__q_s", text_stats("text")).withColumn("score", model.score("__q_s")).drop("__q_s")
 
 
 def held_out() -> Column:
@@ -179,7 +179,7 @@ def held_out() -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't rejected, in the input's columns."""
     model = fit(docs, labels.where(~held_out()))
-    return docs.withColumn("_s", text_stats("text")).where(model.score("_s") >= threshold).select(*docs.columns)
+    return docs.withColumn("__q_s", text_stats("text")).where(model.score("__q_s") >= threshold).select(*docs.columns)
 
 
 def op5_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ ratio of ``RATIOS`` may reject from some cutoff on, and the cutoff is not chosen
 by hand: labelled good documents are the holdout, and of a fixed grid of cutoffs
 per stratum the tightest is taken whose false rejection rate is at most
 ``risk`` by an exact binomial test (the one behind Clopper-Pearson bounds).
-Every (stratum, ratio, cutoff) is one test; the level ``delta`` is divided by
-their number (Bonferroni), and ``risk`` is divided among the ratios, so that
-with probability 1 - delta no stratum loses more than ``risk`` of its good
-documents to all ratios together. A stratum with too few labelled documents for
+A grid is tested from loose to tight and stops at the first cutoff that isn't
+proven (a fixed sequence, which spends the level once); the level ``delta`` is
+divided by the number of such sequences, strata times ratios (Bonferroni), and
+``risk`` is divided among the ratios, so that with probability 1 - delta no
+stratum loses more than ``risk`` of its good documents to all ratios together. A stratum with too few labelled documents for
 any cutoff to pass gets no cutoff: nothing is rejected there on the method's
 account.
 
@@ -137,19 +138,18 @@ def cutoffs(holdout: DataFrame, risk: float, delta: float) -> DataFrame:
     counted = holdout.select("stratum", F.explode(F.array(*parts)).alias("f")).groupBy("stratum", "f.ratio", "f.first").agg(F.count("*").alias("k"))
     by_stratum = counted.groupBy("stratum", "ratio").agg(F.collect_list(F.struct("first", "k")).alias("at"))  # at most one entry for each cutoff of the grid
 
-    tests = sum(len(grid) for _, grid in RATIOS.values())
     share = risk / len(RATIOS)
 
     @F.arrow_udf("double")
     def tightest(ratio: pa.Array, at: pa.Array, n: pa.Array, n_strata: pa.Array) -> pa.Array:
         out = []
         for name, counts, size, strata_count in zip(ratio.to_pylist(), at.to_pylist(), n.to_pylist(), n_strata.to_pylist(), strict=True):
-            level, failed, best = delta / (tests * strata_count), 0, None
+            level, failed, best = delta / (len(RATIOS) * strata_count), 0, None
             by_first = {x["first"]: x["k"] for x in counts}
             for i, cutoff in enumerate(RATIOS[name][1]):
                 failed += by_first.get(i, 0)
                 if binomial_tail(failed, size, share) > level:
-                    break  # tighter cutoffs reject more
+                    break  # the sequence ends here: tighter cutoffs aren't tested
                 best = cutoff
             out.append(best)
         return pa.array(out, pa.float64())
