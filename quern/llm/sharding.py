@@ -110,26 +110,23 @@ class ShardStore:
     def tier(self) -> Column:
         return F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / self.least_bytes) / math.log(self.fanout))).cast("int")
 
-    def due(self, version: int) -> dict[int, list[str]]:
-        """The tiers to merge: their shards' paths in order."""
-        small = self.manifest(version).where(F.col("bytes") < self.target_bytes * 3 // 4).withColumn("tier", self.tier())
-        full = small.groupBy("tier").agg(F.count("*").alias("runs")).where(F.col("runs") >= self.fanout)
-        tiers: dict[int, list[str]] = {}
-        for r in small.join(F.broadcast(full), "tier").orderBy("tier", "path").select("tier", "path").collect():  # a few hundred bytes for each small file
-            tiers.setdefault(r["tier"], []).append(r["path"])
-        return tiers
+    def small(self) -> Column:
+        return F.col("bytes") < self.target_bytes * 3 // 4
+
+    def due(self, version: int) -> list[int]:
+        """The tiers that hold enough runs to merge, lowest first; there are as many as powers of the fanout up to the target."""
+        tiers = self.manifest(version).where(self.small()).groupBy(self.tier().alias("tier")).agg(F.count("*").alias("runs"))
+        return sorted(r["tier"] for r in tiers.where(F.col("runs") >= self.fanout).collect())
 
     def compact(self) -> int:
         """Merge full tiers, lowest first, until none is left; each merge is one commit."""
         while due := self.due(version := self.version()):
-            _, paths = min(due.items())
             live = self.manifest(version)
-            chosen = live.join(F.broadcast(self.spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_semi")
-            total, oldest = chosen.agg(F.sum("bytes"), F.max("generation")).first()
-            files = max(1, round(total / self.target_bytes))
-            merged = self._write(self.spark.read.parquet(*paths).coalesce(files), oldest + 1)
-            rest = live.join(F.broadcast(self.spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_anti")
-            self._commit(rest.select("path", "bytes", "rows", "generation").union(merged), version + 1)
+            chosen = self.small() & (self.tier() == due[0])
+            total, oldest = live.where(chosen).agg(F.sum("bytes"), F.max("generation")).first()
+            paths = [r["path"] for r in live.where(chosen).select("path").orderBy("path").collect()]  # file names, as Spark lists them to read them
+            merged = self._write(self.spark.read.parquet(*paths).coalesce(max(1, round(total / self.target_bytes))), oldest + 1)
+            self._commit(live.where(~chosen).union(merged), version + 1)
         return self.version()
 
     def vacuum(self) -> int:
