@@ -21,7 +21,7 @@ one row for each source. Built-in functions only.
 Defined results: a null source counts as the source of empty name; null and
 empty texts have no tokens: they take no budget and come along where they fall;
 a source without tokens has weight 0 and is left out; rows of one id are ordered
-by their text, repeated rows are used as often as they are there; null ids are
+by a hash of their text, repeated rows are used as often as they are there; null ids are
 one id; an empty table gives an empty mix. Other columns are carried along, but
 those that are named like an added one.
 """
@@ -99,9 +99,9 @@ def mixed(
     before = F.sum("tokens").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     starts = buckets.withColumn("start", F.coalesce(before, F.lit(0))).join(plan, "s")
     starts = starts.select(F.col("s").alias("__q_source"), F.col("b").alias("__q_bucket"), *[F.col(c).alias(f"__q_{c}") for c in ("start", "total", "budget")])
-    starts = stored(starts, "mix-starts")
+    starts = stored(starts, "mix-starts").hint("merge")  # the rows lie by source and bucket already
 
-    within = F.sum("__q_tokens").over(Window.partitionBy("__q_source", "__q_bucket").orderBy("__q_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("__q_tokens").over(Window.partitionBy("__q_source", "__q_bucket").orderBy("__q_order", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
     placed = marked.withColumn("__q_within", F.coalesce(within, F.lit(0))).join(starts, ["__q_source", "__q_bucket"])
     placed = placed.withColumn("__q_at", F.col("__q_start") + F.col("__q_within"))
     copies = F.expr("greatest(__q_budget - __q_at + __q_total - 1, 0L) div __q_total")
