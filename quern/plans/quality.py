@@ -24,10 +24,20 @@ def profile_numeric(t: Tables):
     return profile.profile_columns(t.customer, CUSTOMER_NUMBERS)
 
 
-@query("profile_lineitem")
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_OTHERS = ("l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(
+    "profile_lineitem",
+    " UNION ALL ".join(
+        [f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\", count({c}) AS numbers, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, round(avg({c}), 4) AS mean, round(CAST(median({c}) AS DOUBLE), 6) AS median, round(stddev_pop({c}), 4) AS std FROM lineitem" for c in _NUMBERS]
+        + [f"SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), 0, NULL, NULL, NULL, NULL, NULL FROM lineitem" for c in _OTHERS]
+    ),
+)
 def profile_lineitem(t: Tables):
     """The whole profile of the widest table in one job: the counterpart of a million-row profile."""
-    return profile.profile_columns(t.lineitem)
+    return profile.profile_columns(t.lineitem).withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
 @query(
