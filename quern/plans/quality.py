@@ -241,6 +241,12 @@ def dq_score(t: Tables):
     return quality.score_parts(quality.report_counts(t.spark.sql(SCORED)))
 
 
+@query("profile_sketched")
+def profile_sketched(t: Tables):
+    """The profile as it is taken of very large tables: one pass, sketches of fixed size."""
+    return profile.profile_columns(t.lineitem, exact=False)
+
+
 @query("dq_isolation")
 def dq_isolation(t: Tables):
     """Anomaly scores of all rows from 100 trees over a bounded sample."""
