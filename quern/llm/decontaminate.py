@@ -85,7 +85,7 @@ def pivoted_windows(docs: DataFrame, items: DataFrame, window: int) -> DataFrame
 
 
 def build_index(docs: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
-    """The postings of the pivots: (term, did, key, pos, at, around); around[at] is the term itself."""
+    """The postings of the pivots: (term, did, key, pos, at, around); around[at] is the term as written."""
     terms = stored(pivots.select("rare.term").union(pivots.select("rare2.term")).distinct(), "pivot-terms")
     known = BitMap(terms, terms.count())
     words = docs.select(F.coalesce("doc_id", F.lit(0)).alias("did"), row_key("doc_id", "text").alias("key"), words_as_written(F.col("text")).alias("words"))
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
         return F.when(known.holds(word), made)
 
     rows = words.select("did", "key", F.explode(F.array_compact(F.transform("words", posting))).alias("p")).select("did", "key", "p.*")
-    rows = rows.withColumn("around", F.transform("around", ascii_lower)).withColumn("term", F.get("around", F.col("at")))
+    rows = rows.withColumn("term", ascii_lower(F.get("around", F.col("at"))))
     return stored(rows.join(terms, "term", "left_semi"), "postings")
 
 
@@ -116,7 +116,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: in
 
     first = shifted("rare")
     second = shifted("rare2").select("window", "did", "key", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start"))
-    both = first.join(second, ["window", "did", "key", "start"], "left_semi")
+    both = first.join(second, ["window", "did", "key", "start"], "left_semi").withColumn("around", F.transform("around", ascii_lower))
     size = F.size("phrase")
     from_ = F.col("at") - F.col("offset")
     exact = (from_ >= 0) & (F.slice("around", F.greatest(from_, F.lit(0)) + 1, size) == F.col("phrase"))

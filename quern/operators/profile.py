@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,17 +44,33 @@ def profile_columns(df: DataFrame, names: list[str] | None = None, exact: bool =
     ``exact=False`` sketches of fixed size (1 % error) take their place, and the
     whole profile is one pass whose shuffle doesn't grow with the rows.
     """
-    return per_column(df, names or df.columns, {
-        "rows": lambda d, c: F.count("*"),
-        "missing": lambda d, c: F.count_if(cells.is_missing(d, c)),
-        "distinct": lambda d, c: F.count_distinct(cells.text(d, c)) if exact else F.approx_count_distinct(cells.text(d, c), 0.01),
-        "numbers": lambda d, c: F.count(cells.number(d, c)),
-        "min": lambda d, c: F.min(cells.number(d, c)),
-        "max": lambda d, c: F.max(cells.number(d, c)),
-        "mean": lambda d, c: F.avg(cells.number(d, c)),
-        "median": lambda d, c: F.median(cells.number(d, c)) if exact else F.percentile_approx(cells.number(d, c), 0.5, 10_000),
-        "std": lambda d, c: F.stddev_pop(cells.number(d, c)),
-    })
+    names = names or df.columns
+    # Cells are read once a row; the aggregates then refer to plain columns.
+    read = []
+    for j, c in enumerate(names):
+        typed = not cells.is_string(df, c)
+        read += [cells.is_missing(df, c).alias(f"m{j}"), (df[c] if typed else cells.text(df, c)).alias(f"v{j}")]
+        if cells.is_numeric(df, c) or not typed:
+            read.append(cells.number(df, c).alias(f"x{j}"))
+    rows = df.select(*read)
+    figures = ("rows", "missing", "distinct", "numbers", "min", "max", "mean", "median", "std")
+    parts = []
+    at_once = max(1, MOST_EXPRESSIONS // len(figures))
+    for low in range(0, len(names), at_once):
+        some = range(low, min(len(names), low + at_once))
+        aggregates = [F.count("*").alias("rows")]
+        for j in some:
+            v = F.col(f"v{j}")
+            aggregates += [F.count_if(f"m{j}").alias(f"missing{j}"), (F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01)).alias(f"distinct{j}")]
+            if f"x{j}" in rows.columns:
+                x = F.col(f"x{j}")
+                middle = F.median(x) if exact else F.percentile_approx(x, 0.5, 10_000)
+                aggregates += [a.alias(f"{n}{j}") for n, a in zip(figures[3:], (F.count(x), F.min(x), F.max(x), F.avg(x), middle, F.stddev_pop(x)), strict=True)]
+        row = rows.agg(*aggregates)
+        none = {n: F.lit(0).cast("long") if n == "numbers" else F.lit(None).cast("double") for n in figures[3:]}
+        each = [F.struct(F.lit(names[j]).alias("column"), F.col("rows"), *[(F.col(f"{n}{j}") if f"{n}{j}" in row.columns else none[n]).alias(n) for n in figures[1:]]) for j in some]
+        parts.append(row.select(F.explode(F.array(*each)).alias("p")).select("p.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
