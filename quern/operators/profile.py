@@ -54,23 +54,31 @@ def profile_columns(df: DataFrame, names: list[str] | None = None, exact: bool =
             read.append(cells.number(df, c).alias(f"x{j}"))
     rows = df.select(*read)
     figures = ("rows", "missing", "distinct", "numbers", "min", "max", "mean", "median", "std")
-    parts = []
+    none = {n: F.lit(0).cast("long") if n == "numbers" else F.lit(None).cast("double") for n in figures[3:]}
+    parts, counts = [], []
     at_once = max(1, MOST_EXPRESSIONS // len(figures))
     for low in range(0, len(names), at_once):
         some = range(low, min(len(names), low + at_once))
-        aggregates = [F.count("*").alias("rows")]
+        # Exact distinct counts are an aggregate of their own: mixed with medians, each value would carry all columns' buffers.
+        distinct = [(F.count_distinct(F.col(f"v{j}")) if exact else F.approx_count_distinct(F.col(f"v{j}"), 0.01)).alias(f"distinct{j}") for j in some]
+        aggregates = [F.count("*").alias("rows"), *([] if exact else distinct)]
         for j in some:
-            v = F.col(f"v{j}")
-            aggregates += [F.count_if(f"m{j}").alias(f"missing{j}"), (F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01)).alias(f"distinct{j}")]
+            aggregates.append(F.count_if(f"m{j}").alias(f"missing{j}"))
             if f"x{j}" in rows.columns:
                 x = F.col(f"x{j}")
                 middle = F.median(x) if exact else F.percentile_approx(x, 0.5, 10_000)
                 aggregates += [a.alias(f"{n}{j}") for n, a in zip(figures[3:], (F.count(x), F.min(x), F.max(x), F.avg(x), middle, F.stddev_pop(x)), strict=True)]
         row = rows.agg(*aggregates)
-        none = {n: F.lit(0).cast("long") if n == "numbers" else F.lit(None).cast("double") for n in figures[3:]}
-        each = [F.struct(F.lit(names[j]).alias("column"), F.col("rows"), *[(F.col(f"{n}{j}") if f"{n}{j}" in row.columns else none[n]).alias(n) for n in figures[1:]]) for j in some]
+        own = [n for n in figures[1:] if not exact or n != "distinct"]
+        each = [F.struct(F.lit(names[j]).alias("column"), F.col("rows"), *[(F.col(f"{n}{j}") if f"{n}{j}" in row.columns else none[n]).alias(n) for n in own]) for j in some]
         parts.append(row.select(F.explode(F.array(*each)).alias("p")).select("p.*"))
-    return reduce(DataFrame.unionByName, parts)
+        if exact:
+            each = [F.struct(F.lit(names[j]).alias("column"), F.col(f"distinct{j}").alias("distinct")) for j in some]
+            counts.append(rows.agg(*distinct).select(F.explode(F.array(*each)).alias("p")).select("p.*"))
+    found = reduce(DataFrame.unionByName, parts)
+    if exact:  # a row for each column on both sides
+        found = found.join(reduce(DataFrame.unionByName, counts), "column")
+    return found.select("column", *figures)
 
 
 def histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
@@ -119,16 +127,19 @@ def column_types(df: DataFrame) -> DataFrame:
         total = max(1, df.count())
         step = max(1, total // SAMPLE)
         sample = df.select(*strings).where(F.pmod(F.xxhash64(*strings), F.lit(step)) == 0).limit(4 * SAMPLE)
-        t = lambda c: cells.text(sample, c)
-        figures = per_column(sample, strings, {
-            "n": lambda d, c: F.count(t(c)),
-            "bools": lambda d, c: F.count_if(F.lower(t(c)).isin(*cells.BOOLEANS)),
-            "numbers": lambda d, c: F.count(cells.parse_number_text(t(c))),
-            "whole": lambda d, c: F.count_if(cells.parse_number_text(t(c)) == F.floor(cells.parse_number_text(t(c)))),
-            "dates": lambda d, c: F.count_if(t(c).rlike(TYPED_DATE)),
-            "uuids": lambda d, c: F.count_if(t(c).rlike(UUID)),
-            "distinct": lambda d, c: F.count_distinct(F.lower(t(c))),
+        # A text is trimmed, lowered and parsed once a row, not once for each figure.
+        at = {c: i for i, c in enumerate(strings)}
+        read = sample.select(*[cells.text(sample, c).alias(f"t{i}") for c, i in at.items()])
+        read = read.select(*[c for i in at.values() for c in (F.col(f"t{i}"), F.lower(f"t{i}").alias(f"l{i}"), cells.parse_number_text(F.col(f"t{i}")).alias(f"x{i}"))])
+        figures = per_column(read, strings, {
+            "n": lambda d, c: F.count(f"t{at[c]}"),
+            "bools": lambda d, c: F.count_if(F.col(f"l{at[c]}").isin(*cells.BOOLEANS)),
+            "numbers": lambda d, c: F.count(f"x{at[c]}"),
+            "whole": lambda d, c: F.count_if(F.col(f"x{at[c]}") == F.floor(f"x{at[c]}")),
+            "dates": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(TYPED_DATE)),
+            "uuids": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(UUID)),
         })
+        figures = figures.join(per_column(read, strings, {"distinct": lambda d, c: F.count_distinct(f"l{at[c]}")}), "column")
         n = F.col("n")
         named = F.col("column").rlike(r"(?i)(^|_)(id|key|code|uuid|guid|ref|no|num|number)$|key$|id$")
         unique = (F.col("distinct") >= 0.99 * n) & named

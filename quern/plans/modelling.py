@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import cluster, encode, evaluate, metrics, models, split, timeseries
-from quern.plans.registry import Tables, query
+from quern.plans.registry import Tables, determines_sql, query
 
 
 def labelled(t: Tables):
@@ -120,7 +120,7 @@ def task_detect(t: Tables):
     return encode.task_of(t.labels, "quality").union(encode.task_of(t.orders, "o_totalprice")).union(encode.task_of(t.documents, "lang"))
 
 
-@query("leak_mapping", "SELECT * FROM (VALUES ('n_name', 'n_regionkey', true), ('n_regionkey', 'n_name', false)) t(a, b, determined)")
+@query("leak_mapping", determines_sql("(SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey)", [("n_name", "n_regionkey"), ("n_regionkey", "n_name")]))
 def leak_mapping(t: Tables):
     from quern.operators.profile import determines
 

@@ -8,7 +8,7 @@ from quern.functions import cells
 from quern.functions.stats import wilson
 from quern.operators import profile, quality
 from quern.plans.intents import DIRTY_ORDERS, dirty_orders
-from quern.plans.registry import Tables, query
+from quern.plans.registry import Tables, determines_sql, exclusions_sql, query
 
 CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
 
@@ -60,14 +60,17 @@ def profile_column(t: Tables):
 
 @query(
     "profile_exclusions",
-    """SELECT 'p_partkey' AS "column", 'id' AS reason UNION ALL SELECT 'nothing', 'nearEmpty' UNION ALL SELECT 'always', 'constant'""",
+    exclusions_sql("part", {c: c for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")} | {"nothing": "CASE WHEN p_partkey % 50 = 0 THEN p_name END", "always": "'x'"}),
 )
 def profile_exclusions(t: Tables):
     df = t.part.withColumns({"nothing": F.when(F.col("p_partkey") % 50 == 0, F.col("p_name")), "always": F.lit("x")})
     return profile.exclusions(profile.profile_columns(df))
 
 
-@query("profile_redundancy", "SELECT * FROM (VALUES ('n_name', 'n_regionkey', true), ('r_name', 'n_regionkey', true), ('n_regionkey', 'n_name', false)) t(a, b, determined)")
+@query(
+    "profile_redundancy",
+    determines_sql("(SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)", [("n_name", "n_regionkey"), ("r_name", "n_regionkey"), ("n_regionkey", "n_name")]),
+)
 def profile_redundancy(t: Tables):
     df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return profile.determines(df, [("n_name", "n_regionkey"), ("r_name", "n_regionkey"), ("n_regionkey", "n_name")])
@@ -174,7 +177,7 @@ def dq_duplicates(t: Tables):
     return quality.duplicates(t.spark.sql(REPEATED))
 
 
-@query("dq_structural", "SELECT 's_suppkey' AS \"column\", 'id' AS reason UNION ALL SELECT 'gap', 'nearEmpty'")
+@query("dq_structural", exclusions_sql("supplier", {c: c for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")} | {"gap": "CASE WHEN s_suppkey % 40 = 0 THEN 1 END"}))
 def dq_structural(t: Tables):
     return profile.exclusions(profile.profile_columns(t.supplier.withColumn("gap", F.when(F.col("s_suppkey") % 40 == 0, 1))))
 

@@ -22,7 +22,7 @@ def duck():
 
 
 #: Answers that are written out for the larger tables.
-SIZED = {"leak_mapping", "profile_redundancy", "profile_types", "monitor_performance", "dq_structural", "contract_missing_clause", "ml_linear"}
+SIZED = {"profile_types", "monitor_performance", "contract_missing_clause", "ml_linear"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SIZED))
