@@ -89,7 +89,8 @@ def linked(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, in
     def near(r: str, start: int, end: int) -> bool:
         scope = bisect_left(ends, start)
         low = bisect_left(starts[r], start - reach - longest[r])
-        for s, e in by_role[r][low:]:
+        for i in range(low, len(by_role[r])):
+            s, e = by_role[r][i]
             if s > end + reach:
                 return False
             apart = e <= start or s >= end  # one part never complements itself
