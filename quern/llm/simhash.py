@@ -243,12 +243,17 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed:
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents that represent their component, in the input's columns.
+    """The documents that represent their component, in the input's columns."""
+    return representatives(docs, near_duplicates(docs, **options))
+
+
+def representatives(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents whose id is that of their component. ``labelled``: doc_id, component_id.
 
     Rows without an id can't be told apart from their copies and stay. Of
     repeated rows of one id, the one whose text sorts first stays.
     """
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    kept = labelled.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     known = known.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("d")).select("d.*")
     return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))

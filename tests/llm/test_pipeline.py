@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from quern.llm import near_copies
 
 WORDS = "the of and stone river light garden winter paper window copper market silver valley engine letter music orange bridge candle forest harbor island jacket kitten ladder mirror needle oyster pencil quartz ribbon saddle timber velvet walnut yellow zephyr".split()
 
@@ -58,3 +59,24 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_near_copies_at_the_similarity_of_the_rule(spark, folder):
+    """Pairs at Jaccard 0.8 to 0.95 go, those below 0.8 stay, against all pairs by brute force."""
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for i in range(60):
+        words = sentence_of(rng, 200)
+        other = list(words)
+        for at in rng.sample(range(0, 200, 8), 1 + i % 6):
+            other[at] = f"changed{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append(near_copies.jaccard(rows[-2][1], rows[-1][1], 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, folder).collect()}
+    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i, j in enumerate(pairs) if j < 0.8}
+    assert sum(0.8 <= j < 0.95 for j in pairs) > 20 and sum(j < 0.8 for j in pairs) > 5
+
+
+def sentence_of(rng, n):
+    return [rng.choice(WORDS) for _ in range(n)]
