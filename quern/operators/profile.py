@@ -13,7 +13,6 @@ from quern.functions import cells
 
 BINS = 12
 TOP_VALUES = 8
-SAMPLE = 2000
 NEAR_EMPTY = 0.95
 ID_NAME = re.compile(r"(^|_)(id|key|code|uuid|guid|ref|no|num|number)$", re.I)
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
@@ -116,20 +115,17 @@ def exclusions(profiles: DataFrame) -> DataFrame:
 def column_types(df: DataFrame) -> DataFrame:
     """(column, type) by the values: text, boolean, id, numeric, date or categorical.
 
-    Columns with a type of their own have it; string columns are read from a
-    systematic sample of 2 000 values at most, by row number.
+    Columns with a type of their own have it; string columns are read over all
+    rows. Distinct texts are counted by their 64-bit hashes.
     """
     strings = [c for c in df.columns if cells.is_string(df, c)]
     typed = [(c, typed_as(df, c)) for c in df.columns if c not in strings]
     spark = df.sparkSession
     found = spark.createDataFrame(typed, "column string, type string") if typed else None
     if strings:
-        total = max(1, df.count())
-        step = max(1, total // SAMPLE)
-        sample = df.select(*strings).where(F.pmod(F.xxhash64(*strings), F.lit(step)) == 0).limit(4 * SAMPLE)
         # A text is trimmed, lowered and parsed once a row, not once for each figure.
         at = {c: i for i, c in enumerate(strings)}
-        read = sample.select(*[cells.text(sample, c).alias(f"t{i}") for c, i in at.items()])
+        read = df.select(*[cells.text(df, c).alias(f"t{i}") for c, i in at.items()])
         read = read.select(*[c for i in at.values() for c in (F.col(f"t{i}"), F.lower(f"t{i}").alias(f"l{i}"), cells.parse_number_text(F.col(f"t{i}")).alias(f"x{i}"))])
         figures = per_column(read, strings, {
             "n": lambda d, c: F.count(f"t{at[c]}"),
@@ -139,7 +135,7 @@ def column_types(df: DataFrame) -> DataFrame:
             "dates": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(TYPED_DATE)),
             "uuids": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(UUID)),
         })
-        figures = figures.join(per_column(read, strings, {"distinct": lambda d, c: F.count_distinct(f"l{at[c]}")}), "column")
+        figures = figures.join(per_column(read, strings, {"distinct": lambda d, c: F.count_distinct(F.when(F.col(f"l{at[c]}").isNotNull(), F.xxhash64(f"l{at[c]}")))}), "column")
         n = F.col("n")
         named = F.col("column").rlike(r"(?i)(^|_)(id|key|code|uuid|guid|ref|no|num|number)$|key$|id$")
         unique = (F.col("distinct") >= 0.99 * n) & named

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import cells
-from quern.operators import drift, evaluate, joins, metrics, models, quality, timeseries
+from quern.operators import drift, evaluate, joins, metrics, models, profile, quality, timeseries
 from quern.operators.clean import ColumnStep, Recipe, apply
 from quern.operators.intent import Filter, Intent, IntentError, compile_intent, validate
 from quern.operators.question import ColumnInfo, parse_question
@@ -260,3 +260,9 @@ def test_formula_guard_and_names(spark):
 def test_console_hints(spark):
     with pytest.raises(console.SqlError, match="Hint"):
         console.run(spark, "SELECT * EXCLUDE (id) FROM range(3)")
+
+
+def test_types_of_a_long_table_with_few_values(spark):
+    """Rows far beyond any sample, in 15 combinations of strings; late rows count like early ones."""
+    df = spark.range(200_000).select(F.concat(F.lit("status "), F.col("id") % 3).alias("status"), F.concat(F.lit("priority "), F.col("id") % 5).alias("priority"), F.when(F.col("id") < 100_000, F.lit("12")).otherwise(F.lit("word")).alias("mixed"))
+    assert {r["column"]: r["type"] for r in profile.column_types(df).collect()} == {"status": "categorical", "priority": "categorical", "mixed": "categorical"}
