@@ -7,8 +7,9 @@ distrust from the hosts with blocked pages against them (who links to a blocked
 host is suspect). A host is blocked where distrust exceeds trust by more than
 ``margin``.
 
-Ranks are tables of hosts; each round joins the host edges with them and sums
-per target, and is stored. The longest rule is picked among the few that fit a
+Ranks are tables of hosts; each round passes on only what the round before added
+and sums per target, and is stored. Rounds end when all that is still under way
+can't change a verdict's rounding. The longest rule is picked among the few that fit a
 host, which are found once per host by an equality join on the host's parent
 domains. Built-in functions only.
 
@@ -62,10 +63,16 @@ def best_rule(fitting: Column, path: Column) -> Column:
     return F.array_max(F.filter(fitting, lambda r: F.startswith(path, r["rule_path"])))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+#: Rank that may be missing when rounds end; verdicts round to 1e-12.
+TOLERANCE = 1e-13
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) of every host that rank reaches.
 
     ``edges``: (src, dst, links); ``seeds``: (host, allowed, blocked) page counts.
+    Without ``rounds``, until what is missing is below the tolerance: no round adds
+    more than ``damping`` times what the last one added.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("all"))
@@ -76,17 +83,23 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int)
     a, b = (sums["a"] or 1, sums["b"] or 1)
     mass = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allowed") / a).alias("seed")), F.struct(F.lit("distrust").alias("kind"), (F.col("blocked") / b).alias("seed")))).alias("m"))
     mass = stored(mass.select("host", "m.*").where("seed > 0"), "host-seeds")
-    base = mass.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    ranks = stored(base, "host-ranks")
-    for _ in range(rounds):
-        flow = graph.join(ranks.withColumnsRenamed({"kind": "k", "host": "h"}), (F.col("kind") == F.col("k")) & (F.col("from") == F.col("h")))
-        flow = flow.select("kind", F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        ranks = stored(flow.union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "host-ranks")
+    rank = (F.col("seed") * (1 - damping)).alias("rank")
+    ranks = stored(mass.select("kind", "host", rank, rank.alias("added")), "host-ranks")
+    while rounds is None or rounds > 0:
+        moving = ranks.where("added > 0").select(F.col("kind").alias("k"), F.col("host").alias("h"), "added")
+        flow = graph.join(moving, (F.col("kind") == F.col("k")) & (F.col("from") == F.col("h")))
+        flow = flow.select("kind", F.col("to").alias("host"), (F.col("share") * F.col("added") * damping).alias("rank")).withColumn("added", F.col("rank"))
+        kept = ranks.select("kind", "host", "rank", F.lit(0.0).alias("added"))
+        ranks = stored(kept.union(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("added").alias("added")), "host-ranks")
+        if rounds is not None:
+            rounds -= 1
+        elif (ranks.agg(F.sum("added")).first()[0] or 0.0) * damping <= TOLERANCE * (1 - damping):
+            break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int = 12, margin: float = 1e-9) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int | None = None, margin: float = 1e-9) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each input row."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fitting = stored(fitting_rules(parsed.select("host").distinct(), rules).withColumnRenamed("host", "of"), "host-rules")

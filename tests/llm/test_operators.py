@@ -461,6 +461,24 @@ def test_ranks_match_power_iteration(spark):
         assert got.get(h, (0, 0)) == pytest.approx((t[h], d[h]))
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """h0 -> h1 -> ... -> h24, blocked: the rank k links away is 0.15 * 0.85^k, trust in none but a cycle of two beside it."""
+    n = 25
+    edges = [(f"h{i}", f"h{i + 1}", 1 + i % 3) for i in range(n - 1)] + [("x", "y", 1), ("y", "x", 2)]
+    seeds = [(f"h{n - 1}", 0, 4), ("x", 2, 0)]
+    found = url_filter.propagated(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, allowed long, blocked long"), 0.85)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    for i in range(n):
+        assert got[f"h{i}"] == pytest.approx((0, 0.15 * 0.85 ** (n - 1 - i)), abs=1e-13)
+    assert got["x"] == pytest.approx((0.15 / (1 - 0.85**2), 0), abs=1e-12) and got["y"] == pytest.approx((0.15 * 0.85 / (1 - 0.85**2), 0), abs=1e-12)
+
+
+def test_a_link_farm_of_many_hops_is_blocked(spark):
+    rows = [(i, f"https://f{i}.net/", f"<a href='https://f{i + 1}.net/'>x</a>") for i in range(19)]
+    rows += [(19, "https://f19.net/", "<a href='https://bad.example.org/es/1'>x</a>"), (20, "https://bad.example.org/es/1", None)]
+    assert {r["verdict"] for r in url_filter.op9_url_filter(pages_of(spark, rows)).collect()} == {"block"}
+
+
 # 10: quality rules
 
 
