@@ -5,7 +5,9 @@ hashes the least is a fingerprint (winnowing), and an inverted index maps each
 to its places in the templates. A document looks up all its k-grams, so a match
 of ``k + window - 1`` tokens can't be missed. Hits of one template on nearby
 diagonals form a candidate, which is aligned to the whole template within a band
-around its diagonal; what is reported is the share of the template's tokens that
+around its middle diagonal, and again around the diagonal of every hit that no
+match of the candidate covers yet, however many notices follow each other
+closely; what is reported is the share of the template's tokens that
 match and the span they cover (code points, end exclusive).
 
 The index holds templates, not documents, and travels with the function; a
@@ -61,26 +63,26 @@ class TemplateIndex:
             for i in winnow([zlib.crc32(b" ".join(g)) for g in all_grams], window):
                 self.places.setdefault(all_grams[i], []).append((name, i))
 
-    def candidates(self, words: list[bytes], band: int) -> list[tuple[str, int]]:
-        """(template, diagonal) of each cluster of hits."""
-        found: dict[str, list[int]] = {}
+    def candidates(self, words: list[bytes], band: int) -> list[tuple[str, list[tuple[int, int]]]]:
+        """(template, hits) of each cluster of hits: (diagonal, document token), in order."""
+        found: dict[str, list[tuple[int, int]]] = {}
         places, k = self.places, self.k
         for i, gram in enumerate(zip(*(words[j:] for j in range(k)), strict=False)):
             if gram in places:
                 for name, at in places[gram]:
-                    found.setdefault(name, []).append(i - at)
+                    found.setdefault(name, []).append((i - at, i))
         out = []
-        for name, diagonals in found.items():
-            diagonals.sort()
+        for name, hits in found.items():
+            hits.sort()
             start = 0
-            for i in range(1, len(diagonals) + 1):
-                if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > band:
-                    out.append((name, diagonals[(start + i - 1) // 2]))
+            for i in range(1, len(hits) + 1):
+                if i == len(hits) or hits[i][0] - hits[i - 1][0] > band:
+                    out.append((name, hits[start:i]))
                     start = i
         return out
 
 
-def aligned(template: list[bytes], words: list[bytes], diagonal: int, band: int) -> tuple[int, int, int] | None:
+def aligned(template: list[bytes], words: list[bytes | None], diagonal: int, band: int) -> tuple[int, int, int] | None:
     """(matched tokens, first and last matched document token) of the best alignment within the band.
 
     The whole template against any stretch of the document: gaps cost one,
@@ -121,10 +123,17 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float, band: int
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]
     found = []
-    for name, diagonal in candidates:
-        got = aligned(index.words[name], words, diagonal, band)
-        if got and got[0] / len(index.words[name]) >= coverage:
-            found.append((got[0], got[0] / len(index.words[name]), got[1], got[2], name))
+    for name, hits in candidates:
+        template, left, tried = index.words[name], words, set()
+        for diagonal, at in [hits[(len(hits) - 1) // 2], *hits]:
+            if left[at] is None or diagonal in tried:
+                continue
+            tried.add(diagonal)
+            # Another match at one diagonal may lie anywhere in its band: until there is none, covered tokens match nothing.
+            while (got := aligned(template, left, diagonal, band)) and got[0] / len(template) >= coverage:
+                found.append((got[0], got[0] / len(template), got[1], got[2], name))
+                left = list(words) if left is words else left
+                left[got[1] : got[2] + 1] = [None] * (got[2] + 1 - got[1])
     kept: list[tuple[int, float, int, int, str]] = []
     taken: set[int] = set()
     for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):

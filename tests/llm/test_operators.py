@@ -124,6 +124,17 @@ def test_half_a_license_is_none():
     assert license_scan.scan_text(" ".join(words[: len(words) // 2]), index, 0.8, 6) == []
 
 
+@pytest.mark.parametrize(("notice", "name"), [("All rights reserved. ", "all-rights-reserved"), ("Released under the MIT License.\n", "mit-notice"), ("Copyright X. All rights reserved.\n", "all-rights-reserved")])
+@pytest.mark.parametrize("times", [2, 3, 200])
+def test_notices_back_to_back_have_a_span_each(notice, name, times):
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    text = f"before it {notice * times}after it"
+    found = license_scan.scan_text(text, index, 0.8, 6)
+    words = re.findall(r"\w+", license_scan.TEMPLATES[name])
+    starts = [m.start() for m in re.finditer(re.escape(" ".join(words)), text)]
+    assert [(f["license"], f["start"]) for f in found] == [(name, s) for s in starts] and len(starts) == times
+
+
 # 4: secret scan
 
 
