@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from quern.llm import near_copies
+from quern.llm import mixing, near_copies
 
 WORDS = "the of and stone river light garden winter paper window copper market silver valley engine letter music orange bridge candle forest harbor island jacket kitten ladder mirror needle oyster pencil quartz ribbon saddle timber velvet walnut yellow zephyr".split()
 
@@ -80,3 +80,14 @@ def test_near_copies_at_the_similarity_of_the_rule(spark, folder):
 
 def sentence_of(rng, n):
     return [rng.choice(WORDS) for _ in range(n)]
+
+
+def test_mix_follows_the_block_order(spark, folder, monkeypatch):
+    """Blocks and places rise along the partitions, as they do in op6's result."""
+    plain = mixing.mixed
+    monkeypatch.setattr(mixing, "mixed", lambda docs: plain(docs, block_tokens=300))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 80")
+    placed = plain(docs, block_tokens=300).collect()
+    want = [r["doc_id"] for r in sorted(placed, key=lambda r: (r["block"], r["place"]))]
+    assert len({r["block"] for r in placed}) > 5
+    assert [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, folder).collect()] == want
