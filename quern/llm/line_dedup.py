@@ -1,113 +1,140 @@
-"""Substring deduplication by line hashing.
-
-Every line is a unit. It is normalised (lower case, runs of blanks made one
-space, ends trimmed) and hashed; the copies of a digest are grouped over all
-documents, and all but the earliest ranked one (by doc_id, then position) are
-removed. Units of fewer than ``min_words`` words are left alone: they repeat by
-chance. Offsets of what was removed refer to the original text.
+"""Substring deduplication by hashing sentences and lines.
+
+1. A text is cut into units behind every line end and behind every run of
+   ``.!?`` that blanks follow (``split="line"``: behind line ends alone;
+   ``"paragraph"``: behind empty lines). Units cover the whole text. One with
+   words is normalised (lower case, runs of blanks made one space, ends trimmed)
+   and hashed; one without belongs to the units around it.
+2. The copies of a digest are grouped over all documents. The earliest ranked
+   one (by doc_id, then position) is kept; the others are repeated.
+3. Repeated units that follow each other in a document make a run. Runs whose
+   units have ``min_words`` words or more are removed, the rest is left alone.
+   Units of fewer than ``least_unit`` words repeat by chance: in a run, they go
+   with the others, but their words don't count. Offsets of what was removed
+   refer to the original text (code points, end exclusive).
+
+Passages begin and end within sentences as a rule, and those two halves are
+units of their own that don't repeat. The default of 40 words in whole units
+stands for passages of 50 words and more with ten such words at their ends.
 
 The earliest occurrence of a digest is a minimum, taken per task before
 anything is shuffled; only digests that occur twice are joined back, and from a
-stored table, so that Spark can split the partition of a line that a third of
-all documents hold. Lines are never gathered by digest, only by document.
+stored table, so that Spark can split the partition of a unit that a third of
+all documents hold. Units are never gathered by digest, only by document.
 
 Defined results: null stays null, empty stays empty; documents with a null id
 rank last, by their text; repeated rows (same id and text) rank as one document
-and get the same result each; a line that repeats within its document is kept
-once; other columns are carried along.
+and get the same result each; a passage that repeats within its document is kept
+once; a document that is a copy as a whole and long enough becomes empty; a very
+long text is one row of units in one task and is never cut short; a text without
+any end is one unit; other columns are carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import row_key, stored
-
-UNITS = "array<struct<digest:binary,pos:int,start:int,end:int>>"
-UNIT = pa.struct([("digest", pa.binary()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-
-
-def units_of(texts: pa.Array, min_words: int) -> pa.Array:
-    """The lines of each text that have enough words: digest, number, code point offsets."""
-    out = []
-    for text in texts.to_pylist():
-        at, found = 0, []
-        for pos, line in enumerate(text.split("\n") if text else ()):
-            words = line.lower().encode().split()
-            if len(words) >= min_words:
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                found.append({"digest": digest, "pos": pos, "start": at, "end": at + len(line)})
-            at += len(line) + 1
-        out.append(found)
-    return pa.array(out, pa.list_(UNIT))
-
-
-def line_units(text: Column | str, min_words: int) -> Column:
+from quern.llm.common import discard, row_key, stored
+
+ENDS = {
+    "sentence": re.compile(r"\n|[.!?]+[\x20\x09\x0B-\x0D]+"),
+    "line": re.compile(r"\n"),
+    "paragraph": re.compile(r"\n[\x20\x09\x0B-\x0D]*\n"),
+}
+UNITS = "array<struct<digest:binary,pos:int,start:int,end:int,words:int>>"
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def units_of(texts: pa.Array, ends: re.Pattern[str]) -> pa.Array:
+    """The units of each text that have words: digest, number, code point offsets, words."""
+    sizes, digests, places = [0], [], []
+    for text in texts:
+        text, start, pos = text.as_py() or "", 0, 0
+        for end in [*(m.end() for m in ends.finditer(text)), len(text)]:
+            words = text[start:end].lower().encode().split()
+            if words:
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                places.append((pos, start, end, len(words)))
+                pos += 1
+            start = end
+        sizes.append(len(digests))
+    numbers = np.array(places, np.int32).reshape(-1, 4)
+    fields = [pa.array(digests, pa.binary()), *(pa.array(numbers[:, i]) for i in range(4))]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, names=["digest", "pos", "start", "end", "words"]))
+
+
+def text_units(text: Column | str, split: str) -> Column:
     @F.arrow_udf(UNITS)
     def of(texts: pa.Array) -> pa.Array:
-        return units_of(texts, min_words)
+        return units_of(texts, ENDS[split])
 
     return of(text)
 
 
-def repeats(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int, least_unit: int, split: str) -> DataFrame:
     """(did, key, removed): the spans to remove of each document that has any, in order."""
     # Ids first, rows without one after all others; the text's hash orders what shares an id.
     rank = {"none": F.col("doc_id").isNull(), "did": F.coalesce("doc_id", F.lit(0)), "key": row_key("doc_id", "text")}
-    units = docs.select("doc_id", "text").withColumns(rank).select(*rank, F.explode(line_units("text", min_words)).alias("u"))
-    units = stored(units.select(*rank, "u.*"), "line-units")
+    units = docs.select("doc_id", "text").withColumns(rank).select(*rank, F.explode(text_units("text", split)).alias("u"))
+    units = stored(units.select(*rank, "u.*"), "text-units")
     place = F.struct("none", "did", "key", "pos")
     firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = stored(firsts.where("first <> last").select("digest", "first"), "repeated-lines")
-    later = units.join(firsts, "digest").where(F.col("first") != place)
-    return stored(later.select("did", "key", "start", "end"), "later-lines").groupBy("did", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    firsts = stored(firsts.where("first <> last").select("digest", "first"), "repeated-units")
+    later = units.join(firsts, "digest").where(F.col("first") != place).select("did", "key", "pos", "start", "end", "words")
+    # From here on all is done where a document's units are: one shuffle.
+    later = later.repartition("did", "key").dropDuplicates(["did", "key", "pos"])
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("did", "key").orderBy("pos"))
+    runs = later.withColumn("run", run).groupBy("did", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(F.col("words") >= least_unit, F.col("words"))).alias("words"))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")
+    found = stored(runs.where(F.col("words") >= min_words).groupBy("did", "key").agg(spans), "repeated-runs")
+    discard(units, firsts)
+    return found
 
 
 def cut(text: Column, removed: Column) -> Column:
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, gone in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if text is None or not gone:
-                out.append(text)
-                continue
-            starts, at, lines = {s["start"] for s in gone}, 0, []
-            for line in text.split("\n"):
-                if at not in starts:
-                    lines.append(line)
-                at += len(line) + 1
-            out.append("\n".join(lines))
+        for text, gone in zip(texts, spans, strict=True):
+            text, gone = text.as_py(), gone.as_py()
+            edges = [0, *(edge for s in gone or () for edge in (s["start"], s["end"])), None]
+            out.append(text if not gone else "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return pa.array(out, pa.string())
 
     return without(text, removed)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """The input with repeated lines cut from ``text``, and ``removed``: the original offsets of each."""
+def dedup_passages(docs: DataFrame, min_words: int = 40, least_unit: int = 3, split: str = "sentence") -> DataFrame:
+    """The input with repeated runs cut from ``text``, and ``removed_spans``: the original offsets of each."""
     named = docs.withColumns({"__q_did": F.coalesce("doc_id", F.lit(0)), "__q_key": row_key("doc_id", "text")})
-    spans = stored(repeats(docs, min_words).toDF("__q_did", "__q_key", "__q_spans"), "line-spans")
-    joined = named.join(spans, ["__q_did", "__q_key"], "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    gone = F.coalesce("__q_spans", none)
+    joined = named.join(repeats(docs, min_words, least_unit, split).toDF("__q_did", "__q_key", "__q_spans"), ["__q_did", "__q_key"], "left")
+    gone = F.coalesce("__q_spans", F.array().cast(SPANS))
     text = F.when(F.size(gone) > 0, cut(F.col("text"), gone)).otherwise(F.col("text"))
     return joined.withColumns({"text": text, "removed_spans": gone}).select(*docs.columns, "removed_spans")
 
 
 def op2_line_dedup(docs: DataFrame) -> DataFrame:
-    found = dedup_lines(docs.select("doc_id", "text"))
+    found = dedup_passages(docs.select("doc_id", "text"))
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select("doc_id", "text", F.size("removed_spans").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+#: Units are cut at a mark of private use, which no text of the tables holds.
 ORACLE_OP2 = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
-o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY pos) - length(line) - 1 AS s, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
-r AS (SELECT *, CASE WHEN len(w) >= 5 THEN row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, pos) ELSE 1 END AS k FROM o),
-g AS (SELECT rid, count(*) FILTER (k > 1) AS n, string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(line) AS BIGINT), ',' ORDER BY s) FILTER (k > 1) AS removed, string_agg(line, chr(10) ORDER BY pos) FILTER (k = 1) AS kept FROM r GROUP BY rid)
-SELECT doc_id, CASE WHEN n > 0 THEN coalesce(kept, '') ELSE text END AS text, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN g USING (rid)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(regexp_replace(text, '(\n|[.!?]+[\x20\x09\x0B-\x0D]+)', '\1' || chr(63743), 'g'), chr(63743)) AS us FROM documents),
+l AS (SELECT rid, doc_id, unnest(range(1, len(us) + 1)) AS nr, unnest(us) AS unit FROM d),
+o AS (SELECT *, sum(length(unit)) OVER (PARTITION BY rid ORDER BY nr) AS e, list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+n AS (SELECT rid, doc_id, e - length(unit) AS s, e, len(w) AS words, array_to_string(w, ' ') AS norm, row_number() OVER (PARTITION BY rid ORDER BY nr) AS pos FROM o WHERE len(w) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) AS k FROM n),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY rid ORDER BY pos) AS run FROM r WHERE k > 1),
+x AS (SELECT rid, CAST(min(s) AS BIGINT) AS rs, CAST(max(e) AS BIGINT) AS re FROM i GROUP BY rid, run HAVING sum(CASE WHEN words >= 3 THEN words ELSE 0 END) >= 40),
+g AS (SELECT rid, count(*) AS n, string_agg(rs || ':' || re, ',' ORDER BY rs) AS removed FROM x GROUP BY rid),
+t AS (SELECT o.rid, string_agg(unit, '' ORDER BY nr) AS kept FROM o LEFT JOIN x ON o.rid = x.rid AND e - length(unit) >= rs AND e <= re WHERE x.rid IS NULL GROUP BY o.rid)
+SELECT doc_id, CASE WHEN n > 0 THEN coalesce(kept, '') ELSE text END AS text, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN g USING (rid) LEFT JOIN t USING (rid)
 """

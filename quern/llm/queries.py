@@ -18,9 +18,11 @@ from quern.llm import (
     simhash,
     url_filter,
 )
+from quern.llm.common import bounded_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -58,44 +58,87 @@ def test_sharded_names_a_shard_for_each_row(docs, empty, clashing):
 # 2: line dedup
 
 
-def brute_lines(docs, min_words=5):
+def brute_passages(rows, min_words, least_unit):
+    """Character by character and unit by unit: {doc_id: spans}."""
     seen, out = set(), {}
-    for i, text in sorted(docs, key=lambda d: d[0]):
-        at, gone = 0, []
-        for line in (text or "").split("\n"):
-            words = line.lower().encode().split()
-            if len(words) >= min_words:
-                d = b" ".join(words)
-                if d in seen:
-                    gone.append((at, at + len(line)))
-                seen.add(d)
-            at += len(line) + 1
-        out[i] = gone
+    for i, text in sorted(rows, key=lambda d: d[0]):
+        text, units, start, at = text or "", [], 0, 0
+        while at < len(text):
+            at += 1
+            marks = text[start:at].rstrip("\x20\t\x0b\x0c\r")
+            blanks = at - start - len(marks)
+            ends = text[at - 1] == "\n" or (marks.endswith((".", "!", "?")) and blanks and text[at : at + 1] not in ("\x20", "\t", "\x0b", "\x0c", "\r"))
+            if ends or at == len(text):
+                words = text[start:at].lower().encode().split()
+                if words:
+                    units.append((start, at, len(words), b" ".join(words)))
+                start = at
+        runs, last = [], None
+        for n, (a, b, size, norm) in enumerate(units):
+            if norm in seen:
+                counted = size if size >= least_unit else 0
+                if last == n - 1 and runs:
+                    runs[-1] = (runs[-1][0], b, runs[-1][2] + counted)
+                else:
+                    runs.append((a, b, counted))
+                last = n
+            seen.add(norm)
+        out[i] = [(a, b) for a, b, size in runs if size >= min_words]
     return out
 
 
-def test_lines_are_kept_once(spark, texts):
-    rows = list(enumerate(texts))
-    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    want = brute_lines(rows)
+@pytest.fixture(scope="module")
+def passages(texts):
+    """Texts with shared passages: amid lines, cut at both ends, across lines, thrice in one text, in many copies, with many short units."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    sentences = lambda n: [" ".join(rng.choice(words, rng.integers(4, 12))) for _ in range(n)]
+    shared = [". ".join(sentences(8)) for _ in range(4)]
+    own = lambda: ".  ".join(sentences(5))
+    made = [f"{own()} {p}. {own()}" for p in shared] + [f"{own()}! {p}? {own()}" for p in shared]
+    made += [f"{own()}\n{shared[0].replace('. ', '.\n').upper()}.\n\n{own()}", f"{own()}. {shared[1]}.\r\n{shared[1]}. {shared[1]}"]
+    made += [shared[2]] * 40 + ["Yes! " * 100, "no yes! Yes!  Yes! " * 30, shared[3][: len(shared[3]) // 2], "tail " * 5000, "tail " * 5000 + ". "]
+    return [*texts, *made]
+
+
+@pytest.mark.parametrize(("min_words", "least_unit"), [(40, 3), (5, 1), (12, 6)])
+def test_repeated_passages_are_kept_once(spark, passages, min_words, least_unit):
+    rows = list(enumerate(passages))
+    found = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words, least_unit).collect()
+    want = brute_passages(rows, min_words, least_unit)
     assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed_spans"]] for r in found} == want
+    assert sum(map(bool, want.values())) > 40
     for r in found:
-        text = texts[r["doc_id"]]
-        if text is None:
-            assert r["text"] is None
-        else:
-            starts, at, kept = {s for s, _ in want[r["doc_id"]]}, 0, []
-            for line in text.split("\n"):
-                if at not in starts:
-                    kept.append(line)
-                at += len(line) + 1
-            assert r["text"] == "\n".join(kept)
-
-
-def test_lines_of_odd_tables(docs, empty, clashing):
-    assert line_dedup.dedup_lines(empty).count() == 0
-    found = line_dedup.dedup_lines(clashing)
+        text = passages[r["doc_id"]]
+        for a, b in reversed(want[r["doc_id"]]):
+            text = text[:a] + text[b:]
+        assert r["text"] == text
+
+
+def test_a_passage_within_longer_lines_goes(spark):
+    """A shared passage of 60 words between words that differ, in one line."""
+    sentence = lambda of: " ".join(f"{of}{i}" for i in range(12)) + ". "
+    passage = "".join(sentence(x) for x in "abcde")
+    texts = [f"start one {passage}end one", f"another start {passage}another end", f"{passage[:180]} x"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.op2_line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0] and got[2] == texts[2]
+    assert got[1] == f"another start {sentence('a')}another end"
+
+
+def test_lines_and_paragraphs_as_units(spark):
+    block = "\n".join(" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = spark.createDataFrame([(1, f"{block}\n\nrest"), (2, f"first\n\n{block}\n\nlast"), (3, f"x {block[:100]}\n{block}")], "doc_id long, text string")
+    texts = lambda split: {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(docs, split=split).collect()}
+    assert texts("line")[2] == "first\n\n\nlast" and texts("line")[3] == f"x {block[:100]}\n"
+    assert texts("paragraph")[2] == "first\n\nlast" and texts("paragraph")[3].endswith(block)
+
+
+def test_passages_of_odd_tables(docs, empty, clashing):
+    assert line_dedup.dedup_passages(empty).count() == 0
+    found = line_dedup.dedup_passages(clashing)
     assert found.columns == [*clashing.columns, "removed_spans"] and found.count() == docs.count()
+    again = [r for r in found.collect() if r["doc_id"] == 0]
+    assert len(again) == 2 and again[0] == again[1] and not again[0]["removed_spans"]  # repeated rows are one document
 
 
 # 3: license scan
