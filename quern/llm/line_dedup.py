@@ -2,16 +2,15 @@
 
 1. A text is cut into units behind every line end and behind every run of
    ``.!?`` that blanks follow (``split="line"``: behind line ends alone;
-   ``"paragraph"``: behind empty lines). Units cover the whole text. One with
-   words is normalised (lower case, runs of blanks made one space, ends trimmed)
-   and hashed; one without belongs to the units around it.
+   ``"paragraph"``: behind empty lines). A piece of fewer than ``least_unit``
+   words repeats by chance: it is part of the unit that follows. Units cover the
+   whole text; each is normalised (lower case, runs of blanks made one space,
+   ends trimmed) and hashed.
 2. The copies of a digest are grouped over all documents. The earliest ranked
    one (by doc_id, then position) is kept; the others are repeated.
-3. Repeated units that follow each other in a document make a run. Runs whose
-   units have ``min_words`` words or more are removed, the rest is left alone.
-   Units of fewer than ``least_unit`` words repeat by chance: in a run, they go
-   with the others, but their words don't count. Offsets of what was removed
-   refer to the original text (code points, end exclusive).
+3. Repeated units that follow each other in a document make a run. Runs of
+   ``min_words`` words or more are removed, the rest is left alone. Offsets of
+   what was removed refer to the original text (code points, end exclusive).
 
 Passages begin and end within sentences as a rule, and those two halves are
 units of their own that don't repeat. The default of 40 words in whole units
@@ -51,28 +50,30 @@ UNITS = "array<struct<digest:binary,pos:int,start:int,end:int,words:int>>"
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def units_of(texts: pa.Array, ends: re.Pattern[str]) -> pa.Array:
-    """The units of each text that have words: digest, number, code point offsets, words."""
+def units_of(texts: pa.Array, ends: re.Pattern[str], least_unit: int) -> pa.Array:
+    """The units of each text that has words: digest, number, code point offsets, words."""
     sizes, digests, places = [0], [], []
     for text in texts:
-        text, start, pos = text.as_py() or "", 0, 0
+        text, start, pos, held = text.as_py() or "", 0, 0, []
+        last = 0
         for end in [*(m.end() for m in ends.finditer(text)), len(text)]:
-            words = text[start:end].lower().encode().split()
-            if words:
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                places.append((pos, start, end, len(words)))
-                pos += 1
-            start = end
+            words = text[last:end].lower().encode().split()
+            held += words
+            if len(words) >= least_unit or (held and end == len(text)):
+                digests.append(hashlib.blake2b(b" ".join(held), digest_size=16).digest())
+                places.append((pos, start, end, len(held)))
+                start, pos, held = end, pos + 1, []
+            last = end
         sizes.append(len(digests))
     numbers = np.array(places, np.int32).reshape(-1, 4)
     fields = [pa.array(digests, pa.binary()), *(pa.array(numbers[:, i]) for i in range(4))]
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, names=["digest", "pos", "start", "end", "words"]))
 
 
-def text_units(text: Column | str, split: str) -> Column:
+def text_units(text: Column | str, least_unit: int, split: str) -> Column:
     @F.arrow_udf(UNITS)
     def of(texts: pa.Array) -> pa.Array:
-        return units_of(texts, ENDS[split])
+        return units_of(texts, ENDS[split], least_unit)
 
     return of(text)
 
@@ -81,7 +82,7 @@ def repeats(docs: DataFrame, min_words: int, least_unit: int, split: str) -> Dat
     """(did, key, removed): the spans to remove of each document that has any, in order."""
     # Ids first, rows without one after all others; the text's hash orders what shares an id.
     rank = {"none": F.col("doc_id").isNull(), "did": F.coalesce("doc_id", F.lit(0)), "key": row_key("doc_id", "text")}
-    units = docs.select("doc_id", "text").withColumns(rank).select(*rank, F.explode(text_units("text", split)).alias("u"))
+    units = docs.select("doc_id", "text").withColumns(rank).select(*rank, F.explode(text_units("text", least_unit, split)).alias("u"))
     units = stored(units.select(*rank, "u.*"), "text-units")
     place = F.struct("none", "did", "key", "pos")
     firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -90,7 +91,7 @@ def repeats(docs: DataFrame, min_words: int, least_unit: int, split: str) -> Dat
     # From here on all is done where a document's units are: one shuffle.
     later = later.repartition("did", "key").dropDuplicates(["did", "key", "pos"])
     run = F.col("pos") - F.row_number().over(Window.partitionBy("did", "key").orderBy("pos"))
-    runs = later.withColumn("run", run).groupBy("did", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(F.col("words") >= least_unit, F.col("words"))).alias("words"))
+    runs = later.withColumn("run", run).groupBy("did", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
     spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")
     found = stored(runs.where(F.col("words") >= min_words).groupBy("did", "key").agg(spans), "repeated-runs")
     discard(units, firsts)
@@ -110,10 +111,12 @@ def cut(text: Column, removed: Column) -> Column:
     return without(text, removed)
 
 
-def dedup_passages(docs: DataFrame, min_words: int = 40, least_unit: int = 3, split: str = "sentence") -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = 40, least_unit: int = 5, split: str = "sentence") -> DataFrame:
     """The input with repeated runs cut from ``text``, and ``removed_spans``: the original offsets of each."""
     named = docs.withColumns({"__q_did": F.coalesce("doc_id", F.lit(0)), "__q_key": row_key("doc_id", "text")})
-    joined = named.join(repeats(docs, min_words, least_unit, split).toDF("__q_did", "__q_key", "__q_spans"), ["__q_did", "__q_key"], "left")
+    spans = repeats(docs, min_words, least_unit, split).toDF("__q_did", "__q_key", "__q_spans")
+    # Spans are a few bytes for a text of thousands: hashed per partition, so that texts aren't sorted.
+    joined = named.join(spans.hint("shuffle_hash"), ["__q_did", "__q_key"], "left")
     gone = F.coalesce("__q_spans", F.array().cast(SPANS))
     text = F.when(F.size(gone) > 0, cut(F.col("text"), gone)).otherwise(F.col("text"))
     return joined.withColumns({"text": text, "removed_spans": gone}).select(*docs.columns, "removed_spans")
@@ -130,10 +133,12 @@ ORACLE_OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(regexp_replace(text, '(\n|[.!?]+[\x20\x09\x0B-\x0D]+)', '\1' || chr(63743), 'g'), chr(63743)) AS us FROM documents),
 l AS (SELECT rid, doc_id, unnest(range(1, len(us) + 1)) AS nr, unnest(us) AS unit FROM d),
 o AS (SELECT *, sum(length(unit)) OVER (PARTITION BY rid ORDER BY nr) AS e, list_filter(string_split_regex(lower(unit), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
-n AS (SELECT rid, doc_id, e - length(unit) AS s, e, len(w) AS words, array_to_string(w, ' ') AS norm, row_number() OVER (PARTITION BY rid ORDER BY nr) AS pos FROM o WHERE len(w) > 0),
+b AS (SELECT *, coalesce(sum(CASE WHEN len(w) >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nr_unit FROM o),
+m AS (SELECT rid, doc_id, nr_unit AS pos, min(e - length(unit)) AS s, max(e) AS e, CAST(sum(len(w)) AS BIGINT) AS words, string_agg(array_to_string(w, ' '), ' ' ORDER BY nr) FILTER (len(w) > 0) AS norm FROM b GROUP BY rid, doc_id, nr_unit),
+n AS (SELECT * FROM m WHERE words > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) AS k FROM n),
 i AS (SELECT *, pos - row_number() OVER (PARTITION BY rid ORDER BY pos) AS run FROM r WHERE k > 1),
-x AS (SELECT rid, CAST(min(s) AS BIGINT) AS rs, CAST(max(e) AS BIGINT) AS re FROM i GROUP BY rid, run HAVING sum(CASE WHEN words >= 3 THEN words ELSE 0 END) >= 40),
+x AS (SELECT rid, CAST(min(s) AS BIGINT) AS rs, CAST(max(e) AS BIGINT) AS re FROM i GROUP BY rid, run HAVING sum(words) >= 40),
 g AS (SELECT rid, count(*) AS n, string_agg(rs || ':' || re, ',' ORDER BY rs) AS removed FROM x GROUP BY rid),
 t AS (SELECT o.rid, string_agg(unit, '' ORDER BY nr) AS kept FROM o LEFT JOIN x ON o.rid = x.rid AND e - length(unit) >= rs AND e <= re WHERE x.rid IS NULL GROUP BY o.rid)
 SELECT doc_id, CASE WHEN n > 0 THEN coalesce(kept, '') ELSE text END AS text, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN g USING (rid) LEFT JOIN t USING (rid)
