@@ -4,12 +4,14 @@ A url is judged by the longest rule that fits its host (or a parent domain) and
 the start of its path. Urls without a rule get their host's verdict: trust
 spreads by personalised PageRank from the hosts with allowed pages along links,
 distrust from the hosts with blocked pages against them (who links to a blocked
-host is suspect). A host is blocked where distrust exceeds trust by more than
-``margin``.
+host is suspect). What reaches a host without links onward goes back to the
+seeds, which comes to the same as bringing all trust, and all distrust, to a sum
+of one. A host is blocked where distrust is more than ``cut`` of both: a share,
+so that the verdicts of a graph don't depend on how many other hosts there are.
 
 Ranks are tables of hosts; each round passes on only what the round before added
-and sums per target, and is stored. Rounds end when all that is still under way
-can't change a verdict's rounding. The longest rule is picked among the few that fit a
+and sums per target, and is stored. Rounds end when no more than ``TOLERANCE`` of
+all rank is still under way. The longest rule is picked among the few that fit a
 host, which are found once per host by an equality join on the host's parent
 domains. Built-in functions only.
 
@@ -17,7 +19,8 @@ Defined results: a null url and one without ``://`` have empty host and path and
 no rule; hosts that neither seed reaches are allowed; a null html has no links;
 relative links and links within a host are no host edges; repeated rows each
 give their own row; of rules of one length, that with the longer host wins, then
-a blocking one.
+a blocking one; a very long url or page is read whole in the JVM; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, UPPER, stored
+from quern.llm.common import LOWER, UPPER, discard, stored
+from quern.llm.components import FILE_ROWS
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -63,8 +67,10 @@ def best_rule(fitting: Column, path: Column) -> Column:
     return F.array_max(F.filter(fitting, lambda r: F.startswith(path, r["rule_path"])))
 
 
-#: Rank that may be missing when rounds end; verdicts round to 1e-12.
+#: The share of all rank that may be missing when rounds end.
 TOLERANCE = 1e-13
+#: Above this share of distrust a host is blocked; a half, and what sums in another order may differ by.
+CUT = 0.5 + 1e-9
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None = None) -> DataFrame:
@@ -83,6 +89,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int |
     a, b = (sums["a"] or 1, sums["b"] or 1)
     mass = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allowed") / a).alias("seed")), F.struct(F.lit("distrust").alias("kind"), (F.col("blocked") / b).alias("seed")))).alias("m"))
     mass = stored(mass.select("host", "m.*").where("seed > 0"), "host-seeds")
+    files = max(1, graph.count() // FILE_ROWS)
     rank = (F.col("seed") * (1 - damping)).alias("rank")
     ranks = stored(mass.select("kind", "host", rank, rank.alias("added")), "host-ranks")
     while rounds is None or rounds > 0:
@@ -90,7 +97,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int |
         flow = graph.join(moving, (F.col("kind") == F.col("k")) & (F.col("from") == F.col("h")))
         flow = flow.select("kind", F.col("to").alias("host"), (F.col("share") * F.col("added") * damping).alias("rank")).withColumn("added", F.col("rank"))
         kept = ranks.select("kind", "host", "rank", F.lit(0.0).alias("added"))
-        ranks = stored(kept.union(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("added").alias("added")), "host-ranks")
+        before, ranks = ranks, stored(kept.union(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("added").alias("added")).coalesce(files), "host-ranks")
+        discard(before)
         if rounds is not None:
             rounds -= 1
         elif (ranks.agg(F.sum("added")).first()[0] or 0.0) * damping <= TOLERANCE * (1 - damping):
@@ -99,7 +107,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int |
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int | None = None, margin: float = 1e-9) -> DataFrame:
+def suspects(ranks: DataFrame, cut: float = CUT) -> DataFrame:
+    """(bad): the hosts whose share of distrust is above the cut. ``ranks``: (host, trust, distrust)."""
+    all_trust, all_distrust = ranks.agg(F.sum("trust"), F.sum("distrust")).first()
+    trust, distrust = F.col("trust") / (all_trust or 1.0), F.col("distrust") / (all_distrust or 1.0)
+    return ranks.where(distrust / (trust + distrust) > cut).select(F.col("host").alias("bad"))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int | None = None, cut: float = CUT) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each input row."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fitting = stored(fitting_rules(parsed.select("host").distinct(), rules).withColumnRenamed("host", "of"), "host-rules")
@@ -108,8 +123,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds
     seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(linked_hosts(F.col("html"))).alias("dst")).where("src <> dst AND src <> '' AND dst <> ''")
     edges = stored(links.groupBy("src", "dst").agg(F.count("*").alias("links")), "host-edges")
-    ranks = propagated(edges, stored(seeds, "host-counts"), damping, rounds)
-    bad = stored(ranks.where(F.round("distrust", 12) > F.round("trust", 12) + margin).select(F.col("host").alias("bad")), "bad-hosts")
+    ranks = stored(propagated(edges, stored(seeds, "host-counts"), damping, rounds), "host-trust")
+    bad = stored(suspects(ranks, cut), "bad-hosts")
     own = F.when(F.col("bad").isNotNull(), "block").otherwise("allow")
     return judged.join(bad, F.col("host") == F.col("bad"), "left").select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"))
 
@@ -123,7 +138,7 @@ def op9_url_filter(pages: DataFrame) -> DataFrame:
     return judge_urls(pages, rule_table(pages.sparkSession, RULES))
 
 
-def oracle_op9(rounds: int = 12, damping: float = 0.85, margin: float = 1e-9) -> str:
+def oracle_op9(rounds: int = 12, damping: float = 0.85) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     ranks = "\n".join(
         f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT g.kind, g.t AS host, g.share * r.rank * {damping} AS rank FROM g JOIN r{i} r ON g.kind = r.kind AND g.f = r.host UNION ALL SELECT * FROM r0) GROUP BY kind, host),"
@@ -141,6 +156,7 @@ e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND src <> '' AND d
 g AS MATERIALIZED (SELECT 'trust' AS kind, src AS f, dst AS t, n / sum(n) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
 r0 AS MATERIALIZED (SELECT 'trust' AS kind, host, a / greatest((SELECT sum(a) FROM c), 1) * (1 - {damping}) AS rank FROM c WHERE a > 0 UNION ALL SELECT 'distrust', host, b / greatest((SELECT sum(b) FROM c), 1) * (1 - {damping}) FROM c WHERE b > 0),
 {ranks}
-k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN round(d, 12) > round(t, 12) + {margin} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN k USING (host)
+k AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host),
+s AS (SELECT host, t / (SELECT greatest(sum(t), 1e-300) FROM k) AS t, d / (SELECT greatest(sum(d), 1e-300) FROM k) AS d FROM k)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN d / (t + d) > {CUT} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN s USING (host)
 """
