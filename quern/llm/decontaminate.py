@@ -1,23 +1,26 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
 1. Every benchmark item is cut into windows of ``window`` consecutive words.
-2. Over all documents, the document frequency of the windows' terms is counted.
+2. Over all documents, the occurrences of the windows' terms are counted: the
+   lengths of their lists of postings.
 3. Of each window, the two rarest terms are its pivots. The index stores the
    postings of all pivots: term, document, position, and the words around it.
 4. A window's occurrences: the lists of its two rarest terms, each shifted by
    the term's offset in the window, are intersected; the stored surroundings
-   then confirm the other terms at their offsets (exact phrase) or anywhere
-   within ``slop`` words around (proximity).
+   then confirm the other terms at their offsets (exact phrase) or, as often as
+   the window has them, in any order within the window and ``slop`` words on
+   either side of it (proximity).
 
-Texts are split in the JVM and pass through two bounded bit maps (terms, then
-pivots) before a word becomes a row, so that only rows of the few rare terms
-are made, stored and shuffled. The bit maps only save work: the joins behind
-them are exact. Built-in functions only.
+Texts are split in the JVM and their words pass through two bounded bit maps
+(terms, then pivots) in the generated code that splits them up, so that only
+rows of the few rare terms are made, stored and shuffled. The bit maps only save
+work: the joins behind them are exact. Built-in functions only.
 
 Defined results: null and empty texts have no words and are never hit; an item
 without words has no window and is ignored; an item with a null id can hit
 words but is not counted as an item; repeated rows each give their own row;
-other columns are ignored.
+a very long text is one array of words in one task, read whole; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +41,14 @@ def words_as_written(text: Column) -> Column:
 
 
 class BitMap:
-    """A Bloom filter of terms as a literal of at most 2^18 bits, tested without regard to case."""
+    """A Bloom filter of terms as a literal of at most 2^22 bits (512 KiB), tested without regard to case.
+
+    It is built for a benchmark's terms; beyond a million of them more words
+    pass it, which costs rows, not results.
+    """
 
     def __init__(self, terms: DataFrame, count: int):
-        self.bits = 1 << min(18, max(10, math.ceil(math.log2(64 * max(1, count)))))
+        self.bits = 1 << min(22, max(10, math.ceil(math.log2(64 * max(1, count)))))
         ones = terms.select(F.explode(F.array(*self.places(F.col("term")))).alias("at"))
         ones = ones.groupBy(F.floor(F.col("at") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("w"))
         words = [0] * (self.bits // 64)
@@ -65,20 +72,20 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     return words.select("item_id", "words", starts.alias("s")).select("item_id", F.slice("words", F.col("s"), F.lit(window)).alias("phrase")).distinct()
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) of all terms that occur; spellings that differ in case count apart in one document."""
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n) of all terms that occur."""
     known = BitMap(terms, terms.count())
-    found = docs.select(F.filter(F.array_distinct(words_as_written(F.col("text"))), known.holds).alias("found"))
-    return found.select(F.explode("found").alias("w")).select(ascii_lower(F.col("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = docs.select(F.explode(words_as_written(F.col("text"))).alias("w")).where(known.holds(F.col("w")))
+    return found.select(ascii_lower(F.col("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def pivoted_windows(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(window, item_id, phrase, rare, rare2): each window with its two rarest terms as (df, term, offset)."""
+    """(window, item_id, phrase, rare, rare2): each window with its two rarest terms as (n, term, offset)."""
     windows = stored(benchmark_windows(items, window).withColumn("window", F.xxhash64("phrase")), "windows")
     each = windows.select("window", "phrase", F.posexplode("phrase").alias("offset", "term")).distinct()
     terms = stored(each.select("term").distinct(), "terms")
-    counted = stored(document_frequency(docs, terms), "frequencies")
-    ranked = each.join(counted, "term").groupBy("phrase").agg(F.array_sort(F.collect_set(F.struct("df", "term", "offset"))).alias("r"))
+    counted = stored(occurrences(docs, terms), "frequencies")
+    ranked = each.join(counted, "term").groupBy("phrase").agg(F.array_sort(F.collect_set(F.struct("n", "term", "offset"))).alias("r"))
     ranked = ranked.where(F.size("r") == F.size("phrase"))  # a term that no document has: no occurrence
     rare = ranked.select("phrase", F.col("r")[0].alias("rare"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("rare2"))
     return stored(windows.join(rare, "phrase"), "pivots")
@@ -90,12 +97,9 @@ def build_index(docs: DataFrame, pivots: DataFrame, reach: int) -> DataFrame:
     known = BitMap(terms, terms.count())
     words = docs.select(F.coalesce("doc_id", F.lit(0)).alias("did"), row_key("doc_id", "text").alias("key"), words_as_written(F.col("text")).alias("words"))
 
-    def posting(word: Column, i: Column) -> Column:
-        low = F.greatest(i - reach, F.lit(0))
-        made = F.struct(i.alias("pos"), (i - low).alias("at"), F.slice("words", low + 1, F.lit(2 * reach + 1)).alias("around"))
-        return F.when(known.holds(word), made)
-
-    rows = words.select("did", "key", F.explode(F.array_compact(F.transform("words", posting))).alias("p")).select("did", "key", "p.*")
+    each = words.select("did", "key", "words", F.posexplode("words").alias("pos", "word")).where(known.holds(F.col("word")))
+    around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+    rows = each.select("did", "key", "pos", F.least("pos", F.lit(reach)).alias("at"), around.alias("around"))
     rows = rows.withColumn("term", ascii_lower(F.get("around", F.col("at"))))
     return stored(rows.join(terms, "term", "left_semi"), "postings")
 
@@ -104,23 +108,29 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: in
     """(did, key, item_id, start, length, exact): where windows of items occur in documents.
 
     ``did`` and ``key`` name a row of ``docs`` (``row_names``). With a slop, rows
-    with exact = false say that all the window's words occur within slop words
-    around, in any order, with the rarest two nearly in place.
+    with exact = false say that all the window's words, repeats included, occur
+    in any order from slop words before ``start`` to slop words behind the
+    window's end, the rarest one in its place.
     """
     pivots = pivoted_windows(docs, items, window)
     index = build_index(docs, pivots, window - 1 + slop)
+    size = F.size("phrase")
 
     def shifted(rank: str) -> DataFrame:
         lists = pivots.select(F.col(f"{rank}.term").alias("of"), F.col(f"{rank}.offset").alias("offset"), "window", "item_id", "phrase")
         return index.join(lists, index["term"] == lists["of"]).withColumn("start", F.col("pos") - F.col("offset"))
 
     first = shifted("rare")
-    second = shifted("rare2").select("window", "did", "key", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start"))
-    both = first.join(second, ["window", "did", "key", "start"], "left_semi").withColumn("around", F.transform("around", ascii_lower))
-    size = F.size("phrase")
+    second = shifted("rare2")
+    if slop:  # the second term may lie anywhere in the window and around it
+        second = second.withColumn("start", F.explode(F.sequence(F.col("pos") - size - slop + 1, F.col("pos") + slop)))
+    both = first.join(second.select("window", "did", "key", "start"), ["window", "did", "key", "start"], "left_semi").withColumn("around", F.transform("around", ascii_lower))
     from_ = F.col("at") - F.col("offset")
     exact = (from_ >= 0) & (F.slice("around", F.greatest(from_, F.lit(0)) + 1, size) == F.col("phrase"))
-    near = F.size(F.array_except("phrase", "around")) == 0 if slop else F.lit(False)
+    low = F.greatest(from_ - slop, F.lit(0))
+    both = both.withColumn("reach", F.slice("around", low + 1, from_ + size + slop - low))
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    near = F.forall("phrase", lambda w: times("reach", w) >= times("phrase", w)) if slop else F.lit(False)
     return both.withColumn("exact", exact).where(F.col("exact") | near).select("did", "key", "item_id", "start", size.alias("length"), "exact")
 
 
