@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import row_key, stored
 from quern.llm.components import connected_components
 
 BITS = 64
@@ -230,33 +230,44 @@ def compared(rows: Iterator[pa.RecordBatch], distance: int, sides: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42, per_part: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each input row."""
-    marked = stored(docs.select("doc_id", fingerprints("text", shingle, seed).alias("fp")), "fingerprints")
+def grouped(docs: DataFrame, distance: int, shingle: int, seed: int, per_part: int) -> DataFrame:
+    """(doc_id, row, fp, root, component_id), one row for each input row."""
+    marked = stored(docs.select("doc_id", row_key("doc_id", "text").alias("row"), fingerprints("text", shingle, seed).alias("fp")), "fingerprints")
     entries = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
     blocks = blocks_for(entries.count(), distance, per_part)
     found = connected_components(linked_fingerprints(entries.select("fp"), distance, blocks))
     placed = stored(entries.join(found, entries["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(placed.select("fp", "root").join(stored(roots, "roots"), "root").select(F.col("fp").alias("of"), "component_id"), "labels")
-    return marked.join(labels, marked["fp"] == labels["of"]).select("doc_id", "fp", "component_id")
+    labels = stored(placed.select("fp", "root").join(stored(roots, "roots"), "root").select(F.col("fp").alias("of"), "root", "component_id"), "labels")
+    return marked.join(labels, marked["fp"] == labels["of"]).select("doc_id", "row", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42, per_part: int = 4096) -> DataFrame:
+    """(doc_id, fp, component_id), one row for each input row."""
+    return grouped(docs, distance, shingle, seed, per_part).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+def one_of_each(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42, per_part: int = 4096) -> DataFrame:
     """The documents that represent their component, in the input's columns."""
-    return representatives(docs, near_duplicates(docs, **options))
+    return representatives(docs, grouped(docs, distance, shingle, seed, per_part))
 
 
-def representatives(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The documents whose id is that of their component. ``labelled``: doc_id, component_id.
+def representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One document of each component. ``placed``: doc_id, row (``row_key``), root.
 
-    Rows without an id can't be told apart from their copies and stay. Of
-    repeated rows of one id, the one whose text sorts first stays.
+    That with the least id stays, and of rows that share it, that with the
+    least key; a document without an id stays only where its component has no
+    other. Texts are held against keys alone; only rows that are there more than
+    once, id and text alike, are gathered.
     """
-    kept = labelled.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    known = known.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("d")).select("d.*")
-    return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = placed.groupBy("root").agg(F.min(rank).alias("r")).select(F.coalesce("r.doc_id", F.lit(0)).alias("__q_did"), F.col("r.row").alias("__q_row"))
+    times = placed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__q_did"), F.col("row").alias("__q_row")).agg(F.count("*").alias("times"))
+    kept = stored(first.join(times, ["__q_did", "__q_row"]), "representatives")
+    named = docs.withColumns({"__q_did": F.coalesce("doc_id", F.lit(0)), "__q_row": row_key("doc_id", "text")})
+    single = named.join(kept.where("times = 1"), ["__q_did", "__q_row"], "left_semi")
+    repeated = named.join(kept.where("times > 1"), ["__q_did", "__q_row"], "left_semi").dropDuplicates(["__q_did", "__q_row"])
+    return single.union(repeated).select(*docs.columns)
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:

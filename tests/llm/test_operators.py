@@ -62,7 +62,7 @@ def brute_passages(rows, min_words, least_unit):
     """Character by character and unit by unit: {doc_id: spans}."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda d: d[0]):
-        text, units, start, at = text or "", [], 0, 0
+        text, units, start, at, first, held = text or "", [], 0, 0, 0, []
         while at < len(text):
             at += 1
             marks = text[start:at].rstrip("\x20\t\x0b\x0c\r")
@@ -70,17 +70,18 @@ def brute_passages(rows, min_words, least_unit):
             ends = text[at - 1] == "\n" or (marks.endswith((".", "!", "?")) and blanks and text[at : at + 1] not in ("\x20", "\t", "\x0b", "\x0c", "\r"))
             if ends or at == len(text):
                 words = text[start:at].lower().encode().split()
-                if words:
-                    units.append((start, at, len(words), b" ".join(words)))
+                held += words
+                if len(words) >= least_unit or (held and at == len(text)):
+                    units.append((first, at, len(held), b" ".join(held)))
+                    first, held = at, []
                 start = at
         runs, last = [], None
         for n, (a, b, size, norm) in enumerate(units):
             if norm in seen:
-                counted = size if size >= least_unit else 0
                 if last == n - 1 and runs:
-                    runs[-1] = (runs[-1][0], b, runs[-1][2] + counted)
+                    runs[-1] = (runs[-1][0], b, runs[-1][2] + size)
                 else:
-                    runs.append((a, b, counted))
+                    runs.append((a, b, size))
                 last = n
             seen.add(norm)
         out[i] = [(a, b) for a, b, size in runs if size >= min_words]
@@ -101,7 +102,7 @@ def passages(texts):
     return [*texts, *made]
 
 
-@pytest.mark.parametrize(("min_words", "least_unit"), [(40, 3), (5, 1), (12, 6)])
+@pytest.mark.parametrize(("min_words", "least_unit"), [(40, 5), (5, 1), (12, 6)])
 def test_repeated_passages_are_kept_once(spark, passages, min_words, least_unit):
     rows = list(enumerate(passages))
     found = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words, least_unit).collect()
@@ -128,8 +129,8 @@ def test_a_passage_within_longer_lines_goes(spark):
 def test_lines_and_paragraphs_as_units(spark):
     block = "\n".join(" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
     docs = spark.createDataFrame([(1, f"{block}\n\nrest"), (2, f"first\n\n{block}\n\nlast"), (3, f"x {block[:100]}\n{block}")], "doc_id long, text string")
-    texts = lambda split: {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(docs, split=split).collect()}
-    assert texts("line")[2] == "first\n\n\nlast" and texts("line")[3] == f"x {block[:100]}\n"
+    texts = lambda split: {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(docs, least_unit=1, split=split).collect()}
+    assert texts("line")[2] == "first\n\nlast" and texts("line")[3] == f"x {block[:100]}\n"
     assert texts("paragraph")[2] == "first\n\nlast" and texts("paragraph")[3].endswith(block)
 
 
@@ -465,6 +466,41 @@ def test_proximity(spark):
     assert told[1] is True and 3 not in told and told.get(2, False) is False
 
 
+@pytest.mark.parametrize("slop", [1, 2, 4])
+def test_proximity_finds_what_lies_around_and_no_more(spark, slop):
+    """Against brute force: words as often as in the window, from slop before it to slop behind it, the rarest in place."""
+    rng = np.random.default_rng(slop)
+    phrase = "red blue red green stone tree".split()
+    fill = lambda n: [f"x{i}" for i in rng.integers(0, 50, n)]
+    texts = []
+    for _ in range(80):
+        words = list(phrase)
+        for _ in range(rng.integers(0, 4)):
+            a, b = rng.integers(0, 6, 2)
+            words[a], words[b] = words[b], words[a]
+        for _ in range(rng.integers(0, 4)):
+            words.insert(rng.integers(0, len(words) + 1), "gap")
+        if rng.random() < 0.3:
+            words[words.index("red")] = "gap"
+        texts.append(fill(rng.integers(0, 4)) + words + fill(rng.integers(0, 4)))
+    texts += [["red"] * 6 + ["stone", "tree"], ["green", "blue", "red", "red", "tree", *["gap"] * 7, "stone"], ["stone"] * 200]
+    counts = Counter(w for t in texts for w in t)
+    rare = min((counts[w], w, i) for i, w in enumerate(phrase))
+    want = {}
+    for i, t in enumerate(texts):
+        for at, w in enumerate(t):
+            if w == rare[1]:
+                start = at - rare[2]
+                near = Counter(t[max(0, start - slop) : max(0, start + 6 + slop)])
+                if all(near[x] >= n for x, n in Counter(phrase).items()):
+                    want[i] = want.get(i, False) or (start >= 0 and t[start : start + 6] == phrase)
+    docs = spark.createDataFrame([(i, " ".join(t).title()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(phrase))], "item_id long, text string")
+    found = decontaminate.phrase_matches(docs, items, window=10, slop=slop).join(decontaminate.row_names(docs), ["did", "key"])
+    got = {r["doc_id"]: r["e"] for r in found.groupBy("doc_id").agg(F.max("exact").alias("e")).collect()}
+    assert got == want and len(set(want.values())) == 2 and len(want) < len(texts)
+
+
 # 9: url filter
 
 
@@ -533,6 +569,53 @@ def test_a_link_farm_of_many_hops_is_blocked(spark):
     assert {r["verdict"] for r in url_filter.op9_url_filter(pages_of(spark, rows)).collect()} == {"block"}
 
 
+def test_a_graph_copied_a_thousand_times_has_the_same_verdicts(spark):
+    """Close calls included: what a host is told doesn't depend on how many others there are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"https://h{i}.{tld}/{path}", "".join(f"<a href='https://h{j}.{'net' if j > 7 else 'org'}/'>x</a>" for j in rng.integers(0, 30, 3))) for i, (tld, path) in enumerate([("org", "a")] * 8 + [("net", "b")] * 18)]
+    rows += [(26 + i, f"https://h{26 + i}.example.org/es/", None) for i in range(4)]
+    edges = [(f"h{a}", f"h{b}", 1) for a in range(26) for b in rng.integers(0, 30, 2) if a != b]
+    seeds = [(f"h{i}", 3, 0) for i in range(4)] + [(f"h{26 + i}", 0, 1) for i in range(4)]
+    edges, seeds = spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, allowed long, blocked long")
+    once = {r["bad"] for r in url_filter.suspects(url_filter.propagated(edges, seeds, 0.85, 10)).collect()}
+    assert 3 < len(once) < 27
+    copies = spark.range(1000).withColumn("c", F.col("id").cast("string"))
+    name = lambda c: F.concat(c, F.lit(":"), "c").alias(c)
+    many = url_filter.propagated(edges.crossJoin(copies).select(name("src"), name("dst"), "links"), seeds.crossJoin(copies).select(name("host"), "allowed", "blocked"), 0.85, 10)
+    told = url_filter.suspects(many).groupBy(F.substring_index("bad", ":", 1).alias("h")).agg(F.count("*").alias("n")).collect()
+    assert {r["h"]: r["n"] for r in told} == dict.fromkeys(once, 1000)
+
+
+def test_dangling_mass_returns_to_the_seeds(spark):
+    """Shares of trust are those of power iteration that hands what ends at a host without links back to the seeds."""
+    edges = [("a", "b", 1), ("a", "c", 3), ("b", "d", 1), ("d", "a", 2), ("d", "e", 1)]
+    seeds = {"a": 2, "b": 1}
+    found = url_filter.propagated(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([(h, n, 0) for h, n in seeds.items()], "host string, allowed long, blocked long"), 0.85)
+    got = {r["host"]: r["trust"] for r in found.collect()}
+    hosts = "abcde"
+    v = {h: seeds.get(h, 0) / 3 for h in hosts}
+    out = {h: sum(n for s, _, n in edges if s == h) for h in hosts}
+    r = dict(v)
+    for _ in range(400):
+        lost = sum(r[h] for h in hosts if not out[h])
+        r = {h: 0.15 * v[h] + 0.85 * (lost * v[h] + sum(r[s] * n / out[s] for s, t, n in edges if t == h)) for h in hosts}
+    assert sum(r.values()) == pytest.approx(1)
+    for h in hosts:
+        assert got[h] / sum(got.values()) == pytest.approx(r[h], abs=1e-10)
+
+
+def test_urls_of_odd_tables(spark):
+    rows = [(1, "https://A.Org/x", None), (1, "https://A.Org/x", None), (2, None, "<a href='https://z.org/'>"), (3, "no scheme", ""), (4, "https://long.net/" + "p" * 200_000 + "?q", "x" * 300_000), (None, "https://de.com/de/1", "")]
+    pages = pages_of(spark, rows).withColumns({n: F.lit(1) for n in ("host", "path", "rule", "verdict", "fitting", "of", "bad", "said", "rank", "kind")})
+    found = url_filter.op9_url_filter(pages).collect()
+    assert found[0].asDict().keys() == {"page_id", "host", "path", "rule", "verdict"} and len(found) == len(rows)
+    by_id = {r["page_id"]: r for r in found}
+    assert sum(r["page_id"] == 1 and r["rule"] == "org/" for r in found) == 2
+    assert (by_id[2]["host"], by_id[2]["path"], by_id[2]["rule"]) == ("", "", None) and by_id[3]["verdict"] == "allow"
+    assert len(by_id[4]["path"]) == 200_001 and by_id[None]["verdict"] == "block"
+    assert url_filter.op9_url_filter(pages.where("false")).count() == 0
+
+
 # 10: quality rules
 
 
