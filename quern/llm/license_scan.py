@@ -7,8 +7,11 @@ of ``k + window - 1`` tokens can't be missed. Hits of one template on nearby
 diagonals form a candidate, which is aligned to the whole template within a band
 around its middle diagonal, and again around the diagonal of every hit that no
 match of the candidate covers yet, however many notices follow each other
-closely; what is reported is the share of the template's tokens that
-match and the span they cover (code points, end exclusive).
+closely. Candidates of one template whose own alignment covers too little are
+chained where their diagonals differ by at most ``spread`` and aligned as one, in
+a band that holds them all: a text with up to so many tokens put in or left out
+in one place is still one match. What is reported is the share of the template's
+tokens that match and the span they cover (code points, end exclusive).
 
 The index holds templates, not documents, and travels with the function; a
 document is scanned where it lies, so nothing is shuffled.
@@ -16,7 +19,9 @@ document is scanned where it lies, so nothing is shuffled.
 Defined results: null and empty texts match nothing; a template of fewer than k
 tokens is one k-gram; where spans of candidates overlap, the one that covers
 more tokens stays (ties: the higher coverage, the first start, the name);
-repeated rows each give their own rows; other columns are ignored.
+repeated rows each give their own rows; a very long text is scanned whole, in one
+task; a notice counts wherever its words stand, within a sentence too; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,15 +67,17 @@ class TemplateIndex:
             all_grams = grams(words, k)
             for i in winnow([zlib.crc32(b" ".join(g)) for g in all_grams], window):
                 self.places.setdefault(all_grams[i], []).append((name, i))
+        self.sizes = sorted({len(g) for g in self.places})  # k, and fewer where a template is shorter
 
     def candidates(self, words: list[bytes], band: int) -> list[tuple[str, list[tuple[int, int]]]]:
         """(template, hits) of each cluster of hits: (diagonal, document token), in order."""
         found: dict[str, list[tuple[int, int]]] = {}
-        places, k = self.places, self.k
-        for i, gram in enumerate(zip(*(words[j:] for j in range(k)), strict=False)):
-            if gram in places:
-                for name, at in places[gram]:
-                    found.setdefault(name, []).append((i - at, i))
+        places = self.places
+        for k in self.sizes:
+            for i, gram in enumerate(zip(*(words[j:] for j in range(k)), strict=False)):
+                if gram in places:
+                    for name, at in places[gram]:
+                        found.setdefault(name, []).append((i - at, i))
         out = []
         for name, hits in found.items():
             hits.sort()
@@ -114,7 +121,20 @@ def aligned(template: list[bytes], words: list[bytes | None], diagonal: int, ban
     return (matched, first, last) if matched and score > -10**8 else None
 
 
-def scan_text(text: str | None, index: TemplateIndex, coverage: float, band: int) -> list[dict]:
+def chains(clusters: list[list[tuple[int, int]]], spread: int) -> list[list[tuple[int, int]]]:
+    """Hits of clusters of one template, by diagonal, joined from each cluster on as far as the spread goes; single ones left out."""
+    out, reached = [], -1
+    for i, first in enumerate(clusters):
+        last = i
+        while last + 1 < len(clusters) and clusters[last + 1][-1][0] - first[0][0] <= spread:
+            last += 1
+        if last > i and last > reached:  # not part of the chain before
+            out.append([h for c in clusters[i : last + 1] for h in c])
+            reached = last
+    return out
+
+
+def scan_text(text: str | None, index: TemplateIndex, coverage: float, band: int, spread: int = 64) -> list[dict]:
     if not text:
         return []
     words = tokens(text)
@@ -123,6 +143,7 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float, band: int
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]
     found = []
+    missed: dict[str, list[list[tuple[int, int]]]] = {}
     for name, hits in candidates:
         template, left, tried = index.words[name], words, set()
         for diagonal, at in [hits[(len(hits) - 1) // 2], *hits]:
@@ -134,6 +155,14 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float, band: int
                 found.append((got[0], got[0] / len(template), got[1], got[2], name))
                 left = list(words) if left is words else left
                 left[got[1] : got[2] + 1] = [None] * (got[2] + 1 - got[1])
+        if left is words:
+            missed.setdefault(name, []).append(hits)
+    for name, clusters in missed.items():
+        for hits in chains(clusters, spread):
+            low, high = hits[0][0], hits[-1][0]
+            got = aligned(index.words[name], words, (low + high) // 2, (high - low + 1) // 2 + band)
+            if got and got[0] / len(index.words[name]) >= coverage:
+                found.append((got[0], got[0] / len(index.words[name]), got[1], got[2], name))
     kept: list[tuple[int, float, int, int, str]] = []
     taken: set[int] = set()
     for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
