@@ -14,14 +14,15 @@ identifier needs a secret, a weak key needs an identifier, an endpoint needs
 both.
 
 Defined results: null and empty texts give no spans; repeated rows each give
-their own row; ties in start are ordered by kind as listed in ``KINDS``. Other
-columns of the input, null or not, are ignored.
+their own row; ties in start are ordered by kind as listed in ``KINDS``; a very
+long text is scanned whole, in time that grows with its length and its parts.
+Other columns of the input, null or not, are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,15 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 # Weak parts of a credential.
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|GOOG|LTAI|AKID)[A-Z0-9]{8,}(?![A-Za-z0-9])")
+#: A name that is assigned an identifier; with a group for what it is assigned.
+NAMED = re.compile(r"(?<![A-Za-z])(?:[Cc]lient[_-]?[Ii][Dd]|CLIENT_?ID|[Uu]ser(?:_?[Nn]ame)?|USER(?:_?NAME)?|[Ll]ogin|LOGIN|[Aa]ccount(?:_?[Ii][Dd])?|ACCOUNT(?:_?ID)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})")
 KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}(?!\d)")
 PARAGRAPH = re.compile(r"\n[\x20\t]*\n")
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+#: The least of what NAMED finds, in any case.
+NAMES = "(?i)(?:client[_-]?id|user|name|login|account|account_?id)[\"']?\\x20*[:=]"
 PREFIXES = ("AKIA", "ASIA", "AROA", "AIDA", "GOOG", "LTAI", "AKID")
 
 
@@ -57,7 +62,7 @@ def possible(text: Column) -> Column:
         found = found | low.contains(word)
     for prefix in PREFIXES:
         found = found | text.contains(prefix)
-    return found
+    return found | text.rlike(NAMES)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -72,36 +77,63 @@ def weak_parts(text: str) -> list[tuple[str, int, int]]:
         return bool(re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s))
 
     found = [("identifier", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
+    found += [("identifier", m.start(), m.end()) for m in NAMED.finditer(text)]
     found += [("key", m.start(), m.end()) for m in KEY.finditer(text) if mixed(m[0])]
     return found + [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
 
 
+ROLES = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
+NEEDS = {"identifier": ("secret",), "key": ("id",), "endpoint": ("id", "secret")}
+
+
+class Sweep:
+    """The spans of one role by start and by end: the nearest on either side is found without looking at others."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts = sorted(s for s, _ in spans)
+        self.ends = sorted(e for _, e in spans)
+
+    def near(self, start: int, end: int, reach: int, low: int, high: int) -> bool:
+        """Whether a span between low and high lies apart from this one, at most ``reach`` away."""
+        after = bisect_left(self.starts, end)
+        before = bisect_right(self.ends, start) - 1
+        return (after < len(self.starts) and self.starts[after] <= min(end + reach, high - 1)) or (before >= 0 and self.ends[before] >= max(start - reach, low))
+
+
 def linked(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, int]]:
-    """The weak parts with complementary parts in reach: a sorted sweep, no pairs are made."""
-    role = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
-    ends = [m.start() for m in PARAGRAPH.finditer(text)]
-    by_role: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
-    for kind, start, end in sorted(base + weak, key=lambda s: (s[1], s[2])):
-        by_role[role[kind]].append((start, end))
-    starts = {r: [s for s, _ in spans] for r, spans in by_role.items()}
-    longest = {r: max((e - s for s, e in spans), default=0) for r, spans in by_role.items()}
-
-    def near(r: str, start: int, end: int) -> bool:
-        scope = bisect_left(ends, start)
-        low = bisect_left(starts[r], start - reach - longest[r])
-        for i in range(low, len(by_role[r])):
-            s, e = by_role[r][i]
-            if s > end + reach:
-                return False
-            apart = e <= start or s >= end  # one part never complements itself
-            if apart and e >= start - reach and bisect_left(ends, s) == scope:
-                return True
-        return False
-
-    needs = {"identifier": ("secret",), "key": ("id",), "endpoint": ("id", "secret")}
-    taken = [(s, e) for _, s, e in base]
-    free = [w for w in weak if w[0] == "endpoint" or not any(s < w[2] and w[1] < e for s, e in taken)]
-    return [w for w in free if all(near(r, w[1], w[2]) for r in needs[w[0]])]
+    """The weak parts with complementary parts in reach and in their paragraph: sorted sweeps, no pairs are made.
+
+    No span holds a line end, so that each lies in one paragraph.
+    """
+    breaks = [0, *(m.end() for m in PARAGRAPH.finditer(text)), len(text)]
+    sure = Cover([(s, e) for _, s, e in base])
+    free = [w for w in weak if w[0] == "endpoint" or not sure.meets(w[1], w[2])]
+    by_role = {r: Sweep([(s, e) for kind, s, e in base + weak if ROLES[kind] == r]) for r in set(ROLES.values())}
+    found = []
+    for kind, start, end in free:
+        at = bisect_right(breaks, start)
+        low, high = breaks[at - 1], breaks[at] if at < len(breaks) else len(text)
+        if all(by_role[r].near(start, end, reach, low, high) for r in NEEDS[kind]):
+            found.append((kind, start, end))
+    return found
+
+
+class Cover:
+    """What a set of spans covers, as disjoint stretches."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
 
 
 def find_spans(texts: pa.Array, reach: int) -> pa.Array:
