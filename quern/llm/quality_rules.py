@@ -1,22 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules are fixed (too few words, too much repetition). Beyond them, each
-ratio of ``RATIOS`` may reject from some cutoff on, and the cutoff is not chosen
-by hand: labelled good documents are the holdout, and of a fixed grid of cutoffs
-per stratum the tightest is taken whose false rejection rate is at most
-``risk`` by an exact binomial test (the one behind Clopper-Pearson bounds).
-A grid is tested from loose to tight and stops at the first cutoff that isn't
-proven (a fixed sequence, which spends the level once); the level ``delta`` is
-divided by the number of such sequences, strata times ratios (Bonferroni), and
-``risk`` is divided among the ratios, so that with probability 1 - delta no
-stratum loses more than ``risk`` of its good documents to all ratios together. A stratum with too few labelled documents for
-any cutoff to pass gets no cutoff: nothing is rejected there on the method's
-account.
+ratio of ``RATIOS`` may reject from some cutoff on, and the cutoffs aren't chosen
+by hand. All ratios are tightened together, along a path that is fixed before
+any label is seen: ``LEVELS`` nested sets of cutoffs, from loose to tight.
+Labelled good documents are the holdout, equal texts counted once, and per
+stratum the tightest level is taken whose false rejection rate, by all ratios
+together, is at most ``risk`` by an exact binomial test (the one behind
+Clopper-Pearson bounds). The path is tested from loose to tight and stops at the
+first level that isn't proven (a fixed sequence, which spends its level once);
+``delta`` is divided by the number of strata that are tested (Bonferroni). Which
+strata are tested depends on how many labels they have, not on what these say:
+those that could prove a level without any false rejection. The others get no
+cutoffs: nothing is rejected there on the method's account. So with probability
+1 - delta no stratum loses more than ``risk`` of its good documents.
 
 Defined results: a null text has no words and fails the base rules; repeated
 rows each give their own row; a null stratum is a stratum of its own; documents
 labelled twice count once, as good if any of their labels says so; without
-labels only the base rules act; other columns are ignored.
+labels only the base rules act; a very long text is counted whole, in one task;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +38,21 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 BLANK_BYTES = BLANKS.encode()
 
-#: Grid of cutoffs for each ratio, from loose to tight, with the side that is rejected.
+#: Of each ratio the side that is rejected and the cutoffs of the first and the last level.
 RATIOS = {
-    "symbols_per_word": (">", [x / 50 for x in range(150, 0, -1)]),
-    "repeat_share": (">", [x / 50 for x in range(25, 0, -1)]),
-    "dup_lines_per_100_words": (">", [x / 5 for x in range(150, 0, -1)]),
-    "long_words": (">", [x / 5 for x in range(150, 15, -1)]),
-    "short_words": ("<", [x / 5 for x in range(1, 25)]),
+    "symbols_per_word": (">", 3.0, 0.1),
+    "repeat_share": (">", 0.5, 0.2),
+    "dup_lines_per_100_words": (">", 20.0, 2.0),
+    "long_words": (">", 20.0, 8.0),
+    "short_words": ("<", 1.5, 3.0),
 }
+LEVELS = 60
+
+
+def path(name: str) -> list[float]:
+    """The cutoffs of a ratio, level by level, in equal proportions."""
+    _, loose, tight = RATIOS[name]
+    return [round(loose * (tight / loose) ** (i / (LEVELS - 1)), 6) for i in range(LEVELS)]
 
 
 def repeated(words: list[bytes]) -> int:
@@ -120,63 +130,72 @@ def exact_upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
+def labels_needed(risk: float, level: float) -> int:
+    """So many good documents, none of them rejected, prove the risk at the level."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def least_tested(sizes: list[tuple[int, int]], risk: float, delta: float) -> tuple[int, int]:
+    """(labels that a tested stratum has at least, tested strata). ``sizes``: (labels, strata that have so many)."""
+    best, tested = (0, 0), 0
+    for n, strata in sorted(sizes, reverse=True):
+        tested += strata
+        if n >= labels_needed(risk, delta / tested):
+            best = (n, tested)
+    return best
+
+
 def cutoffs(holdout: DataFrame, risk: float, delta: float) -> DataFrame:
-    """(stratum, <ratio>...): each stratum's cutoff for each ratio, null where none is safe.
+    """(stratum, <ratio>...): the cutoffs of each tested stratum, null where no level is proven.
 
     ``holdout``: (stratum, ratios) of the labelled good documents. They are
-    counted per stratum and cutoff before anything is shuffled; only counts
+    counted per stratum and level before anything is shuffled; only counts
     reach the tests.
     """
-    strata = holdout.groupBy("stratum").agg(F.count("*").alias("n"))
-    parts = []
-    for name, (side, grid) in RATIOS.items():
-        edges = F.array(*[F.lit(float(x)) for x in grid])
-        # Rejected at cutoff i are those that fail it; the grid runs from loose to tight, so only the first failed one is counted.
-        fails = F.filter(edges, lambda e: F.col(name) > e) if side == ">" else F.filter(edges, lambda e: F.col(name) < e)  # noqa: B023
-        first = F.lit(len(grid)) - F.size(fails)
-        parts.append(F.struct(F.lit(name).alias("ratio"), first.cast("int").alias("first")))
-    counted = holdout.select("stratum", F.explode(F.array(*parts)).alias("f")).groupBy("stratum", "f.ratio", "f.first").agg(F.count("*").alias("k"))
-    by_stratum = counted.groupBy("stratum", "ratio").agg(F.collect_list(F.struct("first", "k")).alias("at"))  # at most one entry for each cutoff of the grid
-
-    share = risk / len(RATIOS)
-
-    @F.arrow_udf("double")
-    def tightest(ratio: pa.Array, at: pa.Array, n: pa.Array, n_strata: pa.Array) -> pa.Array:
+    fails = []
+    for name, (side, _, _) in RATIOS.items():
+        edges = F.array(*[F.lit(x) for x in path(name)])
+        failed = F.filter(edges, lambda e: F.col(name) > e) if side == ">" else F.filter(edges, lambda e: F.col(name) < e)  # noqa: B023
+        fails.append(F.lit(LEVELS) - F.size(failed))  # levels are nested: the first that rejects says all
+    counted = holdout.select("stratum", F.least(*fails).alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("k"))
+    # At most one entry for each level.
+    strata = stored(counted.groupBy("stratum").agg(F.sum("k").alias("n"), F.collect_list(F.struct("first", "k")).alias("at")), "strata")
+    enough = strata.where(F.col("n") >= labels_needed(risk, delta)).groupBy("n").agg(F.count("*").alias("strata"))
+    least, tested = least_tested([(r["n"], r["strata"]) for r in enough.collect()], risk, delta)
+
+    @F.arrow_udf("int")
+    def tightest(at: pa.Array, n: pa.Array) -> pa.Array:
         out = []
-        for name, counts, size, strata_count in zip(ratio.to_pylist(), at.to_pylist(), n.to_pylist(), n_strata.to_pylist(), strict=True):
-            level, failed, best = delta / (len(RATIOS) * strata_count), 0, None
-            by_first = {x["first"]: x["k"] for x in counts}
-            for i, cutoff in enumerate(RATIOS[name][1]):
+        for counts, size in zip(at.to_pylist(), n.to_pylist(), strict=True):
+            failed, best, by_first = 0, None, {x["first"]: x["k"] for x in counts}
+            for i in range(LEVELS):
                 failed += by_first.get(i, 0)
-                if binomial_tail(failed, size, share) > level:
-                    break  # the sequence ends here: tighter cutoffs aren't tested
-                best = cutoff
+                if binomial_tail(failed, size, risk) > delta / tested:
+                    break  # the sequence ends here: tighter levels aren't tested
+                best = i
             out.append(best)
-        return pa.array(out, pa.float64())
+        return pa.array(out, pa.int32())
 
-    n_strata = strata.agg(F.count("*").alias("n_strata")).first()["n_strata"]
-    chosen = by_stratum.join(strata, by_stratum["stratum"].eqNullSafe(strata["stratum"])).select(
-        by_stratum["stratum"], "ratio", tightest("ratio", "at", "n", F.lit(n_strata).cast("long")).alias("cutoff")
-    )
-    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("ratio") == name, F.col("cutoff"))).alias(name) for name in RATIOS])
+    proven = strata.where(F.col("n") >= least if tested else F.lit(False)).select("stratum", tightest("at", "n").alias("level"))
+    return proven.select("stratum", *[F.get(F.array(*[F.lit(x) for x in path(name)]), F.col("level")).alias(name) for name in RATIOS])
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(doc_id, counts, base_failed, kept), one row for each input row.
 
     Texts are read once and only by the counting function; what is stored,
     joined and shuffled are counts.
     """
-    counted = docs.select("doc_id", F.col(stratum).alias("stratum"), text_stats("text").alias("s")).select("doc_id", "stratum", "s.*")
+    counted = docs.select("doc_id", F.col(stratum).alias("stratum"), F.xxhash64("text").alias("same"), text_stats("text").alias("s")).select("doc_id", "stratum", "same", "s.*")
     counted = stored(counted, "quality-counts")
     counted = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    scored = counted.select("doc_id", "stratum", "base_failed", *[c.alias(k) for k, c in ratios(counted).items()])
-    holdout = scored.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").drop("doc_id", "base_failed")
+    scored = counted.select("doc_id", "stratum", "same", "base_failed", *[c.alias(k) for k, c in ratios(counted).items()])
+    holdout = scored.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "same"])
     rules = stored(cutoffs(holdout, risk, delta).withColumnRenamed("stratum", "of"), "quality-cutoffs")
     measured = counted.join(rules, F.col("stratum").eqNullSafe(F.col("of")), "left")
     values = ratios(counted)
-    rejects = [F.coalesce((values[name] > measured[name]) if side == ">" else (values[name] < measured[name]), F.lit(False)) for name, (side, _) in RATIOS.items()]
+    rejects = [F.coalesce((values[name] > measured[name]) if side == ">" else (values[name] < measured[name]), F.lit(False)) for name, (side, _, _) in RATIOS.items()]
     rejected = rejects[0]
     for r in rejects[1:]:
         rejected = rejected | r
