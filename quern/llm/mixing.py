@@ -22,8 +22,9 @@ Defined results: a null source counts as the source of empty name; null and
 empty texts have no tokens: they take no budget and come along where they fall;
 a source without tokens has weight 0 and is left out; rows of one id are ordered
 by a hash of their text, repeated rows are used as often as they are there; null ids are
-one id; an empty table gives an empty mix. Other columns are carried along, but
-those that are named like an added one.
+one id; an empty table gives an empty mix; a very long text is split whole, in
+one task. Other columns are carried along, but those that are named like an added
+one (``prefix`` sets the added ones apart).
 """
 
 from __future__ import annotations
@@ -79,8 +80,9 @@ def mixed(
     budget: int | None = None,
     block_tokens: int = 1_000_000,
     seed: int = 42,
+    prefix: str = "",
 ) -> DataFrame:
-    """The input's rows once for each copy in the mix, with n_tokens, epoch, block and place."""
+    """The input's rows once for each copy in the mix, with n_tokens, epoch, block and place (their names behind ``prefix``)."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     marked = docs.withColumns({"__q_source": source_name(), "__q_tokens": token_count(), "__q_order": order}).withColumn("__q_bucket", F.substring("__q_order", 1, 3))
     buckets = marked.groupBy(F.col("__q_source").alias("s"), F.col("__q_bucket").alias("b")).agg(F.sum("__q_tokens").alias("tokens"))
@@ -89,7 +91,7 @@ def mixed(
     corpus = sources.agg(F.sum("total")).first()[0]
     if not corpus:
         nothing = {"n_tokens": F.lit(0).cast("long"), "epoch": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "place": F.lit("")}
-        return docs.where("false").withColumns(nothing)
+        return docs.where("false").withColumns({prefix + c: x for c, x in nothing.items()})
 
     shares = sources.withColumn("p", F.col("total") / F.lit(float(corpus)))
     a = exponent(shares, target_entropy, repetition_limit, None if budget is None else budget / corpus)
@@ -106,12 +108,12 @@ def mixed(
     placed = placed.withColumn("__q_at", F.col("__q_start") + F.col("__q_within"))
     copies = F.expr("greatest(__q_budget - __q_at + __q_total - 1, 0L) div __q_total")
     n_blocks = max(1, math.ceil(whole / block_tokens))
-    read = placed.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    share = (F.col("epoch") * F.col("__q_total") + F.col("__q_at")).cast("double") / F.col("__q_budget").cast("double")
+    read = placed.where(copies > 0).withColumn("__q_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    share = (F.col("__q_epoch") * F.col("__q_total") + F.col("__q_at")).cast("double") / F.col("__q_budget").cast("double")
     block = F.least(F.floor(share * F.lit(float(n_blocks))), F.lit(n_blocks - 1)).cast("long")
-    read = read.withColumn("block", block).withColumns({"place": F.md5(F.concat_ws(":", "__q_order", "epoch", "block")), "n_tokens": F.col("__q_tokens")})
-    added = ["n_tokens", "epoch", "block", "place"]
-    return read.select(*[c for c in docs.columns if c not in added], *added)
+    read = read.withColumn("__q_block", block)
+    added = {"n_tokens": F.col("__q_tokens"), "epoch": F.col("__q_epoch"), "block": F.col("__q_block"), "place": F.md5(F.concat_ws(":", "__q_order", "__q_epoch", "__q_block"))}
+    return read.select(*[c for c in docs.columns if c not in {prefix + a for a in added}], *[x.alias(prefix + c) for c, x in added.items()])
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
