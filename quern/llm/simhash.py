@@ -19,7 +19,8 @@
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; repeated rows each give their own row; component_id ignores null ids
-and is null only where no linked document has one; other columns are ignored.
+and is null only where no linked document has one; a very long text is hashed
+whole, in one task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import row_key, stored
+from quern.llm.common import discard, row_key, stored
 from quern.llm.components import connected_components
 
 BITS = 64
@@ -237,8 +238,9 @@ def grouped(docs: DataFrame, distance: int, shingle: int, seed: int, per_part: i
     blocks = blocks_for(entries.count(), distance, per_part)
     found = connected_components(linked_fingerprints(entries.select("fp"), distance, blocks))
     placed = stored(entries.join(found, entries["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
-    roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(placed.select("fp", "root").join(stored(roots, "roots"), "root").select(F.col("fp").alias("of"), "root", "component_id"), "labels")
+    roots = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    labels = stored(placed.select("fp", "root").join(roots, "root").select(F.col("fp").alias("of"), "root", "component_id"), "labels")
+    discard(entries, placed, roots)
     return marked.join(labels, marked["fp"] == labels["of"]).select("doc_id", "row", "fp", "root", "component_id")
 
 

@@ -85,9 +85,18 @@ def sentence_of(rng, n):
 def test_mix_follows_the_block_order(spark, folder, monkeypatch):
     """Blocks and places rise along the partitions, as they do in op6's result."""
     plain = mixing.mixed
-    monkeypatch.setattr(mixing, "mixed", lambda docs: plain(docs, block_tokens=300))
+    monkeypatch.setattr(mixing, "mixed", lambda docs, **given: plain(docs, block_tokens=300, **given))
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 80")
     placed = plain(docs, block_tokens=300).collect()
     want = [r["doc_id"] for r in sorted(placed, key=lambda r: (r["block"], r["place"]))]
     assert len({r["block"] for r in placed}) > 5
     assert [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, folder).collect()] == want
+
+
+def test_columns_named_like_those_of_a_stage_stay_as_they_are(spark, folder):
+    names = ["epoch", "block", "place", "n_tokens", "score", "removed", "key", "row", "root", "did"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n}-"), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns, name
+        assert not found.where(" OR ".join(f"{n} <> concat('{n}-', doc_id)" for n in names)).count(), name
