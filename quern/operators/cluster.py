@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -47,10 +50,29 @@ def traits(df: DataFrame, cluster: str, names: list[str], most: int = 3) -> Data
 
 
 def covariance(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, cov) of all pairs in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = df.agg(*[F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("cov")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+    """(a, b, cov) of all pairs, each over the rows that have both.
+
+    Every batch of rows becomes a few sums for each pair (products, either side,
+    rows), around the columns' means so that large values don't cancel; sums are
+    added up in Spark.
+    """
+    means = [x or 0.0 for x in df.agg(*[F.avg(c) for c in names]).first()]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    left, right = (np.array(side, np.int32) for side in zip(*pairs, strict=True))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            found = [m[left, right] for m in (x.T @ x, x.T @ there, (x.T @ there).T, there.T @ there)]
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), *map(pa.array, found)], names=["i", "j", "xy", "x", "y", "n"])
+
+    added = df.select(*[F.col(c).cast("double") for c in names]).mapInArrow(sums, "i int, j int, xy double, x double, y double, n double")
+    total = added.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+    n = F.when(F.col("n") > 0, F.col("n"))
+    name = F.array(*map(F.lit, names))
+    return total.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), (F.col("xy") / n - F.col("x") * F.col("y") / (n * n)).alias("cov"))
 
 
 def pca2(df: DataFrame, names: list[str]) -> np.ndarray:

@@ -70,14 +70,16 @@ def naive_bayes(train: DataFrame, rows: DataFrame, label: str, features: list[st
     stats = [s for c in features for s in (F.avg(c).alias(f"m_{c}"), F.greatest(F.var_pop(c), F.lit(LEAST_VARIANCE)).alias(f"v_{c}"))]
     fitted = train.groupBy(label).agg(F.count("*").alias("n"), *stats).orderBy(label).collect()  # a row for each class
     total = sum(r["n"] for r in fitted)
-    scores = []
-    for r in fitted:
-        log_prior = float(np.log((r["n"] + 1) / (total + len(fitted))))
-        log_joint = F.lit(log_prior)
-        for c in features:
-            m, v = r[f"m_{c}"], r[f"v_{c}"]
-            log_joint = log_joint - 0.5 * (F.lit(float(np.log(2 * np.pi * v))) + F.pow(F.col(c) - m, 2) / v)
-        scores.append(log_joint)
+    x = F.array(*[F.col(c).cast("double") for c in features])
+
+    def log_joint(r: Row) -> Column:
+        means, spreads = ([r[f"{k}_{c}"] for c in features] for k in "mv")
+        fixed = np.log((r["n"] + 1) / (total + len(fitted))) - 0.5 * np.log(2 * np.pi * np.array(spreads)).sum()
+        m, v = (F.array(*map(F.lit, values)) for values in (means, spreads))
+        parts = F.transform(x, lambda value, i: F.pow(value - F.get(m, i), 2) / F.get(v, i))
+        return F.lit(float(fixed)) - 0.5 * F.aggregate(parts, F.lit(0.0), lambda done, part: done + part)
+
+    scores = [log_joint(r) for r in fitted]
     best = F.array_position(F.array(*scores), F.array_max(F.array(*scores))).cast("int")
     classes = F.array(*[F.lit(r[label]) for r in fitted])
     return rows.select(key, F.element_at(classes, best).alias("predicted"))

@@ -168,7 +168,7 @@ def dq_variants(t: Tables):
     return quality.variants(t.spark.sql(SPELT), ["segment"])
 
 
-REPEATED = "SELECT l_orderkey, l_quantity, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag FROM lineitem WHERE l_orderkey < 3000 UNION ALL SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey < 800"
+REPEATED = "SELECT l_orderkey, l_quantity, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag FROM lineitem UNION ALL SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem"
 
 
 @query("dq_duplicates", f"SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM ({REPEATED}) GROUP BY l_orderkey, l_quantity, flag)")

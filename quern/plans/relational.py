@@ -46,10 +46,10 @@ def rel_join_theta(t: Tables):
 
 @query(
     "rel_join_range",
-    "WITH w AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 0.5 AS high FROM part WHERE p_size = 1) SELECT a.p_partkey AS part, w.p_partkey AS near FROM part a JOIN w ON a.p_retailprice >= low AND a.p_retailprice < high",
+    "WITH w AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 0.5 AS high FROM part) SELECT a.p_partkey AS part, w.p_partkey AS near FROM part a JOIN w ON a.p_retailprice >= low AND a.p_retailprice < high",
 )
 def rel_join_range(t: Tables):
-    windows = t.part.where("p_size = 1").select(F.col("p_partkey").alias("near"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 0.5).alias("high"))
+    windows = t.part.select(F.col("p_partkey").alias("near"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 0.5).alias("high"))
     return joins.range_join(t.part.select(F.col("p_partkey").alias("part"), "p_retailprice"), windows, "p_retailprice", "low", "high", 5.0).select("part", "near")
 
 
@@ -64,9 +64,9 @@ def rel_join_asof(t: Tables):
     return joins.asof_join(rest, buys, "user_id", "ts", "at", ["purchase"], "purchase").select("event_id", "purchase")
 
 
-@query("rel_join_positional", "SELECT n_name, c_custkey FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a FULL JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer WHERE c_custkey <= 30) b USING (i)")
+@query("rel_join_positional", "SELECT n_name, c_custkey FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a FULL JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) b USING (i)")
 def rel_join_positional(t: Tables):
-    return joins.positional_join(t.nation.select("n_name", "n_nationkey"), t.customer.where("c_custkey <= 30").select("c_custkey", "c_acctbal"), ["n_nationkey"], ["c_acctbal", "c_custkey"]).select("n_name", "c_custkey")
+    return joins.positional_join(t.nation.select("n_name", "n_nationkey"), t.customer.select("c_custkey", "c_acctbal"), ["n_nationkey"], ["c_acctbal", "c_custkey"]).select("n_name", "c_custkey")
 
 
 both("rel_agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY o_orderstatus")
@@ -118,14 +118,14 @@ def rel_pivot(t: Tables):
     return t.lineitem.groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.sum("l_quantity")).toDF("l_returnflag", "f", "o")
 
 
-@query("rel_unpivot", "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 500) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))")
+@query("rel_unpivot", "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))")
 def rel_unpivot(t: Tables):
-    return t.lineitem.where("l_orderkey < 500").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value")
+    return t.lineitem.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value")
 
 
-@query("rel_explode", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE i <= 8")
+@query("rel_explode", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def rel_explode(t: Tables):
-    return t.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 both("rel_recursive", "WITH RECURSIVE f(n, a, b) AS (SELECT 1, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f")
