@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.stats import normal_quantile, wilson
 from quern.operators.metrics import argmax
+from quern.operators.ordering import all_of, numbered, running
+from quern.sources.stored import stored
 
 
 def bootstrap(df: DataFrame, key: str, value: Column, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -17,19 +22,31 @@ def bootstrap(df: DataFrame, key: str, value: Column, resamples: int = 1000, lev
 
     Every row's weight in a resample is a Poisson(1) count drawn from a hash of
     (seed, resample, key): resamples need no order, no copy of the rows, and are
-    the same for every model that is compared on the same keys.
+    the same for every model that is compared on the same keys. A batch of rows
+    becomes one sum of weights and values for each resample.
     """
-    v = value.cast("double")
     # Inverse of the Poisson(1) distribution, to where its tail is below 1e-9.
     steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
-
-    def weight(b: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col("_k"), b, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return sum(((u >= float(s)).cast("double") for s in steps[1:]), (u >= float(steps[0])).cast("double"))
-
-    rows = df.select(F.col(key).alias("_k"), v.alias("_v")).where("_v IS NOT NULL")
-    each = rows.select("_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight(F.col("b")))
-    means = each.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("_v")), F.sum("w")).alias("m"))
+    draws = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            w, wv = np.zeros(resamples), np.zeros(resamples)
+            for low in range(0, len(keys), 1024):  # bounded memory
+                u = mixed(keys[low : low + 1024, None] + draws[None, :]) / float(1 << 53)
+                drawn = np.searchsorted(steps, u, side="right").astype(float)
+                w += drawn.sum(axis=0)
+                wv += values[low : low + 1024] @ drawn
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(wv)], names=["b", "w", "wv"])
+
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_k"), value.cast("double").alias("_v")).where("_v IS NOT NULL")
+    means = rows.mapInArrow(sums, "b int, w double, wv double").groupBy("b").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).crossJoin(F.broadcast(rows.agg(F.avg("_v").alias("estimate")))).select("estimate", "low", "high")
 
@@ -56,17 +73,16 @@ def group_audit(df: DataFrame, group: str, truth: str, predicted: str, least: in
         low, high = wilson(share, n, z)
         columns += [share.alias(name), F.when(share.isNotNull(), low).alias(f"{name}_low"), F.when(share.isNotNull(), high).alias(f"{name}_high")]
     found = counts.select("group", "n", *columns)
-    first = Window.orderBy(F.desc("n"), "group").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each group
-    return found.select("*", *[(F.col(name) - F.first(name).over(first)).alias(f"{name}_gap") for name in rates])
+    largest = found.agg(F.min_by(F.struct(*rates), F.struct(-F.col("n"), "group")).alias("_first"))  # one row
+    return found.crossJoin(F.broadcast(largest)).select(*found.columns, *[(F.col(name) - F.col(f"_first.{name}")).alias(f"{name}_gap") for name in rates])
 
 
 def conformal_quantile(scores: DataFrame, score: str, alpha: float) -> DataFrame:
     """(quantile): the ceil((n + 1)(1 - alpha))-th least score; no row for too few scores."""
     counted = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("k"))
     total = counted.agg(F.sum("k").alias("n"))
-    upto = F.sum("k").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
     wanted = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
-    found = counted.withColumn("upto", upto).crossJoin(F.broadcast(total)).where((F.col("upto") >= wanted) & (wanted <= F.col("n")))
+    found = running(counted, ["s"], {"upto": "k"}).crossJoin(F.broadcast(total)).where((F.col("upto") >= wanted) & (wanted <= F.col("n")))
     return found.orderBy("s").limit(1).select(F.col("s").alias("quantile"))
 
 
@@ -85,21 +101,19 @@ def multiclass_policy(probabilities: Column, thresholds: list[float]) -> Column:
 def permutation_importance(df: DataFrame, features: list[str], predict: Column, truth: str, key: str, seed: int = 42) -> DataFrame:
     """(feature, rise): how much the squared error rises when a feature is shuffled among rows.
 
-    Rows are put in two hash orders and values taken from the other: a join on
-    row numbers for each feature.
+    Rows are numbered once, in a hash order; each takes the value of the row some
+    places on, another distance for each feature.
     """
-    from functools import reduce
-
-    from quern.operators.joins import numbered
-
     base = df.agg(F.avg(F.pow(F.col(truth) - predict, 2.0)).alias("base"))
+    rows = stored(numbered(df.withColumn("_o", F.xxhash64(key, F.lit(seed))), ["_o", key], "_n"), "shuffled")
+    n = rows.count()
+    distance = random.Random(seed)
     parts = []
-    for i, c in enumerate(features):
-        left = numbered(df.withColumn("_o", F.xxhash64(key, F.lit(seed))), ["_o", key], "_n").drop(c)
-        right = numbered(df.select(key, c).withColumn("_o", F.xxhash64(key, F.lit(seed + i + 1))), ["_o", key], "_n").select("_n", c)
-        shuffled = left.join(right, "_n")
+    for c in features:
+        moved = rows.select(F.pmod(F.col("_n") + F.lit(distance.randrange(1, max(2, n))), F.lit(max(1, n))).alias("_n"), c)
+        shuffled = rows.drop(c).join(moved, "_n")
         parts.append(shuffled.agg(F.avg(F.pow(F.col(truth) - predict, 2.0)).alias("mse")).crossJoin(F.broadcast(base)).select(F.lit(c).alias("feature"), (F.col("mse") - F.col("base")).alias("rise")))
-    return reduce(DataFrame.unionByName, parts)
+    return all_of(parts)
 
 
 def partial_dependence(df: DataFrame, feature: str, predict: Column, points: int = 20) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import cells
+from quern.operators.ordering import last_seen, numbered
 
 
 def key_of(df: DataFrame, key: str) -> Column:
@@ -66,15 +67,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
     """Each left row with ``take`` of the last right row of its key at or before its time.
 
     Both sides are laid on one time line per key and a running last value walks
-    over it: one shuffle, no range join. ``tie`` orders right rows of one time.
+    over it, in slices of time where a key is hot: no range join. ``tie`` orders
+    right rows of one time.
     """
     cols = [F.col(c) for c in left.columns]
     l_side = left.select(F.col(on).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*cols).alias("_l"))
     r_row = F.struct(*[F.col(c) for c in take])
     r_side = right.select(F.col(on).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), r_row.alias("_r"))
     line = l_side.unionByName(r_side, allowMissingColumns=True)
-    past = Window.partitionBy("_k").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = line.withColumn("_r", F.last("_r", ignorenulls=True).over(past)).where("_side = 1")
+    found = last_seen(line, "_k", "_t", ["_t", "_side", "_tie"], "_r").where("_side = 1")
     return found.select("_l.*", *[F.col("_r")[c].alias(c) for c in take])
 
 
@@ -88,16 +89,6 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows side by side by their number in the given orders; the shorter side is filled with nulls.
 
-    Numbers come from counts per sorted partition, not from one window.
+    Numbers come from counts per sorted range, not from one window.
     """
     return numbered(left, left_order, "_n").join(numbered(right, right_order, "_n"), "_n", "full").drop("_n")
-
-
-def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """Rows numbered from 0 in a global order, by range partitions and their offsets."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", before.alias("_before"))  # one row for each partition
-    return ordered.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_before")

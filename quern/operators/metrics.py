@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import running
+
 CLIP = 1e-15
 
 
@@ -45,19 +47,17 @@ def by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Ties count half; null where a class is absent."""
-    s = by_score(df, truth, score)
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = s.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return won.agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    s = running(by_score(df, truth, score), ["score"], {"upto": "neg"})
+    won = F.col("pos") * (F.col("upto") - F.col("neg") / 2)
+    return s.agg(F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def cumulative(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, tp, fp, pos, neg) at each distinct score, from the highest."""
+    """(score, hits, tp, fp, pos, neg) at each distinct score, from the highest; ``hits`` are those at the score itself."""
     s = by_score(df, truth, score)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = s.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    run = s.select("score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    return run.crossJoin(F.broadcast(whole))  # whole is one row
+    whole = s.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    run = running(s, [F.desc("score")], {"tp": "pos", "fp": "neg"})
+    return run.crossJoin(F.broadcast(whole)).select("score", F.col("pos").alias("hits"), "tp", "fp", F.col("_pos").alias("pos"), F.col("_neg").alias("neg"))  # whole is one row
 
 
 def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -65,9 +65,8 @@ def pr_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
-    curve = pr_curve(df, truth, score)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return curve.withColumn("step", F.col("recall") - before).agg(F.sum(F.col("precision") * F.col("step")).alias("average_precision"))
+    precision, step = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("hits"), F.col("pos"))
+    return cumulative(df, truth, score).agg(F.sum(precision * step).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, truth: str, score: str, miss: float = 5.0, alarm: float = 1.0) -> DataFrame:

@@ -5,9 +5,11 @@ Where a random order is wanted, rows are ordered by the MD5 of seed and key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import numbered, ranked_within, running
+
 LEAST_FOR_VALIDATION = 60
 
 
@@ -15,15 +17,16 @@ def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
 
 
-def ordered_ranks(df: DataFrame, by: str, order: list[Column], name: str = "_rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def with_size(df: DataFrame, label: str, more: list[Column] | None = None) -> DataFrame:
+    """The rows with ``_n``, the size of their class, and further columns of the classes."""
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))
+    return df.join(sizes.select("*", *(more or [])), F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def stratified(df: DataFrame, label: str, key: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """The input with ``part`` (train or test): of each class round(n * ratio) rows, one at least, none of a single row."""
-    counted = df.join(F.broadcast(df.groupBy(label).agg(F.count("*").alias("_n"))), label)  # one row a class
     take = F.when(F.col("_n") < 2, 0).otherwise(F.greatest(F.lit(1), F.round(F.col("_n") * ratio)))
-    ranked = ordered_ranks(counted, label, [hash_order(key, seed), F.col(key)])
+    ranked = ranked_within(with_size(df.where(F.col(label).isNotNull()), label), label, hash_order(key, seed), key)
     return ranked.withColumn("part", F.when(F.col("_rank") <= take, "test").otherwise("train")).drop("_rank", "_n")
 
 
@@ -33,8 +36,6 @@ def chronological(df: DataFrame, time: str, key: str, ratio: float = 0.2) -> Dat
     The boundary is a quantile of (time, key) found by range partitions, not by
     one window over all rows.
     """
-    from quern.operators.joins import numbered
-
     dated = df.where(F.col(time).isNotNull())
     n = dated.count()
     test = max(1, round(n * ratio)) if n > 1 else 0
@@ -47,21 +48,20 @@ def grouped(df: DataFrame, group: str, key: str, test: float = 0.2, validation:
     named = df.withColumn("_g", own)
     sizes = named.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_o", F.md5(F.concat_ws(":", F.lit(seed), "_g")))
     total = named.count()
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_o", "_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each group
+    before = F.col("_upto") - F.col("_n")
     part = F.when(F.col("_before") < test * total, "test").when(F.col("_before") < (test + validation) * total, "validation").otherwise("train")
-    parts = sizes.withColumn("_before", before).select("_g", part.alias("part"))
+    parts = running(sizes, ["_o", "_g"], {"_upto": "_n"}).withColumn("_before", before).select("_g", part.alias("part"))
     return named.join(parts, "_g").drop("_g")
 
 
 def k_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """The input with ``fold`` 0..k-1, dealt in turn within each class."""
-    return ordered_ranks(df, label, [hash_order(key, seed), F.col(key)]).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    return ranked_within(df, label, hash_order(key, seed), key).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def nested_order(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """The input with ``place`` in 0..1: any prefix by it holds the classes in proportion."""
-    counted = df.join(F.broadcast(df.groupBy(label).agg(F.count("*").alias("_n"))), label)
-    ranked = ordered_ranks(counted, label, [hash_order(key, seed), F.col(key)])
+    ranked = ranked_within(with_size(df.where(F.col(label).isNotNull()), label), label, hash_order(key, seed), key)
     return ranked.withColumn("place", (F.col("_rank") - 0.5) / F.col("_n")).drop("_rank", "_n")
 
 
@@ -79,9 +79,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Rows repeated in hash order until each class has as many as the largest."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    most = counts.agg(F.max("_n").alias("_most"))
-    sized = df.join(F.broadcast(counts.crossJoin(F.broadcast(most))), label)
-    ranked = ordered_ranks(sized, label, [hash_order(key, seed), F.col(key)])
-    copies = F.expr("(_most - _rank) div _n + 1")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).drop("_n", "_most", "_rank")
+    most = df.groupBy(label).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    ranked = ranked_within(with_size(df.where(F.col(label).isNotNull()), label), label, hash_order(key, seed), key)
+    copies = F.expr(f"({most} - _rank) div _n + 1")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).drop("_n", "_rank")
