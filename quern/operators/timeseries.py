@@ -1,15 +1,28 @@
-"""Series, gaps, one-step backtests and smoothing forecasters."""
+"""Series, gaps, one-step backtests, smoothing forecasters and the choice among them."""
 
 from __future__ import annotations
 
-from itertools import product
+import math
+from dataclasses import dataclass
+from itertools import accumulate, product
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import running, shifted
+
+# The grids, lengths and quantiles that forecasts are chosen and told by.
 LEVELS = (0.2, 0.5, 0.8)
-TRENDS = (0.1, 0.3)
+SEASONAL_LEVELS = (0.2, 0.5)
+TRENDS = (0.05, 0.2)
+SEASONS = (0.05, 0.2)
 LEAST_POINTS = 12
+LEAST_HELD, MOST_HELD, HELD_SHARE = 8, 60, 0.2
+HORIZON, MOST_AHEAD = 12, 28
+LOW, HIGH = 0.1, 0.9
+#: (most days between points, name, points of a season)
+FREQUENCIES = [(1.5, "daily", 7), (10, "weekly", None), (45, "monthly", 12), (135, "quarterly", 4), (550, "yearly", None)]
 
 
 def build_series(df: DataFrame, time: str, value: str) -> DataFrame:
@@ -21,22 +34,31 @@ def dropped(df: DataFrame, time: str, value: str) -> DataFrame:
     return df.agg(F.count_if(F.col(time).isNull() | F.col(value).isNull()).alias("dropped"))
 
 
+def seconds(t: Column) -> Column:
+    return t.cast("timestamp").cast("double")
+
+
 def frequency(series: DataFrame) -> DataFrame:
-    """(seconds, frequency): the upper median of the gaps and its name."""
-    gap = F.unix_timestamp("t") - F.unix_timestamp(F.lag("t").over(Window.orderBy("t")))
-    gaps = series.select(gap.alias("g")).where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("k"))
+    """(seconds, frequency, period): the upper median of the gaps, its name and the points of a season."""
+    times = shifted(series.select(seconds(F.col("t")).alias("at")), ["at"], "at", 1, "before")
+    gaps = times.select((F.col("at") - F.col("before")).cast("long").alias("g")).where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("k"))
     total = gaps.agg(F.sum("k").alias("all"))
-    upto = F.sum("k").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
-    middle = gaps.withColumn("upto", upto).crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("g").alias("seconds"))
-    d = F.col("seconds") / 86400
-    name = F.when(d < 0.9, "hour").when(d < 1.5, "day").when(d.between(6, 8), "week").when(d.between(27, 32), "month").when(d.between(88, 93), "quarter").when(d > 360, "year").otherwise("other")
-    return middle.select("seconds", name.alias("frequency"))
+    middle = running(gaps, ["g"], {"upto": "k"}).crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("g").alias("seconds"))  # total is one row
+    return middle.select("seconds", named("frequency").alias("frequency"), named("period").alias("period"))
+
+
+def named(what: str) -> Column:
+    """The name or the season of the gap in the column ``seconds``."""
+    found = F.lit("irregular" if what == "frequency" else None).cast("string" if what == "frequency" else "int")
+    for days, name, period in reversed(FREQUENCIES):
+        found = F.when(F.col("seconds") <= days * 86400, F.lit(name if what == "frequency" else period)).otherwise(found)
+    return found
 
 
 def backtest_lag(series: DataFrame, lag: int = 1) -> DataFrame:
     """(t, y, forecast, error): each point by the one ``lag`` before; the naive and seasonal naive forecasters."""
-    f = F.lag("y", lag).over(Window.orderBy("t"))
-    return series.select("t", "y", f.alias("forecast")).where("forecast IS NOT NULL").withColumn("error", F.abs(F.col("y") - F.col("forecast")))
+    found = shifted(series.select("t", "y"), ["t"], "y", lag, "forecast")
+    return found.where("forecast IS NOT NULL").withColumn("error", F.abs(F.col("y") - F.col("forecast")))
 
 
 def as_array(series: DataFrame) -> DataFrame:
@@ -46,67 +68,158 @@ def as_array(series: DataFrame) -> DataFrame:
 
 def ses(ys: Column, alpha: float) -> Column:
     """The level after each point, by exponential smoothing."""
-    start = F.struct(F.get(ys, F.lit(0)).alias("level"), F.array(F.get(ys, F.lit(0))).alias("out"))
 
-    def step(s: Column, y: Column) -> Column:
-        level = alpha * y + (1 - alpha) * s["level"]
-        return F.struct(level.alias("level"), F.concat(s["out"], F.array(level)).alias("out"))
+    @F.arrow_udf("array<double>")
+    def levels(series: pa.Array) -> pa.Array:
+        out = []
+        for ys in series.to_pylist():
+            told = list(accumulate(ys or [], lambda level, y: alpha * y + (1 - alpha) * level))
+            out.append(told)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return levels(ys)
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    """A method with its parameters: where it starts, how a point moves it, what it says of the points to come.
+
+    Its state is (level, trend, season): a number, a number, and the parts of the
+    season to come, the next point's first. Naive methods keep the last points as
+    the season. One pass over the series, whatever its length.
+    """
+
+    method: str
+    params: dict[str, float]
+    least: int
+    first: int  # the first point that moves the state
+
+    @property
+    def name(self) -> str:
+        return f"{self.method}({','.join(f'{k}={v:g}' for k, v in self.params.items())})"
+
+    def start(self, ys: Column) -> Column:
+        m = int(self.params.get("m", 1))
+        first = F.get(ys, F.lit(0))
+        if self.method in ("naive", "seasonalNaive"):
+            return state(F.lit(0.0), F.lit(0.0), F.slice(ys, 1, m))
+        if self.method == "ses":
+            return state(first, F.lit(0.0), F.array(F.lit(0.0)))
+        if self.method == "holt":
+            return state(first, F.get(ys, F.lit(1)) - first, F.array(F.lit(0.0)))
+        one, two = (F.aggregate(F.slice(ys, at, m), F.lit(0.0), lambda s, x: s + x) / m for at in (1, m + 1))
+        return state(one, (two - one) / m, F.transform(F.slice(ys, 1, m), lambda x: x - one))
+
+    def moved(self, s: Column, y: Column) -> Column:
+        a, b, g, m = (self.params.get(k, 0.0) for k in ("alpha", "beta", "gamma", "m"))
+        old = F.get(s["season"], F.lit(0))
+        if self.method in ("naive", "seasonalNaive"):
+            return state(s["level"], s["trend"], turned(s["season"], y, int(m or 1)))
+        level = a * (y - old) + (1 - a) * (s["level"] + s["trend"])
+        trend = b * (level - s["level"]) + (1 - b) * s["trend"] if b else F.lit(0.0)
+        return state(level, trend, turned(s["season"], g * (y - level) + (1 - g) * old, int(m)) if g else s["season"])
 
-    return F.aggregate(F.slice(ys, 2, 1_000_000), start, step, lambda s: s["out"])
+    def ahead(self, s: Column, h: Column) -> Column:
+        """What is said of the h-th point to come, from 0."""
+        return s["level"] + (h + 1) * s["trend"] + F.get(s["season"], (h % F.size(s["season"])).cast("int"))
 
 
-def holt(ys: Column, alpha: float, beta: float) -> Column:
-    """(level, trend) after the last point, by double smoothing; the first trend is the first step."""
-    first = F.get(ys, F.lit(0))
-    start = F.struct(first.alias("level"), (F.get(ys, F.lit(1)) - first).alias("trend"))
+def state(level: Column, trend: Column, season: Column) -> Column:
+    return F.struct(level.cast("double").alias("level"), trend.cast("double").alias("trend"), season.cast("array<double>").alias("season"))
+
+
+def turned(season: Column, new: Column, m: int) -> Column:
+    return F.concat(F.slice(season, 2, m), F.array(new.cast("double"))) if m > 1 else F.array(new.cast("double"))
+
 
-    def step(s: Column, y: Column) -> Column:
-        level = alpha * y + (1 - alpha) * (s["level"] + s["trend"])
-        return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["trend"]).alias("trend"))
+def forecasters(period: int | None) -> list[Forecaster]:
+    found = [Forecaster("naive", {}, 1, 1)]
+    found += [Forecaster("ses", {"alpha": a}, 2, 1) for a in LEVELS]
+    found += [Forecaster("holt", {"alpha": a, "beta": b}, 3, 1) for a, b in product(LEVELS, TRENDS)]
+    if period:
+        found.append(Forecaster("seasonalNaive", {"m": period}, period + 1, period))
+        found += [Forecaster("holtWinters", {"alpha": a, "beta": b, "gamma": g, "m": period}, 2 * period + 1, 0) for a, b, g in product(SEASONAL_LEVELS, TRENDS, SEASONS)]
+    return found
+
+
+def smoothed(ys: Column, f: Forecaster) -> Column:
+    """The state after the last point."""
+    rest = F.slice(ys, f.first + 1, F.greatest(F.size(ys) - f.first, F.lit(0))) if f.first else ys
+    return F.aggregate(rest, f.start(ys), f.moved)
 
-    return F.aggregate(F.slice(ys, 2, 1_000_000), start, step)
+
+def holt(ys: Column, alpha: float, beta: float) -> Column:
+    """(level, trend, season) after the last point, by double smoothing; the first trend is the first step."""
+    return smoothed(ys, Forecaster("holt", {"alpha": alpha, "beta": beta}, 3, 1))
 
 
 def holt_winters(ys: Column, alpha: float, beta: float, gamma: float, m: int) -> Column:
-    """(level, trend, season: the last m seasonal parts) after the last point; additive, started from the first two seasons."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / m
-    one, two = F.slice(ys, 1, m), F.slice(ys, m + 1, m)
-    start = F.struct(mean(one).alias("level"), ((mean(two) - mean(one)) / m).alias("trend"), F.transform(one, lambda x: x - mean(one)).alias("season"))
+    """(level, trend, season) after the last point; additive, started from the first two seasons and run over all points."""
+    return smoothed(ys, Forecaster("holtWinters", {"alpha": alpha, "beta": beta, "gamma": gamma, "m": m}, 2 * m + 1, 0))
 
-    def step(s: Column, y: Column) -> Column:
-        old = F.get(s["season"], F.lit(0))
-        level = alpha * (y - old) + (1 - alpha) * (s["level"] + s["trend"])
-        season = gamma * (y - level) + (1 - gamma) * old
-        trend = beta * (level - s["level"]) + (1 - beta) * s["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend"), F.concat(F.slice(s["season"], 2, m), F.array(season)).alias("season"))
 
-    return F.aggregate(F.slice(ys, m + 1, 1_000_000), start, step)
+def held_errors(ys: Column, f: Forecaster, start: Column) -> Column:
+    """The errors of one-step forecasts of the points from ``start`` on: at most MOST_HELD of them."""
+    points = F.transform(ys, lambda y, i: F.struct(y.alias("y"), i.alias("i")))
+    rest = F.slice(points, f.first + 1, F.greatest(F.size(points) - f.first, F.lit(0))) if f.first else points
+    none = F.array().cast("array<double>")
+
+    def step(s: Column, p: Column) -> Column:
+        error = p["y"] - f.ahead(s["at"], F.lit(0))
+        kept = F.when(p["i"] >= start, F.concat(s["errors"], F.array(error))).otherwise(s["errors"])
+        return F.struct(f.moved(s["at"], p["y"]).alias("at"), kept.alias("errors"))
 
+    return F.aggregate(rest, F.struct(f.start(ys).alias("at"), none.alias("errors")), step, lambda s: s["errors"])
 
-def one_step_errors(ys: Column, alpha: float, beta: float | None = None) -> Column:
-    """Absolute one-step errors of simple or double smoothing, one for each point after the first (second)."""
-    first = F.get(ys, F.lit(0))
-    trend0 = F.get(ys, F.lit(1)) - first if beta is not None else F.lit(0.0)
-    start = F.struct(first.alias("level"), trend0.cast("double").alias("trend"), F.array().cast("array<double>").alias("errors"))
 
-    def step(s: Column, y: Column) -> Column:
-        forecast = s["level"] + s["trend"]
-        level = alpha * y + (1 - alpha) * forecast
-        trend = beta * (level - s["level"]) + (1 - beta) * s["trend"] if beta is not None else F.lit(0.0)
-        return F.struct(level.alias("level"), trend.alias("trend"), F.concat(s["errors"], F.array(F.abs(y - forecast))).alias("errors"))
+def backtests(series: DataFrame, period: int | None = None) -> DataFrame:
+    """(place, method, model, mae, rmse, errors) of every forecaster that the series is long enough for, in their order.
 
-    return F.aggregate(F.slice(ys, 2, 1_000_000), start, step, lambda s: s["errors"])
+    The held-out points are the last fifth, 8 at least and 60 at most, each
+    forecast from all before it.
+    """
+    n = F.size("ys")
+    held = F.greatest(F.lit(LEAST_HELD), F.least(F.lit(MOST_HELD), F.floor(n * HELD_SHARE))).cast("int")
+    start = n - held
+    options = []
+    for i, f in enumerate(forecasters(period)):
+        fits = (F.lit(f.least) <= F.floor(n * (1 - HELD_SHARE))) & (start >= f.least)
+        told = F.struct(F.lit(i).alias("place"), F.lit(f.method).alias("method"), F.lit(f.name).alias("model"), held_errors(F.col("ys"), f, start).alias("errors"))
+        options.append(F.when(fits, told))
+    rows = as_array(series).where(n >= LEAST_POINTS).select(F.explode(F.array_compact(F.array(*options))).alias("r")).select("r.*")
+    total = lambda e: F.aggregate("errors", F.lit(0.0), lambda s, x: s + e(x)) / F.size("errors")
+    return rows.select("place", "method", "model", total(F.abs).alias("mae"), F.sqrt(total(lambda x: x * x)).alias("rmse"), "errors")
 
 
 def compare_forecasters(series: DataFrame, period: int | None = None) -> DataFrame:
-    """(model, mae) of the naive, seasonal, simple and double smoothing forecasters, the best first."""
-    n = F.size("ys")
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
-    lagged = lambda m: F.transform(F.slice("ys", F.lit(m + 1), n), lambda x, i: F.abs(x - F.get("ys", i)))
-    options = {"naive": lagged(1)}
-    if period:
-        options[f"seasonal({period})"] = lagged(period)
-    options |= {f"ses({a})": one_step_errors(F.col("ys"), a) for a in LEVELS}
-    options |= {f"holt({a},{b})": one_step_errors(F.col("ys"), a, b) for a, b in product(LEVELS, TRENDS)}
-    rows = as_array(series).where(n >= LEAST_POINTS).select(F.explode(F.array(*[F.struct(F.lit(k).alias("model"), mean(e).alias("mae")) for k, e in options.items()])).alias("r"))
-    return rows.select("r.*").orderBy("mae", "model")
+    """(method, model, mae, rmse): the best of each method, the best first; ties to the earlier in the grid."""
+    order = F.struct("mae", "place")
+    best = backtests(series, period).groupBy("method").agg(F.min_by(F.struct("model", "mae", "rmse", "place"), order).alias("b"))
+    return best.select("method", "b.model", "b.mae", "b.rmse", "b.place").orderBy("mae", "place").drop("place")
+
+
+def forecast(series: DataFrame) -> DataFrame:
+    """(t, model, forecast, low, high) of the points to come, by the forecaster with the least error on held-out points.
+
+    The season is what the gaps between points say, if there are two of it and
+    four points more. The band is what 80 % of the held-out errors lie in. Two
+    seasons ahead, or 12 points, 28 at most and half of the series at most; no
+    rows for a series of fewer than 12 points. Times are timestamps.
+    """
+    gap = frequency(series).first()
+    n = series.count()
+    period = gap["period"] if gap["period"] and n >= 2 * gap["period"] + 4 else None
+    best = backtests(series, period).orderBy("mae", "place").first()
+    empty = "t timestamp, model string, forecast double, low double, high double"
+    if best is None:
+        return series.sparkSession.createDataFrame([], empty)
+    errors = sorted(best["errors"])  # 60 at most
+    low, high = (errors[min(len(errors) - 1, math.floor(q * len(errors)))] for q in (LOW, HIGH))
+    f = forecasters(period)[best["place"]]
+    h = min(2 * period if period else HORIZON, MOST_AHEAD, n // 2)
+    last = as_array(series).select(smoothed(F.col("ys"), f).alias("s")).crossJoin(F.broadcast(series.agg(F.max(seconds(F.col("t"))).alias("end"))))  # one row each
+    each = last.select("s", "end", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("i"))
+    rounded = lambda x: F.floor(x * 1000 + 0.5) / 1000
+    told = f.ahead(F.col("s"), F.col("i"))
+    at = F.timestamp_seconds(F.col("end") + (F.col("i") + 1) * gap["seconds"])
+    return each.select(at.alias("t"), F.lit(f.name).alias("model"), rounded(told).alias("forecast"), rounded(told + low).alias("low"), rounded(told + high).alias("high"))

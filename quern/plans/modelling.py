@@ -51,7 +51,7 @@ def sample_capped(t: Tables):
 
 @query("sample_hash_order", "SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) - 1 AS place FROM customer")
 def sample_hash_order(t: Tables):
-    from quern.operators.joins import numbered
+    from quern.operators.ordering import numbered
 
     shuffled = t.customer.select("c_custkey", split.hash_order("c_custkey").alias("o"))
     return numbered(shuffled, ["o", "c_custkey"], "place").select("c_custkey", "place")
@@ -167,7 +167,7 @@ def ml_linear(t: Tables):
     return t.part.select("p_partkey", F.round(model.predict(), 2).alias("predicted"))
 
 
-_DIMS = 6
+_DIMS = 64  # all of an embedding
 
 
 def vectors(t: Tables):
@@ -372,7 +372,7 @@ def eval_permutation_importance(t: Tables):
 
 @query("eval_counterfactuals")
 def eval_counterfactuals(t: Tables):
-    df = t.part.where("p_size < 10").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    df = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     score = F.col("size") * 20 + F.col("price")
     return evaluate.counterfactuals(df, {"size": [float(x) for x in range(0, 51, 5)], "price": [float(x) for x in range(900, 2100, 100)]}, score, score > 2000, "p_partkey")
 
@@ -401,7 +401,12 @@ def ts_build(t: Tables):
     return daily(t).withColumn("t", F.col("t").cast("string"))
 
 
-@query("ts_frequency", "SELECT CAST(86400 AS BIGINT) AS seconds, 'day' AS frequency")
+@query(
+    "ts_frequency",
+    f"WITH {_DAYS}, g AS (SELECT date_diff('second', CAST(lag(day) OVER (ORDER BY day) AS TIMESTAMP), CAST(day AS TIMESTAMP)) AS g FROM s), m AS (SELECT g AS seconds FROM (SELECT g, row_number() OVER (ORDER BY g) AS i, count(*) OVER () AS n FROM g WHERE g IS NOT NULL) WHERE i = n // 2 + 1) "
+    "SELECT seconds, CASE WHEN d <= 1.5 THEN 'daily' WHEN d <= 10 THEN 'weekly' WHEN d <= 45 THEN 'monthly' WHEN d <= 135 THEN 'quarterly' WHEN d <= 550 THEN 'yearly' ELSE 'irregular' END AS frequency, "
+    "CASE WHEN d <= 1.5 THEN 7 WHEN d <= 10 THEN NULL WHEN d <= 45 THEN 12 WHEN d <= 135 THEN 4 END AS period FROM (SELECT seconds, seconds / 86400.0 AS d FROM m)",
+)
 def ts_frequency(t: Tables):
     return timeseries.frequency(daily(t))
 
@@ -427,7 +432,7 @@ def ts_ses(t: Tables):
     UNION ALL SELECT k.i, 0.5 * k.y + 0.5 * (r.level + r.trend), 0.1 * (0.5 * k.y + 0.5 * (r.level + r.trend) - r.level) + 0.9 * r.trend FROM r JOIN k ON k.i = r.i + 1) SELECT round(level, 6) AS level, round(trend, 6) AS trend FROM r ORDER BY i DESC LIMIT 1""",
 )
 def ts_holt(t: Tables):
-    return timeseries.as_array(daily(t)).select(timeseries.holt(F.col("ys"), 0.5, 0.1).alias("h")).select("h.*")
+    return timeseries.as_array(daily(t)).select(timeseries.holt(F.col("ys"), 0.5, 0.1).alias("h")).select("h.level", "h.trend")
 
 
 @query("ts_holt_winters")
@@ -440,6 +445,11 @@ def ts_compare(t: Tables):
     return timeseries.compare_forecasters(daily(t), 7)
 
 
+@query("ts_forecast")
+def ts_forecast(t: Tables):
+    return timeseries.forecast(daily(t))
+
+
 @query(
     "cluster_assign_step",
     f"WITH {_V}, c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 4), d AS (SELECT v.vec_id, c.k, sqrt(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (CAST(v.embedding[i] AS DOUBLE) - c.e[i]) ** 2))) AS d FROM v, c) SELECT vec_id, CAST(arg_min(k, (d, k)) AS INTEGER) AS cluster, round(min(d), 6) AS distance FROM d GROUP BY vec_id",
@@ -468,6 +478,10 @@ def cluster_traits(t: Tables):
     return cluster.traits(vectors(t), "label", [f"x{i}" for i in range(_DIMS)])
 
 
-@query("pca_covariance", f"WITH {_V} " + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_pop(x{i}, x{j}), 6) AS cov FROM v" for i in range(_DIMS) for j in range(i, _DIMS)))
+@query(
+    "pca_covariance",
+    "WITH l AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)) "
+    "SELECT 'x' || a.i AS a, 'x' || b.i AS b, round(covar_pop(a.x, b.x), 6) + 0.0 AS cov FROM l a JOIN l b USING (vec_id) WHERE a.i <= b.i GROUP BY a.i, b.i",
+)
 def pca_covariance(t: Tables):
     return cluster.covariance(vectors(t), [f"x{i}" for i in range(_DIMS)])

@@ -1,7 +1,9 @@
 """Hand-computed cases on small tables."""
 
 import json
+from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +128,6 @@ def test_psi(spark):
 
 
 def test_noise_ceiling_holds_its_rate():
-    import numpy as np
 
     rng = np.random.default_rng(1)
     ceiling = drift.noise_ceiling([0.1] * 10, 120, 120, 0.95)
@@ -185,7 +186,6 @@ def test_linear_solves_exactly(spark):
 
 
 def test_neighbours_in_blocks_match_brute_force(spark):
-    import numpy as np
 
     x = np.random.default_rng(3).normal(size=(300, 4))
     df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, y int")
@@ -200,7 +200,72 @@ def test_forecasters_on_known_series(spark):
     level = timeseries.as_array(line).select(timeseries.holt(F.col("ys"), 0.5, 0.1).alias("h")).first()["h"]
     assert level["level"] + level["trend"] == pytest.approx(3 + 2 * 40)
     best = timeseries.compare_forecasters(line).first()
-    assert best["model"].startswith("holt") and best["mae"] == pytest.approx(0)
+    assert best["model"].startswith("holt") and best["mae"] == pytest.approx(0, abs=1e-9)
+
+
+def brute_forecast(y, method, p, h):
+    """Each method refitted on the points it is given, as a loop."""
+    a, b, g, m = (p.get(k, 0) for k in ("alpha", "beta", "gamma", "m"))
+    if method == "naive":
+        return [y[-1]] * h
+    if method == "seasonalNaive":
+        return [y[len(y) - m + i % m] for i in range(h)]
+    if method in ("ses", "holt"):
+        level, trend = y[0], y[1] - y[0] if method == "holt" else 0.0
+        for x in y[1:]:
+            old, level = level, a * x + (1 - a) * (level + trend)
+            trend = b * (level - old) + (1 - b) * trend if method == "holt" else 0.0
+        return [level + (i + 1) * trend for i in range(h)]
+    one, two = sum(y[:m]) / m, sum(y[m : 2 * m]) / m
+    level, trend, season = one, (two - one) / m, [x - one for x in y[:m]]
+    for i, x in enumerate(y):
+        old, level = level, a * (x - season[i % m]) + (1 - a) * (level + trend)
+        trend = b * (level - old) + (1 - b) * trend
+        season[i % m] = g * (x - level) + (1 - g) * season[i % m]
+    return [level + (i + 1) * trend + season[(len(y) + i) % m] for i in range(h)]
+
+
+@pytest.mark.parametrize(("n", "period"), [(90, 7), (40, None), (19, 7)])
+def test_backtests_are_refits_at_every_held_out_point(spark, n, period):
+    rng = np.random.default_rng(n)
+    y = [float(10 + 0.2 * i + 3 * np.sin(2 * np.pi * i / 7) + rng.normal()) for i in range(n)]
+    series = spark.createDataFrame(list(enumerate(y)), "t int, y double").repartition(3)
+    found = {r["model"]: r for r in timeseries.backtests(series, period).collect()}
+    held = max(8, min(60, n // 5))
+    want = [f for f in timeseries.forecasters(period) if f.least <= int(n * 0.8) and n - held >= f.least]
+    assert list(found) and set(found) == {f.name for f in want}
+    for f in want:
+        errors = [y[i] - brute_forecast(y[:i], f.method, f.params, 1)[0] for i in range(n - held, n)]
+        assert found[f.name]["errors"] == pytest.approx(errors)
+        assert found[f.name]["mae"] == pytest.approx(np.mean(np.abs(errors))) and found[f.name]["rmse"] == pytest.approx(np.sqrt(np.mean(np.square(errors))))
+
+
+def test_forecast_goes_on_from_the_last_point(spark):
+    rng = np.random.default_rng(1)
+    y = [float(50 + 0.5 * i + 9 * np.sin(2 * np.pi * i / 7) + rng.normal()) for i in range(120)]
+    rows = [(date(2024, 1, 1) + timedelta(days=i), x) for i, x in enumerate(y)]
+    series = spark.createDataFrame(rows, "t date, y double")
+    found = timeseries.forecast(series).orderBy("t").collect()
+    best = min(timeseries.backtests(series, 7).collect(), key=lambda r: (r["mae"], r["place"]))
+    f = timeseries.forecasters(7)[best["place"]]
+    assert f.method == "holtWinters" and len(found) == 14
+    assert [r["t"].date() for r in found] == [date(2024, 1, 1) + timedelta(days=120 + i) for i in range(14)]
+    errors = sorted(best["errors"])
+    for r, x in zip(found, brute_forecast(y, f.method, f.params, 14), strict=True):
+        assert r["model"] == f.name and r["forecast"] == pytest.approx(x, abs=6e-4)
+        assert (r["low"], r["high"]) == pytest.approx((x + errors[2], x + errors[21]), abs=6e-4)
+    assert timeseries.forecast(series.limit(5)).count() == 0
+
+
+def test_long_series_lose_no_point(spark):
+    """1.5 million points: every one moves the state, and time grows with their number only."""
+    n = 1_500_000
+    ys = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double")).alias("ys"))
+    end = ys.select(timeseries.holt(F.col("ys"), 0.5, 0.2).alias("h")).first()["h"]
+    assert end["level"] == pytest.approx(n - 1) and end["trend"] == pytest.approx(1)
+    assert ys.select(F.size(timeseries.ses(F.col("ys"), 0.5)).alias("n")).first()["n"] == n
+    naive = timeseries.Forecaster("naive", {}, 1, 1)
+    assert ys.select(timeseries.held_errors(F.col("ys"), naive, F.lit(n - 60)).alias("e")).first()["e"] == [1.0] * 60
 
 
 COLUMNS = [ColumnInfo("age", True), ColumnInfo("fare", True), ColumnInfo("sex", False, ("female", "male")), ColumnInfo("town", False, ("Cherbourg", "Paris"))]
