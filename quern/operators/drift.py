@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +61,38 @@ def shares(binned: DataFrame) -> DataFrame:
 
 def stability(reference: DataFrame, current: DataFrame, bins: dict[str, list[str]]) -> DataFrame:
     """(column, psi) from shares on both sides; bins that neither side has count as empty on both."""
+    return side_by_side(reference, current, bins).select("column", "psi")
+
+
+def side_by_side(reference: DataFrame, current: DataFrame, bins: dict[str, list[str]]) -> DataFrame:
+    """(column, psi, pooled, reference_rows, rows): ``pooled`` are the shares of both samples put together, a few a column."""
     all_bins = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(b).alias("bin")) for c, bs in bins.items() for b in bs]))
     frame = reference.sparkSession.range(1).select(all_bins.alias("b")).select("b.*")
-    both = frame.join(reference.select("column", "bin", F.col("share").alias("p")), ["column", "bin"], "left").join(current.select("column", "bin", F.col("share").alias("q")), ["column", "bin"], "left")
+    left = reference.select("column", "bin", F.col("share").alias("p"), F.col("n").alias("a"))
+    right = current.select("column", "bin", F.col("share").alias("q"), F.col("n").alias("b"))
+    both = frame.join(left, ["column", "bin"], "left").join(right, ["column", "bin"], "left")
     zero = F.lit(0.0)
     value = psi(F.coalesce("p", zero), F.coalesce("q", zero))
     empty = (F.max("p").isNull()) | (F.max("q").isNull())
-    return both.groupBy("column").agg(F.when(empty, 0.0).otherwise(value).alias("psi"))
+    found = both.groupBy("column").agg(
+        F.when(empty, 0.0).otherwise(value).alias("psi"), F.coalesce(F.max("a"), F.lit(0)).alias("reference_rows"), F.coalesce(F.max("b"), F.lit(0)).alias("rows"),
+        F.array_sort(F.collect_list(F.struct("bin", F.coalesce("p", zero).alias("p"), F.coalesce("q", zero).alias("q")))).alias("shares"),
+    )
+    total = F.greatest(F.col("reference_rows") + F.col("rows"), F.lit(1))
+    pooled = F.transform("shares", lambda s: (s["p"] * F.col("reference_rows") + s["q"] * F.col("rows")) / total)
+    return found.select("column", "psi", pooled.alias("pooled"), "reference_rows", "rows")
+
+
+def graded(measured: DataFrame, level: float) -> DataFrame:
+    """(column, psi, ceiling, severity): each index against what it stays under when both samples are of one population."""
+
+    @F.arrow_udf("double")
+    def ceiling(pooled: pa.Array, reference_rows: pa.Array, rows: pa.Array) -> pa.Array:  # a row for each column
+        return pa.array([noise_ceiling(p, a, b, level) for p, a, b in zip(pooled.to_pylist(), reference_rows.to_pylist(), rows.to_pylist(), strict=True)], pa.float64())
+
+    told = measured.withColumn("ceiling", ceiling("pooled", "reference_rows", "rows"))
+    grade = F.when((F.col("psi") < MODERATE) | (F.col("psi") <= F.col("ceiling")), "stable").when(F.col("psi") < STRONG, "moderate").otherwise("strong")
+    return told.select("column", "psi", "ceiling", grade.alias("severity"))
 
 
 def top_categories(df: DataFrame, names: list[str], k: int = TOP_DRIFT) -> dict[str, list[str]]:
@@ -76,15 +102,23 @@ def top_categories(df: DataFrame, names: list[str], k: int = TOP_DRIFT) -> dict[
     return out
 
 
-def numeric_drift(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
+def numeric_sides(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
     edges = decile_edges(reference, names)
     bins = {c: [str(i) for i in range(len(e) + 1)] for c, e in edges.items()}
-    return stability(numeric_shares(reference, edges), numeric_shares(current, edges), bins)
+    return side_by_side(numeric_shares(reference, edges), numeric_shares(current, edges), bins)
 
 
-def categorical_drift(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
+def categorical_sides(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
     tops = top_categories(reference, names)
-    return stability(category_shares(reference, tops), category_shares(current, tops), {c: [*t, OTHER] for c, t in tops.items()})
+    return side_by_side(category_shares(reference, tops), category_shares(current, tops), {c: [*t, OTHER] for c, t in tops.items()})
+
+
+def numeric_drift(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
+    return numeric_sides(reference, current, names).select("column", "psi")
+
+
+def categorical_drift(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
+    return categorical_sides(reference, current, names).select("column", "psi")
 
 
 def changed_categories(reference: DataFrame, current: DataFrame, name: str, most: int = 6) -> DataFrame:
@@ -100,12 +134,18 @@ def psi_of(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def noise_ceiling(pooled: list[float], reference_rows: int, rows: int, level: float, seed: int = SEED) -> float:
-    """What the index stays under at ``level`` when nothing moved: both sides drawn from the pooled shares."""
+    """What the index stays under at ``level`` when nothing moved: both sides drawn from the pooled shares.
+
+    Draws are of 1000 rows at most, as is fixed for the reports: the ceiling of
+    larger tables is that of 1000 rows. Without rows nothing is above it.
+    """
+    if not (sum(pooled) > 0 and reference_rows >= 1 and rows >= 1):
+        return float("inf")
     rng = np.random.default_rng(seed)
     share = np.array(pooled) / sum(pooled)
     a, b = (min(n, MOST_SIMULATED) for n in (reference_rows, rows))
     simulated = psi_of(rng.multinomial(a, share, SIMULATIONS) / a, rng.multinomial(b, share, SIMULATIONS) / b)
-    return float(np.quantile(simulated, level)) * MOST_SIMULATED / max(MOST_SIMULATED, min(reference_rows, rows))
+    return float(np.quantile(simulated, level))
 
 
 def severity(value: float, ceiling: float | None) -> str:
@@ -183,14 +223,14 @@ def build_profiles(df: DataFrame, types: dict[str, str]) -> list[ColumnProfile]:
 
 
 def compare_to_profiles(df: DataFrame, profiles: list[ColumnProfile]) -> DataFrame:
-    """(column, psi) of a table against frozen profiles."""
+    """(column, psi, pooled, reference_rows, rows) of a table against frozen profiles."""
     numeric = {p.column: p.edges for p in profiles if p.kind == "numeric"}
     words = {p.column: p.bins[:-1] for p in profiles if p.kind != "numeric"}
     parts = ([numeric_shares(df, numeric)] if numeric else []) + ([category_shares(df, words)] if words else [])
     current = reduce(DataFrame.unionByName, parts)
     frozen = [(p.column, b, float(s), p.n) for p in profiles if p.n for b, s in zip(p.bins, p.shares, strict=True)]
     reference = df.sparkSession.createDataFrame(frozen, "column string, bin string, share double, n long")
-    return stability(reference, current, {p.column: p.bins for p in profiles})
+    return side_by_side(reference, current, {p.column: p.bins for p in profiles})
 
 
 def readings(df: DataFrame) -> DataFrame:
@@ -245,11 +285,8 @@ def check_contract(contract: Contract, df: DataFrame) -> DataFrame:
     profiles = [c.profile for c in present if c.profile and c.profile.n]
     if profiles and rows:
         level = 1 - FALSE_ALERTS / len(profiles)
-        sizes = {p.column: p for p in profiles}
-        for r in compare_to_profiles(df, profiles).collect():
-            p = sizes[r["column"]]
-            ceiling = noise_ceiling([max(s, 1e-9) for s in p.shares], p.n, rows, level) if r["psi"] >= MODERATE else None
-            told.append(("distribution", r["column"], "kept" if severity(r["psi"], ceiling) == "stable" else "warning", f"{r['psi']:.4f}"))
+        for r in graded(compare_to_profiles(df, profiles), level).collect():
+            told.append(("distribution", r["column"], "kept" if r["severity"] == "stable" else "warning", f"{r['psi']:.4f}"))
     out = spark.createDataFrame(told, "family string, subject string, outcome string, detail string")
     if measured:
         m = spark.createDataFrame(measured, "family string, subject string, a double, n long, b double, m long")

@@ -40,13 +40,12 @@ def score_batch(df: DataFrame, truth: str, predicted: str, classes: list[object]
 def check_production(reference: DataFrame, batch: DataFrame, numeric: list[str], words: list[str], right: str | None = None) -> DataFrame:
     """(signal, subject, value, verdict): drift of each column says watch at most; only a measured drop says retrain."""
     parts = []
-    sizes = reference.count(), batch.count()
     level = 1 - drift.FALSE_ALERTS / max(1, len(numeric) + len(words))
-    for names, measure in ((numeric, drift.numeric_drift), (words, drift.categorical_drift)):
+    for names, measure in ((numeric, drift.numeric_sides), (words, drift.categorical_sides)):
         if names:
-            ceiling = drift.noise_ceiling([1 / drift.BINS] * drift.BINS, *sizes, level)
-            moved = (F.col("psi") >= drift.MODERATE) & (F.col("psi") > ceiling)
-            parts.append(measure(reference, batch, names).select(F.lit("drift").alias("signal"), F.col("column").alias("subject"), F.col("psi").alias("value"), F.when(moved, "watch").otherwise("stable").alias("verdict")))
+            moved = drift.graded(measure(reference, batch, names), level)
+            verdict = F.when(F.col("severity") == "stable", "stable").otherwise("watch")
+            parts.append(moved.select(F.lit("drift").alias("signal"), F.col("column").alias("subject"), F.col("psi").alias("value"), verdict.alias("verdict")))
     if right:
         parts.append(evaluate.performance_signal(reference, batch, right).select(F.lit("performance").alias("signal"), F.lit(right).alias("subject"), F.col("current").alias("value"), "verdict"))
     return reduce(DataFrame.unionByName, parts)
@@ -54,11 +53,9 @@ def check_production(reference: DataFrame, batch: DataFrame, numeric: list[str],
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], words: list[str]) -> DataFrame:
     """(column, kind, psi, severity) of shared columns, and a row for each added or removed one."""
-    sizes = reference.count(), current.count()
     level = 1 - drift.FALSE_ALERTS / max(1, len(numeric) + len(words))
-    ceiling = drift.noise_ceiling([1 / drift.BINS] * drift.BINS, *sizes, level)
-    grade = F.when((F.col("psi") < drift.MODERATE) | (F.col("psi") <= ceiling), "stable").when(F.col("psi") < drift.STRONG, "moderate").otherwise("strong")
-    parts = [m(reference, current, n).select("column", F.lit(k).alias("kind"), "psi", grade.alias("severity")) for n, m, k in ((numeric, drift.numeric_drift, "numeric"), (words, drift.categorical_drift, "categorical")) if n]
+    sides = ((numeric, drift.numeric_sides, "numeric"), (words, drift.categorical_sides, "categorical"))
+    parts = [drift.graded(measure(reference, current, names), level).select("column", F.lit(kind).alias("kind"), "psi", "severity") for names, measure, kind in sides if names]
     changes = [(c, "added") for c in current.columns if c not in reference.columns] + [(c, "removed") for c in reference.columns if c not in current.columns]
     if changes:
         parts.append(reference.sparkSession.createDataFrame([(c, k, None, "moderate") for c, k in changes], "column string, kind string, psi double, severity string"))
@@ -116,14 +113,16 @@ def random_search(rows: DataFrame, key: str, family: Callable[[dict], object], g
     """(config, mean, sd): k-fold accuracy of configurations drawn from a grid, the best first. rows: key, features, label."""
     every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
     chosen = random.Random(seed).sample(every, min(configs, len(every)))
-    dealt = split.k_folds(rows, "label", key, folds, seed).cache()
+    dealt = split.k_folds(rows, "label", key, folds, seed).persist()
     results = []
     for config in chosen:
         for fold in range(folds):
             model = family(config).fit(dealt.where(F.col("fold") != fold))
             told = model.transform(dealt.where(F.col("fold") == fold))
             results.append(told.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).select(F.lit(str(config)).alias("config"), "a"))
-    found = reduce(DataFrame.unionByName, results).groupBy("config").agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("sd"))
+    told = [r for part in results for r in part.collect()]  # a row for each fit
+    dealt.unpersist()
+    found = rows.sparkSession.createDataFrame(told, "config string, a double").groupBy("config").agg(F.avg("a").alias("mean"), F.stddev_samp("a").alias("sd"))
     return found.orderBy(F.desc("mean"), "config")
 
 

@@ -135,6 +135,25 @@ def test_noise_ceiling_holds_its_rate():
     assert (draws > ceiling).mean() < 0.1
 
 
+def test_ceilings_are_those_of_each_column_s_own_shares(spark):
+    """A rare category's stray rows are noise of that column; the ceiling comes from both samples put together."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: [(float(x), "abc"[rng.choice(3, p=[0.97, 0.02, 0.01])]) for x in rng.normal(size=n)]
+    a, b = (spark.createDataFrame(draw(n), "x double, k string") for n in (90, 60))
+    for sides, name in ((drift.numeric_sides(a, b, ["x"]), "x"), (drift.categorical_sides(a, b, ["k"]), "k")):
+        m, g = sides.first(), drift.graded(sides, 0.975).first()
+        assert sum(m["pooled"]) == pytest.approx(1) and (m["reference_rows"], m["rows"]) == (90, 60)
+        assert g["ceiling"] == pytest.approx(drift.noise_ceiling(m["pooled"], 90, 60, 0.975))
+        assert g["severity"] == drift.severity(g["psi"], g["ceiling"]) == "stable", name
+    k = drift.categorical_sides(a, b, ["k"]).first()["pooled"]
+    counts = [sum(r["k"] == c for d in (a, b) for r in d.collect()) / 150 for c in "abc"]
+    assert sorted(x for x in k if x) == pytest.approx(sorted(x for x in counts if x))
+    assert drift.noise_ceiling(k, 90, 60, 0.975) != pytest.approx(drift.noise_ceiling([0.1] * 10, 90, 60, 0.975), rel=0.05)
+    assert drift.noise_ceiling([0.1] * 10, 5000, 90_000, 0.95) == drift.noise_ceiling([0.1] * 10, 1000, 1000, 0.95)
+    moved = b.withColumn("k", F.lit("c"))
+    assert drift.graded(drift.categorical_sides(a, moved, ["k"]), 0.95).first()["severity"] == "strong"
+
+
 def test_severity_grid():
     assert [drift.severity(v, c) for v, c in ((0.05, None), (0.15, 0.2), (0.15, 0.1), (0.3, 0.35), (0.3, 0.2), (0.2, None))] == ["stable", "stable", "moderate", "stable", "strong", "moderate"]
 
