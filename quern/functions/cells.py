@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 MISSING = ("", "na", "n/a", "null", "nan", "none", "-", "?")
 BOOLEANS = ("true", "false", "yes", "no", "y", "n", "vrai", "faux", "oui", "non")
 
+# How a number and a date are written in a text cell, and what is white space.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-SPACE = r"[\s\u00a0\ufeff\u2000-\u200a\u202f\u3000]"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 ISO_DATE = r"^(\d{4})-(\d{2})(?:-(\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?)?$"
 DAY_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{4})$"
 

@@ -144,13 +144,19 @@ def apply(df: DataFrame, recipe: Recipe, order: list[str]) -> DataFrame:
         df = first_rows(df, keys)
     plan = {c: strategy(df, c, recipe) for c in df.columns if c not in keys}
     fills = fill_values(df, {c: s for c, s in plan.items() if s not in ("keep", "drop")}, recipe)
+    flagged = [c for c in df.columns if recipe.columns.get(c, ColumnStep()).indicator]
+    flags: dict[str, str] = {}
+    if flagged:  # only columns that have gaps get an indicator, under a name that is free
+        gaps = df.agg(*[F.count_if(cells.is_missing(df, c)).alias(c) for c in flagged]).first()
+        flagged = [c for c in flagged if gaps[c]]
+        flags = dict(zip(flagged, free_names(df.columns, [f"{c}_absent" for c in flagged]), strict=True))
     columns: list[Column] = []
     for c in df.columns:
         gap = cells.is_missing(df, c)
         value = F.when(gap, F.lit(fills[c]).cast(df.schema[c].dataType)).otherwise(df[c]) if c in fills else df[c]
         columns.append(value.alias(c))
-        if recipe.columns.get(c, ColumnStep()).indicator:
-            columns.append(F.when(gap, "1").otherwise("0").alias(f"{c}_absent"))
+        if c in flags:
+            columns.append(F.when(gap, "1").otherwise("0").alias(flags[c]))
     drops = [c for c, s in plan.items() if s == "drop"]
     if drops:
         whole = ~cells.is_missing(df, drops[0])

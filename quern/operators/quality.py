@@ -30,7 +30,8 @@ NAMES = {
     "postcodeShape": ("postcode", "postal", "zip", "cp"),
 }
 BOUNDS = {"ageRange": (0, 120), "percentRange": (0, 100), "negativeAmount": (0, None)}
-POSTCODE = r"^[A-Za-z]\d[A-Za-z][ -]?\d[A-Za-z]\d$|^\d{5}$"
+CANADIAN_POSTCODE = r"^[A-Za-z]\d[A-Za-z][ -]?\d[A-Za-z]\d$"
+FRENCH_POSTCODE = r"^\d{5}$"
 STARTS = ("debut", "start", "commande", "order", "creation", "created", "from")
 ENDS = ("fin", "end", "livraison", "delivery", "cloture", "closed", "to")
 QUANTITIES = ("quantity", "quantite", "qte", "qty", "nombre")
@@ -93,7 +94,7 @@ def rule_test(df: DataFrame, rule: str, name: str) -> tuple[Column, Column]:
         return at.isNotNull(), at > F.current_timestamp()
     if rule == "postcodeShape":
         value = cells.text(df, name)
-        return value.isNotNull(), ~value.rlike(POSTCODE)
+        return value.isNotNull(), ~(value.rlike(CANADIAN_POSTCODE) | value.rlike(FRENCH_POSTCODE))
     low, high = BOUNDS[rule]
     x = cells.number(df, name)
     bad = x < low if high is None else (x < low) | (x > high)

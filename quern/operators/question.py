@@ -67,11 +67,29 @@ FRENCH = {
     "=": "egal a, egale a, vaut, est, =",
 }
 # Words that put no condition on rows: parts of a table, what rows stand for, and small words.
-TABLE_WORDS = "ligne lignes rangee rangees enregistrement enregistrements entree entrees observation observations colonne colonnes champ champs valeur valeurs cellule cellules donnee donnees jeu tableau table fichier taille total row rows record records entry entries column columns field fields value values cell cells data dataset file size shape"
-ROW_WORDS = "personne personnes gens individu individus passager passagers client clients utilisateur utilisateurs eleve eleves element elements produit produits people person persons individual individuals passenger passengers customer customers user users student students item items product products"
-SMALL_WORDS_FR = "les une des aux dans sur pour avec sans est sont etait etaient cette ces qui que quoi quel quelle quels quelles elle son ses leur leurs notre nos votre vos moi avait avaient ont tous toutes tout toute entre parmi seulement aussi peut donne montre liste affiche"
-SMALL_WORDS_EN = "the for with without are was were been what which who whom whose that this these those and does did there here its their his her your our from each per show give tell list where when between among have has had being all any some only also just please can could would should will much many"
-IGNORED = frozenset(f"{TABLE_WORDS} {ROW_WORDS} {SMALL_WORDS_FR} {SMALL_WORDS_EN}".split())
+TABLE_WORDS = (
+    "ligne", "lignes", "rangee", "rangees", "enregistrement", "enregistrements", "entree", "entrees", "observation", "observations", "colonne",
+    "colonnes", "champ", "champs", "valeur", "valeurs", "cellule", "cellules", "donnee", "donnees", "jeu", "tableau", "table", "fichier", "taille",
+    "total", "row", "rows", "record", "records", "entry", "entries", "column", "columns", "field", "fields", "value", "values", "cell", "cells",
+    "data", "dataset", "file", "size", "shape",
+)
+ROW_WORDS = (
+    "personne", "personnes", "gens", "individu", "individus", "passager", "passagers", "client", "clients", "utilisateur", "utilisateurs", "eleve",
+    "eleves", "element", "elements", "produit", "produits", "people", "person", "persons", "individual", "individuals", "passenger", "passengers",
+    "customer", "customers", "user", "users", "student", "students", "item", "items", "product", "products",
+)
+SMALL_WORDS_FR = (
+    "les", "une", "des", "aux", "dans", "sur", "pour", "avec", "sans", "est", "sont", "etait", "etaient", "cette", "ces", "qui", "que", "quoi",
+    "quel", "quelle", "quels", "quelles", "elle", "son", "ses", "leur", "leurs", "notre", "nos", "votre", "vos", "moi", "avait", "avaient", "ont",
+    "tous", "toutes", "tout", "toute", "entre", "parmi", "seulement", "aussi", "peut", "donne", "montre", "liste", "affiche",
+)
+SMALL_WORDS_EN = (
+    "the", "for", "with", "without", "are", "was", "were", "been", "what", "which", "who", "whom", "whose", "that", "this", "these", "those", "and",
+    "does", "did", "there", "here", "its", "their", "his", "her", "your", "our", "from", "each", "per", "show", "give", "tell", "list", "where",
+    "when", "between", "among", "have", "has", "had", "being", "all", "any", "some", "only", "also", "just", "please", "can", "could", "would",
+    "should", "will", "much", "many",
+)
+IGNORED = frozenset(TABLE_WORDS + ROW_WORDS + SMALL_WORDS_FR + SMALL_WORDS_EN)
 OPERATIONS = ("mean", "median", "sum", "min", "max", "std")
 COMPARISONS = (">=", "<=", "!=", ">", "<", "=")
 NUMBER = re.compile(r"-?\d+(?:[.,]\d+)?$")

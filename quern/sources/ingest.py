@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import cells
 from quern.operators.profile import per_column
 
+# How much of a file is looked at, delimiters, and how numbers are written in either custom.
 HEAD_BYTES = 256 * 1024
 DELIMITERS = (",", ";", "\t", "|")
 LEAST_VALUES, DECIMAL_SHARE = 5, 0.9
@@ -98,14 +99,16 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     encoding, delimiter = encoding or found, delimiter or detect_delimiter(text)
     first = spark.read.csv(spark.sparkContext.parallelize(text.splitlines()[:1], 1), sep=delimiter, header=False, inferSchema=False).first()
     header = repair_header(list(first) if first else [])
-    if encoding == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # Spark reads the Latin alphabets by this name in any session, and Windows-1252 only by a session-wide legacy option.
+    read_as = "iso-8859-1" if encoding == "windows-1252" else encoding
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in header.names)
-    reader = spark.read.options(sep=delimiter, encoding=encoding, header=True, enforceSchema=True, multiLine='"' in text, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__corrupt")
+    reader = spark.read.options(sep=delimiter, encoding=read_as, header=True, enforceSchema=True, multiLine='"' in text, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__corrupt")
     raw = reader.schema(f"{schema}, __corrupt string").csv(path)
-    counted = raw.cache().agg(F.count("*").alias("n"), F.count("__corrupt").alias("bad"))
-    n, bad = counted.first()
-    raw.unpersist()
+    if read_as != encoding:
+        raw = raw.select(*[from_latin(F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in raw.columns])
+    # All columns are read, as a row is only known to be malformed when all of it is parsed.
+    content = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in raw.columns if c != "__corrupt"])
+    n, bad, _ = raw.agg(F.count("*"), F.count("__corrupt"), F.max(content)).first()
     if most_cells and n * len(header.names) > most_cells:
         raise ValueError(f"too-large:{n}:{len(header.names)}")
     df = raw.drop("__corrupt")
@@ -113,6 +116,16 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     return normal_decimals(df, decimals), ReadFormat(encoding, delimiter, tuple(decimals), tuple(header.issues), bad)
 
 
+#: The characters of Windows-1252 where ISO 8859-1 has control codes 0x80 to 0x9F.
+WINDOWS = {code: bytes([code]).decode("cp1252", "ignore") for code in range(0x80, 0xA0)}
+
+
+def from_latin(text: Column) -> Column:
+    """A text that was read as ISO 8859-1 as Windows-1252 has it: the two differ in 27 characters."""
+    changed = {chr(code): c for code, c in WINDOWS.items() if c}
+    return F.translate(text, "".join(changed), "".join(changed.values()))
+
+
 def read_text(spark: SparkSession, text: str, delimiter: str | None = None) -> DataFrame:
     """Delimited text that is at hand."""
     delimiter = delimiter or detect_delimiter(text)

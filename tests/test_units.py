@@ -350,3 +350,42 @@ def test_types_of_a_long_table_with_few_values(spark):
     """Rows far beyond any sample, in 15 combinations of strings; late rows count like early ones."""
     df = spark.range(200_000).select(F.concat(F.lit("status "), F.col("id") % 3).alias("status"), F.concat(F.lit("priority "), F.col("id") % 5).alias("priority"), F.when(F.col("id") < 100_000, F.lit("12")).otherwise(F.lit("word")).alias("mixed"))
     assert {r["column"]: r["type"] for r in profile.column_types(df).collect()} == {"status": "categorical", "priority": "categorical", "mixed": "categorical"}
+
+
+def test_a_windows_1252_file_and_its_malformed_rows(spark, tmp_path):
+    path = tmp_path / "prices.csv"
+    path.write_bytes("name;price\ncafé “noir”;1,5 €\nthé;2\nœuf;3;4\n".encode("cp1252"))
+    df, told = ingest.read_delimited(spark, str(path), delimiter=";")
+    assert (told.encoding, told.delimiter, told.malformed_rows) == ("windows-1252", ";", 1)
+    assert [tuple(r) for r in df.orderBy("price").collect()] == [("café “noir”", "1,5 €"), ("thé", "2"), ("œuf", "3")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_all_white_space_is_trimmed(spark):
+    spaces = "        　﻿ \t\n"
+    df = spark.createDataFrame([(f"{spaces}a b{spaces}",), (spaces,)], "x string")
+    assert [r[0] for r in df.select(cells.jtrim(df["x"])).collect()] == ["a b", ""]
+
+
+def test_indicators_only_where_there_are_gaps_and_under_free_names(spark):
+    df = spark.createDataFrame([(1, "a", None, "x"), (2, "b", 3.0, "y")], "id long, full string, x double, x_absent string")
+    out = apply(df, Recipe(columns={"full": ColumnStep(indicator=True), "x": ColumnStep(indicator=True)}), ["id"])
+    assert set(out.columns) == {"id", "full", "x", "x_absent", "x_absent_2"}
+    assert [(r["x_absent"], r["x_absent_2"]) for r in out.orderBy("id").collect()] == [("x", "1"), ("y", "0")]
+
+
+def test_a_missing_package_is_not_taken_for_a_removed_subpackage(monkeypatch):
+    import __spark_entry__ as entry
+
+    def fails(name):
+        def of(_):
+            raise ModuleNotFoundError("gone", name=name)
+
+        return of
+
+    for name in ("quern.llm", "quern.llm.queries", "corpus_pipeline"):
+        monkeypatch.setattr(entry, "import_module", fails(name))
+        assert entry.removable("corpus_pipeline" if name == "corpus_pipeline" else "quern.llm.queries") is None
+    monkeypatch.setattr(entry, "import_module", fails("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.removable("quern.llm.queries")
