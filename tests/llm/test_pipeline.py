@@ -100,3 +100,52 @@ def test_columns_named_like_those_of_a_stage_stay_as_they_are(spark, folder):
         found = stage(spark, docs, folder)
         assert found.columns == docs.columns, name
         assert not found.where(" OR ".join(f"{n} <> concat('{n}-', doc_id)" for n in names)).count(), name
+
+
+def test_a_large_group_of_loose_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with more and more edits: links are those of brute force, and pairs that can't be similar are no rows."""
+    rng = random.Random(9)
+    base = sentence_of(rng, 150)
+    texts = [" ".join(base)]
+    for i in range(260):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 12)):
+            words[at] = f"changed{i}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept_rows = {}
+    plain = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: kept_rows.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(near_copies, "discard", lambda *tables: None)
+    found = near_copies.similar_components(docs).select("doc_id", "root").collect()
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [near_copies.shingles(t, 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    groups = lambda pairs: {frozenset(i for i, r in pairs if r == root) for root in {r for _, r in pairs}}
+    assert groups([(r["doc_id"], r["root"]) for r in found]) == groups([(i, find(i)) for i in range(len(texts))])
+    assert 0 < kept_rows["cross-links"].count() < 1000  # links only
+
+
+def test_marks_pass_nearly_all_pairs_at_the_similarity():
+    rng = random.Random(2)
+    passed = 0
+    for _ in range(300):
+        common, own = [[f"{rng.random()}" for _ in range(n)] for n in (160, 40)]
+        a, b = set(common) | set(own[:20]), set(common) | set(own[20:])  # 160 of 200: exactly 0.8
+        planes = [near_copies.marks_of(near_copies.least_of(x)).view("uint64").reshape(near_copies.PLANES, -1) for x in (a, b)]
+        differ = 0
+        for w in range(planes[0].shape[1]):
+            differ += bin(int(planes[0][0][w] ^ planes[1][0][w]) | int(planes[0][1][w] ^ planes[1][1][w]) | int(planes[0][2][w] ^ planes[1][2][w]) | int(planes[0][3][w] ^ planes[1][3][w])).count("1")
+        passed += differ <= near_copies.most_unlike(0.8)
+    assert passed >= 299
