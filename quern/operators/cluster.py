@@ -49,6 +49,46 @@ def traits(df: DataFrame, cluster: str, names: list[str], most: int = 3) -> Data
     return ranked(means.select(cluster, each.alias("t")).select(cluster, "t.*"), [cluster], [F.desc(F.abs("gap")), F.col("column")], most)
 
 
+def choose_kmeans(df: DataFrame, key: str, vector: str, ks: tuple[int, ...] = (2, 3, 4, 5), seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(assignments, tried): the clusters of the number that has the best silhouette, and (k, silhouette) of all that were tried."""
+    tried, best = [], None
+    for k in ks:
+        found, _ = kmeans(df, key, vector, k, seed + k)
+        score = silhouette(df.join(found.select(key, "cluster"), key), key, vector, "cluster").first()["silhouette"]
+        tried.append((k, score))
+        if score is not None and (best is None or score > best[0]):
+            best = (score, found)
+    if best is None:
+        raise ValueError("too-few-rows")
+    return best[1], df.sparkSession.createDataFrame(tried, "k int, silhouette double")
+
+
+def categorical_traits(df: DataFrame, cluster: str, names: list[str], most: int = 3) -> DataFrame:
+    """(cluster, column, value, share, overall, rank): for each column the value whose share is farthest from the whole's; missing cells don't count."""
+    from quern.functions import cells
+    from quern.operators.profile import ranked
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), cells.text(df, c).alias("value")) for c in names]))
+    counts = df.select(cluster, each.alias("v")).select(cluster, "v.*").where("value IS NOT NULL").groupBy(cluster, "column", "value").agg(F.count("*").alias("n"))
+    within = counts.groupBy(cluster, "column").agg(F.sum("n").alias("total"))
+    whole = counts.groupBy("column", "value").agg(F.sum("n").alias("all"))
+    sizes = within.groupBy("column").agg(F.sum("total").alias("rows"))
+    told = counts.join(within, [cluster, "column"]).join(whole, ["column", "value"]).join(sizes, "column")
+    share, overall = F.col("n") / F.col("total"), F.col("all") / F.col("rows")
+    told = told.select(cluster, "column", "value", share.alias("share"), overall.alias("overall"))
+    weight = F.abs(F.col("share") - F.col("overall"))
+    best = told.groupBy(cluster, "column").agg(F.min_by(F.struct("value", "share", "overall"), F.struct(-weight, "value")).alias("b")).select(cluster, "column", "b.*")
+    return ranked(best, [cluster], [F.desc(weight), F.col("column")], most)
+
+
+def project(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, x, y): each row on the two leading components, around the means."""
+    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
+    axes = pca2(df, names)
+    on = lambda axis: sum((F.coalesce(F.col(c) - means[c], F.lit(0.0)) * float(w) for c, w in zip(names, axis, strict=True)), F.lit(0.0))
+    return df.select(key, on(axes[0]).alias("x"), on(axes[1]).alias("y"))
+
+
 def covariance(df: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, cov) of all pairs, each over the rows that have both.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import cleaning, intents, modelling, quality, relational, scoring, surface  # noqa: F401
+from quern.plans import cleaning, intents, modelling, quality, relational, runs, scoring, surface  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
