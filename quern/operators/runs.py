@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.functions import cells
 from quern.operators import metrics, models, split
 from quern.operators.ordering import all_of
+from quern.sources.stored import stored
 
 # When there is a validation part, when a column tells too much, how many models a blend has, how often halves are dealt.
 LEAST_FOR_VALIDATION, TEST_SHARE, VALIDATION_SHARE = 60, 0.2, 0.2
@@ -59,6 +60,7 @@ def prepare(df: DataFrame, numeric: list[str], words: list[str], label: str, key
         rest = rest.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise("train"))
         marked = rest.unionByName(marked.where("part = 'test'"))
     typed = marked.select(key, label, "part", *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in words])
+    typed = stored(typed, "prepared")  # every fit and every part reads the same rows, dealt once
     stages = []
     if numeric:
         stages += [Imputer(inputCols=numeric, outputCols=[f"_n_{c}" for c in numeric], strategy="median"), VectorAssembler(inputCols=[f"_n_{c}" for c in numeric], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
