@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import (
+    byte_bpe,
     decontaminate,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
     quality_classifier,
     quality_rules,
     secret_scan,
     sharding,
     simhash,
+    token_alignment,
     url_filter,
 )
 from quern.llm.common import bounded_batches
@@ -66,6 +69,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.op11_token_alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12_merkle(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.op13_byte_bpe(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_merkle": op12_merkle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE_OP6,
     "op8_decontaminate": decontaminate.ORACLE_OP8,
     "op9_url_filter": url_filter.oracle_op9(),
+    "op12_merkle": merkle.ORACLE_OP12,
 }
