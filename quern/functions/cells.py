@@ -22,14 +22,14 @@ BOOLEANS = ("true", "false", "yes", "no", "y", "n", "vrai", "faux", "oui", "non"
 
 # How a number and a date are written in a text cell, and what is white space.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 ISO_DATE = r"^(\d{4})-(\d{2})(?:-(\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?)?$"
 DAY_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{4})$"
 
 
 def jtrim(c: Column) -> Column:
     """Trim all Unicode white space, where ``trim`` would only take ASCII spaces."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_string(df: DataFrame, name: str) -> bool:

@@ -13,6 +13,7 @@ from quern.functions import cells
 from quern.operators import quality
 from quern.operators.joins import free_names
 from quern.operators.profile import exclusions, profile_columns
+from quern.operators.quantiles import medians
 
 MISSING_STRATEGIES = ("keep", "drop", "median", "mean", "mode", "constant", "category")
 DATE_PARTS = ("year", "month", "weekday")
@@ -94,12 +95,15 @@ def first_rows(df: DataFrame, order: list[str], by: list[str] | None = None) ->
 
 
 def fill_values(df: DataFrame, wanted: dict[str, str], recipe: Recipe) -> dict[str, Any]:
-    """What each column is filled with: one aggregate for means and medians, one for modes."""
+    """What each column is filled with: one aggregate for means, one for modes, a few passes for all medians."""
     out: dict[str, Any] = {}
-    numeric = {c: F.median(cells.number(df, c)) if s == "median" else F.avg(cells.number(df, c)) for c, s in wanted.items() if s in ("median", "mean")}
-    if numeric:
-        row = df.agg(*[a.alias(c) for c, a in numeric.items()]).first()
-        out |= {c: row[c] for c in numeric if row[c] is not None}
+    means = [c for c, s in wanted.items() if s == "mean"]
+    if means:
+        row = df.agg(*[F.avg(cells.number(df, c)).alias(c) for c in means]).first()
+        out |= {c: row[c] for c in means if row[c] is not None}
+    middle = [c for c, s in wanted.items() if s == "median"]
+    if middle:
+        out |= {c: x for c, x in medians(df, middle).items() if x is not None}
     modes = [c for c, s in wanted.items() if s == "mode"]
     if modes:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), cells.text(df, c).alias("value")) for c in modes]))

@@ -15,6 +15,7 @@ from quern.functions import cells
 from quern.functions.stats import normal_quantile, psi, share_difference
 from quern.operators import quality
 from quern.operators.profile import column_types, per_column, top_values
+from quern.operators.quantiles import quantiles
 
 BINS = 10
 TOP_DRIFT, TOP_PROFILE = 10, 12
@@ -26,9 +27,8 @@ OTHER = "__other__"
 
 def decile_edges(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
     """Inner decile edges of each column, repeated ones once; nine numbers a column."""
-    quantiles = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    rows = per_column(df, names, {"q": lambda d, c: F.percentile(cells.number(d, c), quantiles)}).collect()
-    return {r["column"]: sorted(set(r["q"] or [])) for r in rows}
+    found = quantiles(df, {c: [i / BINS for i in range(1, BINS)] for c in names})
+    return {c: sorted(set(q)) if q[0] is not None else [] for c, q in found.items()}
 
 
 def bin_of(x: Column, edges: list[float]) -> Column:

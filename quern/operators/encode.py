@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import cells
 from quern.operators.profile import per_column, top_values
+from quern.operators.quantiles import medians
 
 MOST_ONE_HOT = 12
 MOST_TERMS = 256
@@ -40,11 +41,9 @@ class OneHot:
 
 
 def fit_numeric(df: DataFrame, names: list[str]) -> list[Numeric]:
-    rows = per_column(df, names, {
-        "fill": lambda d, c: F.median(cells.number(d, c)), "mean": lambda d, c: F.avg(cells.number(d, c)), "std": lambda d, c: F.stddev_pop(cells.number(d, c)),
-    }).collect()
-    found = {r["column"]: r for r in rows}
-    return [Numeric(c, *(found[c][k] or 0.0 for k in ("fill", "mean", "std"))) for c in names]
+    rows = per_column(df, names, {"mean": lambda d, c: F.avg(cells.number(d, c)), "std": lambda d, c: F.stddev_pop(cells.number(d, c))}).collect()
+    found, fill = {r["column"]: r for r in rows}, medians(df, names)
+    return [Numeric(c, fill[c] or 0.0, found[c]["mean"] or 0.0, found[c]["std"] or 0.0) for c in names]
 
 
 def fit_one_hot(df: DataFrame, names: list[str]) -> list[OneHot]:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import cells
+from quern.operators import quantiles
 
 BINS = 12
 TOP_VALUES = 8
@@ -39,45 +43,43 @@ def per_column(df: DataFrame, names: list[str], figures: dict[str, object]) -> D
 def profile_columns(df: DataFrame, names: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, rows, missing, distinct, numbers, min, max, mean, median, std) of each column.
 
-    Exact distinct counts and medians need every value of a column to meet; with
-    ``exact=False`` sketches of fixed size (1 % error) take their place, and the
-    whole profile is one pass whose shuffle doesn't grow with the rows.
+    Exact medians and distinct counts are found by selection and by grouping, in
+    a few more passes (``quantiles``): no column's values meet in one buffer.
+    With ``exact=False`` sketches of fixed size (1 % error) take their place, and
+    the whole profile is one pass whose shuffle doesn't grow with the rows.
     """
     names = names or df.columns
     # Cells are read once a row; the aggregates then refer to plain columns.
-    read = []
+    read, numeric = [], []
     for j, c in enumerate(names):
         typed = not cells.is_string(df, c)
         read += [cells.is_missing(df, c).alias(f"m{j}"), (df[c] if typed else cells.text(df, c)).alias(f"v{j}")]
         if cells.is_numeric(df, c) or not typed:
             read.append(cells.number(df, c).alias(f"x{j}"))
+            numeric.append(c)
     rows = df.select(*read)
+    distinct = quantiles.distinct_counts(rows, [f"v{j}" for j in range(len(names))]) if exact else {}
+    middle = quantiles.medians(df, numeric) if exact and numeric else {}
     figures = ("rows", "missing", "distinct", "numbers", "min", "max", "mean", "median", "std")
     none = {n: F.lit(0).cast("long") if n == "numbers" else F.lit(None).cast("double") for n in figures[3:]}
-    parts, counts = [], []
+    parts = []
     at_once = max(1, MOST_EXPRESSIONS // len(figures))
     for low in range(0, len(names), at_once):
         some = range(low, min(len(names), low + at_once))
-        # Exact distinct counts are an aggregate of their own: mixed with medians, each value would carry all columns' buffers.
-        distinct = [(F.count_distinct(F.col(f"v{j}")) if exact else F.approx_count_distinct(F.col(f"v{j}"), 0.01)).alias(f"distinct{j}") for j in some]
-        aggregates = [F.count("*").alias("rows"), *([] if exact else distinct)]
+        aggregates = [F.count("*").alias("rows")]
         for j in some:
             aggregates.append(F.count_if(f"m{j}").alias(f"missing{j}"))
+            if not exact:
+                aggregates.append(F.approx_count_distinct(F.col(f"v{j}"), 0.01).alias(f"distinct{j}"))
             if f"x{j}" in rows.columns:
                 x = F.col(f"x{j}")
-                middle = F.median(x) if exact else F.percentile_approx(x, 0.5, 10_000)
-                aggregates += [a.alias(f"{n}{j}") for n, a in zip(figures[3:], (F.count(x), F.min(x), F.max(x), F.avg(x), middle, F.stddev_pop(x)), strict=True)]
+                aggregates += [a.alias(f"{n}{j}") for n, a in zip([n for n in figures[3:] if not exact or n != "median"], (F.count(x), F.min(x), F.max(x), F.avg(x), *([] if exact else [F.percentile_approx(x, 0.5, 10_000)]), F.stddev_pop(x)), strict=True)]
         row = rows.agg(*aggregates)
-        own = [n for n in figures[1:] if not exact or n != "distinct"]
-        each = [F.struct(F.lit(names[j]).alias("column"), F.col("rows"), *[(F.col(f"{n}{j}") if f"{n}{j}" in row.columns else none[n]).alias(n) for n in own]) for j in some]
-        parts.append(row.select(F.explode(F.array(*each)).alias("p")).select("p.*"))
         if exact:
-            each = [F.struct(F.lit(names[j]).alias("column"), F.col(f"distinct{j}").alias("distinct")) for j in some]
-            counts.append(rows.agg(*distinct).select(F.explode(F.array(*each)).alias("p")).select("p.*"))
-    found = reduce(DataFrame.unionByName, parts)
-    if exact:  # a row for each column on both sides
-        found = found.join(reduce(DataFrame.unionByName, counts), "column")
-    return found.select("column", *figures)
+            row = row.withColumns({f"distinct{j}": F.lit(distinct[f"v{j}"]).cast("long") for j in some} | {f"median{j}": F.lit(middle.get(names[j])).cast("double") for j in some})
+        each = [F.struct(F.lit(names[j]).alias("column"), F.col("rows"), *[(F.col(f"{n}{j}") if f"{n}{j}" in row.columns else none[n]).alias(n) for n in figures[1:]]) for j in some]
+        parts.append(row.select(F.explode(F.array(*each)).alias("p")).select("p.*"))
+    return reduce(DataFrame.unionByName, parts).select("column", *figures)
 
 
 def histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
@@ -135,7 +137,8 @@ def column_types(df: DataFrame) -> DataFrame:
             "dates": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(TYPED_DATE)),
             "uuids": lambda d, c: F.count_if(F.col(f"t{at[c]}").rlike(UUID)),
         })
-        figures = figures.join(per_column(read, strings, {"distinct": lambda d, c: F.count_distinct(F.when(F.col(f"l{at[c]}").isNotNull(), F.xxhash64(f"l{at[c]}")))}), "column")
+        counts = quantiles.distinct_counts(read.select(*[F.when(F.col(f"l{i}").isNotNull(), F.xxhash64(f"l{i}")).alias(f"h{i}") for i in at.values()]), [f"h{i}" for i in at.values()])
+        figures = figures.join(spark.createDataFrame([(c, counts[f"h{i}"]) for c, i in at.items()], "column string, distinct long"), "column")  # a row for each column
         n = F.col("n")
         named = F.col("column").rlike(r"(?i)(^|_)(id|key|code|uuid|guid|ref|no|num|number)$|key$|id$")
         unique = (F.col("distinct") >= 0.99 * n) & named
@@ -169,11 +172,31 @@ def determines(df: DataFrame, pairs: list[tuple[str, str]], most_values: int = 5
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs of numeric columns in one job; r is 0 for constants and fewer than three rows."""
-    from quern.functions.stats import pearson
-
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    r = {(a, b): pearson(cells.number(df, a), cells.number(df, b)) for a, b in pairs}
-    row = df.agg(*[F.coalesce(c, F.lit(0.0)).alias(f"r{i}") for i, c in enumerate(r.values())])
-    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(each).alias("p")).select("p.*")
+    """(a, b, r) of all pairs of numeric columns over the rows where both are given; r is 0 for constants and fewer than two rows.
+
+    Each task multiplies whole blocks of rows (Gram sums of values and of what is
+    given), whatever the number of columns, and sends one row for each pair.
+    """
+    count = len(names)
+    low = df.agg(*[F.min(cells.number(df, c)).alias(f"x{i}") for i, c in enumerate(names)]).first()
+    start = np.array([x if x is not None else 0.0 for x in low])  # constants become zeros; large offsets don't cancel digits
+    left, right = np.triu_indices(count, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, count, count))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - start
+            given = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            square = x * x
+            total += [given.T @ given, x.T @ given, given.T @ x, square.T @ given, given.T @ square, x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array(right, pa.int32()), *[pa.array(m[left, right]) for m in total]], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    rows = df.select(*[cells.number(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    parts = rows.mapInArrow(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    of = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, spread = F.col("n"), lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    both = [F.when(spread(s, q) > 1e-13 * F.col(q), spread(s, q)) for s, q in (("x", "xx"), ("y", "yy"))]  # null for constants
+    r = F.when(n >= 2, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(both[0] * both[1]))
+    name = lambda i: F.get(F.array(*[F.lit(c) for c in names]), i)
+    return of.select(name(F.col("i")).alias("a"), name(F.col("j")).alias("b"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))).alias("r"))

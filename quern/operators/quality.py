@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import cells
+from quern.operators import quantiles
 from quern.operators.profile import exclusions, per_column, profile_columns
 
 LEAST_FOR_FENCES = 8
@@ -41,11 +42,10 @@ TOTALS = ("total", "montant", "amount", "sum")
 
 def fences(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, n, low, high): Tukey's fences; null for fewer than 8 numbers or no spread."""
-    quartiles = per_column(df, names, {
-        "n": lambda d, c: F.count(cells.number(d, c)),
-        "q": lambda d, c: F.percentile(cells.number(d, c), F.array(F.lit(0.25), F.lit(0.75))),
-    })
-    q1, q3 = F.col("q")[0], F.col("q")[1]
+    quarters = quantiles.quantiles(df, {c: [0.25, 0.75] for c in names})
+    known = df.sparkSession.createDataFrame([(c, *q) for c, q in quarters.items()], "column string, q1 double, q3 double")  # a row for each column
+    quartiles = per_column(df, names, {"n": lambda d, c: F.count(cells.number(d, c))}).join(known, "column")
+    q1, q3 = F.col("q1"), F.col("q3")
     fit = (F.col("n") >= LEAST_FOR_FENCES) & (q3 > q1)
     return quartiles.select("column", "n", F.when(fit, q1 - 1.5 * (q3 - q1)).alias("low"), F.when(fit, q3 + 1.5 * (q3 - q1)).alias("high"))
 
@@ -237,7 +237,7 @@ def depths(tree: tuple, x: np.ndarray, at: int = 0) -> np.ndarray:
 
 def isolation_scores(df: DataFrame, names: list[str], key: str, seed: int = 42) -> DataFrame:
     """The input with ``anomaly`` in 0..1. Trees are grown on TREES * SUBSAMPLE rows at most, chosen by hash; all rows are scored where they lie."""
-    medians = df.agg(*[F.median(cells.number(df, c)).alias(c) for c in names]).first()
+    medians = quantiles.medians(df, names)
     filled = [F.coalesce(cells.number(df, c), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in names]
     drawn = df.select(*[c.alias(f"x{i}") for i, c in enumerate(filled)]).orderBy(F.xxhash64(df[key], F.lit(seed)), df[key]).limit(TREES * SUBSAMPLE).collect()
     points = np.array([list(r) for r in drawn], dtype=float).reshape(len(drawn), len(names))
