@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import boosting
+
 RIDGE = 1e-6
 LEAST_VARIANCE = 1e-9
 
@@ -157,7 +158,9 @@ def assembled(df: DataFrame, features: list[str] | str, label: str, keep: list[s
 
 
 def fit_predict(family: str, train: DataFrame, rows: DataFrame, keep: list[str], classes: int = 2, width: int = 0, seed: int = 42, task: str = "classification") -> DataFrame:
-    """(keep, predicted[, probability]): a family of MLlib, trained on all of ``train``, without caps."""
+    """(keep, predicted[, probability]): a family of MLlib, or the boosting of ``boosting``, trained on all of ``train``, without caps."""
+    if family == "boosting":
+        return boosted(train, rows, keep, classes, task)
     if task == "regression":
         return REGRESSORS[family](seed).fit(train).transform(rows).select(*keep, F.col("prediction").alias("predicted"))
     found = CLASSIFIERS[family](seed, [width, 16, classes]).fit(train).transform(rows)
@@ -165,6 +168,18 @@ def fit_predict(family: str, train: DataFrame, rows: DataFrame, keep: list[str],
     return found.select(*keep, F.col("prediction").cast("int").alias("predicted"), *extra)
 
 
+def boosted(train: DataFrame, rows: DataFrame, keep: list[str], classes: int, task: str) -> DataFrame:
+    """Histogram boosting with its defaults: 120 rounds, depth 4, 32 bins; the first of equal classes."""
+    given = train.select(vector_to_array("features").alias("x"), "label")
+    asked = rows.select(*keep, vector_to_array("features").alias("_x"))
+    if task == "regression":
+        model = boosting.fit_regressor(given, "x", "label")
+        return asked.select(*keep, F.get(model.predict("_x"), F.lit(0)).alias("predicted"))
+    model = boosting.fit_classifier(given, "x", "label", classes)
+    told = asked.select(*keep, model.predict("_x").alias("probability"))
+    return told.select(*keep, (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("predicted"), "probability")
+
+
 def kmeans_step(points: DataFrame, key: str, vector: str, centres: list[list[float]]) -> DataFrame:
     """(key, cluster, distance): the nearest centre, the first of equals."""
     x = F.col(vector)

@@ -1,16 +1,28 @@
-"""Series, gaps, one-step backtests, smoothing forecasters and the choice among them."""
+"""Series, gaps, one-step backtests, smoothing forecasters and the choice among them.
+
+A forecaster's state is a vector, and a point moves it by one affine map, the same
+for every point: state' = A state + b y. So what a range of points does is A to the
+power of its length, and one vector, and ranges are put together without walking
+through them again. Series lie side by side by key, cut into ranges of time; every
+range is folded where it lies, a row for each range is carried along its series, and
+only then points are looked at whose forecasts are asked for. A long series is as
+many tasks as it has ranges; many short ones share a task.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import accumulate, product
+from functools import cached_property
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.ordering import running, shifted
+from quern.operators.ordering import in_ranges, running, shifted
+from quern.sources.stored import discard, stored
 
 # The grids, lengths and quantiles that forecasts are chosen and told by.
 LEVELS = (0.2, 0.5, 0.8)
@@ -61,32 +73,12 @@ def backtest_lag(series: DataFrame, lag: int = 1) -> DataFrame:
     return found.where("forecast IS NOT NULL").withColumn("error", F.abs(F.col("y") - F.col("forecast")))
 
 
-def as_array(series: DataFrame) -> DataFrame:
-    """One row with the series in order. A series is as long as its calendar, not as the table behind it."""
-    return series.agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda p: p["y"]).alias("ys"))
-
-
-def ses(ys: Column, alpha: float) -> Column:
-    """The level after each point, by exponential smoothing."""
-
-    @F.arrow_udf("array<double>")
-    def levels(series: pa.Array) -> pa.Array:
-        out = []
-        for ys in series.to_pylist():
-            told = list(accumulate(ys or [], lambda level, y: alpha * y + (1 - alpha) * level))
-            out.append(told)
-        return pa.array(out, pa.list_(pa.float64()))
-
-    return levels(ys)
-
-
 @dataclass(frozen=True)
 class Forecaster:
     """A method with its parameters: where it starts, how a point moves it, what it says of the points to come.
 
-    Its state is (level, trend, season): a number, a number, and the parts of the
-    season to come, the next point's first. Naive methods keep the last points as
-    the season. One pass over the series, whatever its length.
+    The state is (level, trend, the parts of the season to come, the next point's
+    first). Naive methods keep the last points as the season.
     """
 
     method: str
@@ -98,38 +90,78 @@ class Forecaster:
     def name(self) -> str:
         return f"{self.method}({','.join(f'{k}={v:g}' for k, v in self.params.items())})"
 
-    def start(self, ys: Column) -> Column:
-        m = int(self.params.get("m", 1))
-        first = F.get(ys, F.lit(0))
+    @property
+    def season(self) -> int:
+        return int(self.params.get("m", 1))
+
+    @property
+    def needed(self) -> int:
+        """How many points the start is made of."""
+        return {"naive": 1, "ses": 1, "holt": 2, "seasonalNaive": self.season}.get(self.method, 2 * self.season)
+
+    @cached_property
+    def step(self) -> tuple[np.ndarray, np.ndarray]:
+        """(A, b) of the map by which a point moves the state."""
+        m = self.season
+        a, b, g = (self.params.get(k, 0.0) for k in ("alpha", "beta", "gamma"))
+        unit = np.eye(m + 2)
+        rotated = np.roll(unit[2:], -1, axis=0)  # each part of the season moves up, the first to the end
         if self.method in ("naive", "seasonalNaive"):
-            return state(F.lit(0.0), F.lit(0.0), F.slice(ys, 1, m))
-        if self.method == "ses":
-            return state(first, F.lit(0.0), F.array(F.lit(0.0)))
-        if self.method == "holt":
-            return state(first, F.get(ys, F.lit(1)) - first, F.array(F.lit(0.0)))
-        one, two = (F.aggregate(F.slice(ys, at, m), F.lit(0.0), lambda s, x: s + x) / m for at in (1, m + 1))
-        return state(one, (two - one) / m, F.transform(F.slice(ys, 1, m), lambda x: x - one))
-
-    def moved(self, s: Column, y: Column) -> Column:
-        a, b, g, m = (self.params.get(k, 0.0) for k in ("alpha", "beta", "gamma", "m"))
-        old = F.get(s["season"], F.lit(0))
+            rotated[-1] = 0
+            return np.vstack([unit[:2], rotated]), unit[-1]
+        level, level_y = (1 - a) * (unit[0] + unit[1]) - a * unit[2], a
+        trend, trend_y = (b * (level - unit[0]) + (1 - b) * unit[1], b * a) if b else (0 * unit[1], 0.0)
+        if g:
+            rotated[-1], season_y = -g * level + (1 - g) * unit[2], g - g * level_y
+        else:
+            rotated, season_y = unit[2:], 0.0
+        return np.vstack([level, trend, rotated]), np.concatenate([[level_y, trend_y], np.zeros(m - 1), [season_y]])
+
+    def start(self, head: np.ndarray) -> np.ndarray:
+        """The state before point ``first``, from the series' first points."""
+        m = self.season
         if self.method in ("naive", "seasonalNaive"):
-            return state(s["level"], s["trend"], turned(s["season"], y, int(m or 1)))
-        level = a * (y - old) + (1 - a) * (s["level"] + s["trend"])
-        trend = b * (level - s["level"]) + (1 - b) * s["trend"] if b else F.lit(0.0)
-        return state(level, trend, turned(s["season"], g * (y - level) + (1 - g) * old, int(m)) if g else s["season"])
-
-    def ahead(self, s: Column, h: Column) -> Column:
-        """What is said of the h-th point to come, from 0."""
-        return s["level"] + (h + 1) * s["trend"] + F.get(s["season"], (h % F.size(s["season"])).cast("int"))
-
-
-def state(level: Column, trend: Column, season: Column) -> Column:
-    return F.struct(level.cast("double").alias("level"), trend.cast("double").alias("trend"), season.cast("array<double>").alias("season"))
-
-
-def turned(season: Column, new: Column, m: int) -> Column:
-    return F.concat(F.slice(season, 2, m), F.array(new.cast("double"))) if m > 1 else F.array(new.cast("double"))
+            return np.concatenate([[0, 0], head[:m]])
+        if self.method in ("ses", "holt"):
+            return np.array([head[0], head[1] - head[0] if self.method == "holt" else 0.0, 0.0])
+        one, two = head[:m].mean(), head[m : 2 * m].mean()
+        return np.concatenate([[one, (two - one) / m], head[:m] - one])
+
+    def ahead(self, h: int) -> np.ndarray:
+        """What is said of the h-th point to come (from 0) is this, times the state."""
+        told = np.zeros(self.season + 2)
+        told[0], told[1], told[2 + h % self.season] = 1, h + 1, 1
+        return told
+
+    def states(self, ys: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """points x state: the state after each point. Blocks are walked side by side from zero, then put together."""
+        a, b = self.step
+        length = max(1, math.isqrt(len(ys)))
+        blocks = len(ys) // length
+        y = ys[: blocks * length].reshape(blocks, length)
+        ends = np.zeros((blocks, len(b)))
+        for i in range(length):
+            ends = ends @ a.T + y[:, i, None] * b
+        power = np.linalg.matrix_power(a, length)
+        at = np.empty((blocks, len(b)))
+        for k in range(blocks):
+            at[k] = start
+            start = power @ start + ends[k]
+        out = np.empty((len(ys), len(b)))
+        for i in range(length):
+            at = at @ a.T + y[:, i, None] * b
+            out[i : blocks * length : length] = at
+        for i in range(blocks * length, len(ys)):
+            start = out[i] = a @ start + b * ys[i]
+        return out
+
+    def end(self, ys: np.ndarray) -> np.ndarray:
+        """Where the points lead from zero."""
+        return self.states(ys, np.zeros(self.season + 2))[-1] if len(ys) else np.zeros(self.season + 2)
+
+    def over(self, start: np.ndarray, points: int, end: np.ndarray) -> np.ndarray:
+        """Where as many points lead from a state, if they lead to ``end`` from zero."""
+        return np.linalg.matrix_power(self.step[0], points) @ start + end
 
 
 def forecasters(period: int | None) -> list[Forecaster]:
@@ -142,84 +174,220 @@ def forecasters(period: int | None) -> list[Forecaster]:
     return found
 
 
-def smoothed(ys: Column, f: Forecaster) -> Column:
-    """The state after the last point."""
-    rest = F.slice(ys, f.first + 1, F.greatest(F.size(ys) - f.first, F.lit(0))) if f.first else ys
-    return F.aggregate(rest, f.start(ys), f.moved)
+def ses(alpha: float) -> Forecaster:
+    return Forecaster("ses", {"alpha": alpha}, 2, 1)
 
 
-def holt(ys: Column, alpha: float, beta: float) -> Column:
-    """(level, trend, season) after the last point, by double smoothing; the first trend is the first step."""
-    return smoothed(ys, Forecaster("holt", {"alpha": alpha, "beta": beta}, 3, 1))
+def holt(alpha: float, beta: float) -> Forecaster:
+    """Double smoothing; the first trend is the first step."""
+    return Forecaster("holt", {"alpha": alpha, "beta": beta}, 3, 1)
 
 
-def holt_winters(ys: Column, alpha: float, beta: float, gamma: float, m: int) -> Column:
-    """(level, trend, season) after the last point; additive, started from the first two seasons and run over all points."""
-    return smoothed(ys, Forecaster("holtWinters", {"alpha": alpha, "beta": beta, "gamma": gamma, "m": m}, 2 * m + 1, 0))
+def holt_winters(alpha: float, beta: float, gamma: float, m: int) -> Forecaster:
+    """Additive, started from the first two seasons and run over all points."""
+    return Forecaster("holtWinters", {"alpha": alpha, "beta": beta, "gamma": gamma, "m": m}, 2 * m + 1, 0)
 
 
-def held_errors(ys: Column, f: Forecaster, start: Column) -> Column:
-    """The errors of one-step forecasts of the points from ``start`` on: at most MOST_HELD of them."""
-    points = F.transform(ys, lambda y, i: F.struct(y.alias("y"), i.alias("i")))
-    rest = F.slice(points, f.first + 1, F.greatest(F.size(points) - f.first, F.lit(0))) if f.first else points
-    none = F.array().cast("array<double>")
+STATES = pa.list_(pa.list_(pa.float64()))
 
-    def step(s: Column, p: Column) -> Column:
-        error = p["y"] - f.ahead(s["at"], F.lit(0))
-        kept = F.when(p["i"] >= start, F.concat(s["errors"], F.array(error))).otherwise(s["errors"])
-        return F.struct(f.moved(s["at"], p["y"]).alias("at"), kept.alias("errors"))
 
-    return F.aggregate(rest, F.struct(f.start(ys).alias("at"), none.alias("errors")), step, lambda s: s["errors"])
+class Scan:
+    """Series by key, cut into ranges, with the states of forecasters at every range's start.
 
+    ``series``: (by..., t, y), one row for each time of a series. Two passes over
+    the points; between them a row for each range is carried along its series.
+    """
 
-def backtests(series: DataFrame, period: int | None = None) -> DataFrame:
-    """(place, method, model, mae, rmse, errors) of every forecaster that the series is long enough for, in their order.
+    def __init__(self, series: DataFrame, models: list[Forecaster], by: list[str] | None = None):
+        self.models = models
+        self.given, self.by = list(by or []), list(by or ["_all"])
+        rows = (series if by else series.withColumn("_all", F.lit(0))).select(*self.by, "t", F.col("y").cast("double").alias("y"))
+        self.rows = in_ranges(rows, [*self.by, "t"])
+        self.key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*self.by).schema)
+        self.parts = stored(self._parts(), "series-parts")
+        self.states = stored(self._carried(self._folded()), "series-states")
+
+    def _parts(self) -> DataFrame:
+        """(by, _p, n, before, total): the ranges of each series and where they begin in it."""
+        parts = self.rows.groupBy(*self.by, "_p").agg(F.count("*").alias("n"))
+        series = Window.partitionBy(*self.by)  # a row for each range
+        before = F.coalesce(F.sum("n").over(series.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return parts.select(*self.by, "_p", "n", before.alias("before"), F.sum("n").over(series).alias("total"))
+
+    def _with_parts(self, rows: DataFrame, others: DataFrame, fold, schema: str) -> DataFrame:
+        return rows.groupBy(*self.by, "_p").cogroup(others.groupBy(*self.by, "_p")).applyInArrow(fold, schema)
+
+    def _folded(self) -> DataFrame:
+        """(by, _p, n, before, total, head, ends): where each range leads every forecaster from zero, and the points that starts are made of."""
+        models, most, key = self.models, max(f.needed for f in self.models), len(self.by)
+
+        def fold(rows: pa.Table, part: pa.Table) -> pa.Table:
+            ys, before = in_time(rows), part["before"][0].as_py()
+            ends = [f.end(ys[max(0, f.first - before) :]).tolist() for f in models]
+            columns = [*part.columns[:key], part["_p"], part["n"], part["before"], part["total"], pa.array([ys[: max(0, most - before)].tolist()], pa.list_(pa.float64())), pa.array([ends], STATES)]
+            return pa.Table.from_arrays(columns, names=[*part.column_names[:key], "_p", "n", "before", "total", "head", "ends"])
+
+        return self._with_parts(self.rows, self.parts, fold, f"{self.key}, _p int, n long, before long, total long, head array<double>, ends array<array<double>>")
+
+    def _carried(self, folded: DataFrame) -> DataFrame:
+        """(by, _p, n, before, total, states): each forecaster's state where a range starts, and at _p = -1 after the last point; null where the series is too short."""
+        models, key = self.models, len(self.by)
+
+        def carry(ranges: pa.Table) -> pa.Table:
+            ranges = ranges.sort_by("_p")
+            head = np.array([y for ys in ranges["head"].to_pylist() for y in ys])
+            at = [f.start(head) if len(head) >= f.needed else None for f in models]
+            told = []
+            for n, before, ends in zip(ranges["n"].to_pylist(), ranges["before"].to_pylist(), ranges["ends"].to_pylist(), strict=True):
+                told.append([None if s is None else s.tolist() for s in at])
+                at = [None if s is None else f.over(s, max(0, before + n - max(f.first, before)), np.array(end)) for f, s, end in zip(models, at, ends, strict=True)]
+            told.append([None if s is None else s.tolist() for s in at])
+            pick = [*range(ranges.num_rows), ranges.num_rows - 1]
+            out = ranges.take(pick)
+            places = [*ranges["_p"].to_pylist(), -1]
+            columns = [*out.columns[:key], pa.array(places, pa.int32()), out["n"], out["before"], out["total"], pa.array(told, STATES)]
+            return pa.Table.from_arrays(columns, names=[*out.column_names[:key], "_p", "n", "before", "total", "states"])
+
+        return folded.groupBy(*self.by).applyInArrow(carry, f"{self.key}, _p int, n long, before long, total long, states array<array<double>>")
+
+    def last_states(self) -> DataFrame:
+        """(by, total, place, level, trend, season): the state of each forecaster after the last point."""
+        ended = self.states.where("_p = -1").select(*self.given, "total", F.posexplode("states").alias("place", "s")).where("s IS NOT NULL")
+        return ended.select(*self.given, "total", "place", F.get("s", F.lit(0)).alias("level"), F.get("s", F.lit(1)).alias("trend"), F.expr("slice(s, 3, size(s))").alias("season"))
+
+    def every_state(self) -> DataFrame:
+        """(by, t, pos, y, level, trend, forecast): the first forecaster after each point, and what it had said of it; from its start on."""
+        model, key = self.models[0], len(self.by)
+
+        def walk(rows: pa.Table, part: pa.Table) -> pa.Table:
+            rows = rows.sort_by("t")
+            before, start = part["before"][0].as_py(), part["states"][0].as_py()[0]
+            skip = max(0, model.first - before)
+            ys = rows["y"].to_numpy()
+            states = np.tile(np.array(start if start is not None else [0.0] * (model.season + 2)), (len(ys), 1))
+            states[skip:] = model.states(ys[skip:], states[0])
+            said = np.vstack([states[:1] if skip else [start or states[0]], states[:-1]]) @ model.ahead(0)
+            told = rows if start is not None else rows.slice(0, 0)
+            forecast = pa.array([None if i < skip else float(v) for i, v in enumerate(said)], pa.float64()).slice(0, told.num_rows)
+            values = [pa.array(before + np.arange(len(ys))).slice(0, told.num_rows), told["y"], *[pa.array(states[:, i]).slice(0, told.num_rows) for i in (0, 1)], forecast]
+            return pa.Table.from_arrays([*told.columns[:key], told["t"], *values], names=[*told.column_names[:key], "t", "pos", "y", "level", "trend", "forecast"])
+
+        kind = self.rows.schema["t"].dataType.simpleString()
+        told = self._with_parts(self.rows, self.states.where("_p >= 0"), walk, f"{self.key}, t {kind}, pos long, y double, level double, trend double, forecast double")
+        return told.select(*self.given, "t", "pos", "y", "level", "trend", "forecast")
+
+    def held_errors(self) -> DataFrame:
+        """(by, total, place, errors): the errors of one-step forecasts of the held-out points, in order; only ranges that hold some are read again."""
+        models, key = self.models, len(self.by)
+        held = self.states.where("_p >= 0").withColumn("start", F.col("total") - held_points(F.col("total"))).where(F.col("before") + F.col("n") > F.col("start"))
+
+        def walk(rows: pa.Table, part: pa.Table) -> pa.Table:
+            if not part.num_rows:
+                return pa.Table.from_arrays([*part.columns[:key], part["_p"], part["total"], pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64()))], names=names)
+            ys, before, start = in_time(rows), part["before"][0].as_py(), part["start"][0].as_py()
+            errors = []
+            for f, state in zip(models, part["states"][0].as_py(), strict=True):
+                if state is None:
+                    errors.append(None)
+                    continue
+                skip = max(0, f.first - before)
+                states = np.vstack([[state], f.states(ys[skip:], np.array(state))])[:-1]
+                said = states @ f.ahead(0)
+                first = max(0, start - before - skip)
+                errors.append((ys[skip + first :] - said[first:]).tolist())
+            many = len(models)
+            columns = [*[pa.array(c.to_pylist() * many, c.type) for c in part.columns[:key]], pa.array(part["_p"].to_pylist() * many, pa.int32()), pa.array(part["total"].to_pylist() * many), pa.array(range(many), pa.int32()), pa.array(errors, pa.list_(pa.float64()))]
+            return pa.Table.from_arrays(columns, names=names)
+
+        names = [*self.by, "_p", "total", "place", "errors"]
+        told = self._with_parts(self.rows.join(held.select(*self.by, "_p"), [*self.by, "_p"], "left_semi") if self._no_nulls() else self.rows, held, walk, f"{self.key}, _p int, total long, place int, errors array<double>")
+        whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_p", "errors"))), lambda e: e["errors"]))  # MOST_HELD of them at most
+        return told.where("errors IS NOT NULL").groupBy(*self.by, "total", "place").agg(whole.alias("errors")).select(*self.given, "total", "place", "errors")
+
+    def _no_nulls(self) -> bool:
+        """Whether keys can be joined by equality."""
+        return not self.given or self.parts.where(" OR ".join(f"`{c}` IS NULL" for c in self.by)).isEmpty()
+
+    def discard(self) -> None:
+        discard(self.rows, self.parts, self.states)
+
+
+def in_time(rows: pa.Table) -> np.ndarray:
+    return rows.sort_by("t")["y"].to_numpy()
+
+
+def held_points(n: Column) -> Column:
+    """The last fifth, 8 at least and 60 at most."""
+    return F.greatest(F.lit(LEAST_HELD), F.least(F.lit(MOST_HELD), F.floor(n * HELD_SHARE)))
+
+
+def backtests(series: DataFrame, period: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, place, method, model, mae, rmse, errors) of every forecaster that the series is long enough for, in their order.
 
     The held-out points are the last fifth, 8 at least and 60 at most, each
-    forecast from all before it.
+    forecast from all before it. A stored table.
     """
-    n = F.size("ys")
-    held = F.greatest(F.lit(LEAST_HELD), F.least(F.lit(MOST_HELD), F.floor(n * HELD_SHARE))).cast("int")
-    start = n - held
-    options = []
-    for i, f in enumerate(forecasters(period)):
-        fits = (F.lit(f.least) <= F.floor(n * (1 - HELD_SHARE))) & (start >= f.least)
-        told = F.struct(F.lit(i).alias("place"), F.lit(f.method).alias("method"), F.lit(f.name).alias("model"), held_errors(F.col("ys"), f, start).alias("errors"))
-        options.append(F.when(fits, told))
-    rows = as_array(series).where(n >= LEAST_POINTS).select(F.explode(F.array_compact(F.array(*options))).alias("r")).select("r.*")
+    scan = Scan(series, forecasters(period), by)
+    found = stored(graded(scan), "backtests")
+    scan.discard()
+    return found
+
+
+def graded(scan: Scan) -> DataFrame:
+    n, held = F.col("total"), held_points(F.col("total"))
+    least, method, name = (F.get(F.array(*[F.lit(v) for v in values]), F.col("place")) for values in zip(*[(f.least, f.method, f.name) for f in scan.models], strict=True))
+    fits = (n >= LEAST_POINTS) & (least <= F.floor(n * (1 - HELD_SHARE))) & (n - held >= least)
     total = lambda e: F.aggregate("errors", F.lit(0.0), lambda s, x: s + e(x)) / F.size("errors")
-    return rows.select("place", "method", "model", total(F.abs).alias("mae"), F.sqrt(total(lambda x: x * x)).alias("rmse"), "errors")
+    told = scan.held_errors().where(fits)
+    return told.select(*scan.given, "place", method.alias("method"), name.alias("model"), total(F.abs).alias("mae"), F.sqrt(total(lambda x: x * x)).alias("rmse"), "errors")
 
 
-def compare_forecasters(series: DataFrame, period: int | None = None) -> DataFrame:
-    """(method, model, mae, rmse): the best of each method, the best first; ties to the earlier in the grid."""
+def compare_forecasters(series: DataFrame, period: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, method, model, mae, rmse): the best of each method, the best first; ties to the earlier in the grid."""
     order = F.struct("mae", "place")
-    best = backtests(series, period).groupBy("method").agg(F.min_by(F.struct("model", "mae", "rmse", "place"), order).alias("b"))
-    return best.select("method", "b.model", "b.mae", "b.rmse", "b.place").orderBy("mae", "place").drop("place")
+    best = backtests(series, period, by).groupBy(*(by or []), "method").agg(F.min_by(F.struct("model", "mae", "rmse", "place"), order).alias("b"))
+    return best.select(*(by or []), "method", "b.model", "b.mae", "b.rmse", "b.place").orderBy(*(by or []), "mae", "place").drop("place")
 
 
 def forecast(series: DataFrame) -> DataFrame:
     """(t, model, forecast, low, high) of the points to come, by the forecaster with the least error on held-out points.
 
     The season is what the gaps between points say, if there are two of it and
-    four points more. The band is what 80 % of the held-out errors lie in. Two
-    seasons ahead, or 12 points, 28 at most and half of the series at most; no
-    rows for a series of fewer than 12 points. Times are timestamps.
+    four points more.
     """
     gap = frequency(series).first()
     n = series.count()
+    if gap["seconds"] is None:
+        return series.sparkSession.createDataFrame([], "t timestamp, model string, forecast double, low double, high double")
     period = gap["period"] if gap["period"] and n >= 2 * gap["period"] + 4 else None
-    best = backtests(series, period).orderBy("mae", "place").first()
-    empty = "t timestamp, model string, forecast double, low double, high double"
-    if best is None:
-        return series.sparkSession.createDataFrame([], empty)
-    errors = sorted(best["errors"])  # 60 at most
-    low, high = (errors[min(len(errors) - 1, math.floor(q * len(errors)))] for q in (LOW, HIGH))
-    f = forecasters(period)[best["place"]]
-    h = min(2 * period if period else HORIZON, MOST_AHEAD, n // 2)
-    last = as_array(series).select(smoothed(F.col("ys"), f).alias("s")).crossJoin(F.broadcast(series.agg(F.max(seconds(F.col("t"))).alias("end"))))  # one row each
-    each = last.select("s", "end", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("i"))
+    return forecast_each(series, gap["seconds"], period)
+
+
+def forecast_each(series: DataFrame, gap: int, period: int | None, by: list[str] | None = None) -> DataFrame:
+    """(by, t, model, forecast, low, high) of the points to come of each series, whose points are ``gap`` seconds apart.
+
+    Each series has the forecaster with the least error on its held-out points.
+    The band is what 80 % of the held-out errors lie in. Two seasons ahead, or 12
+    points, 28 at most and half of the series at most; no rows for a series of
+    fewer than 12 points. Times are timestamps.
+    """
+    keys = list(by or [])
+    models = forecasters(period)
+    scan = Scan(series, models, by)
+    best = graded(scan).groupBy(*keys).agg(F.min_by(F.struct("place", "model", F.array_sort("errors").alias("errors")), F.struct("mae", "place")).alias("b"))
+    ends = scan.rows.groupBy(*scan.by).agg(F.max(seconds(F.col("t"))).alias("end")).select(*keys, "end")
+    last = scan.last_states()
+    chosen = best.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "b.*")
+    same = lambda other: [other[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    joined = last.join(chosen.withColumnRenamed("place", "_best"), [F.col("place") == F.col("_best"), *same(last)])
+    ends = ends.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], "end")
+    joined = joined.join(ends, [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(keys)]) if keys else joined.crossJoin(F.broadcast(ends))  # one row
+    steps = F.least(F.lit(min(2 * period if period else HORIZON, MOST_AHEAD)), F.floor(F.col("total") / 2)).cast("int")
+    at = lambda q: F.get("errors", F.least(F.size("errors") - 1, F.floor(F.lit(q) * F.size("errors")).cast("int")))
+    each = joined.select(*keys, "model", "level", "trend", "season", "end", at(LOW).alias("low"), at(HIGH).alias("high"), F.explode(F.sequence(F.lit(0), steps - 1)).alias("i"))
+    told = F.col("level") + (F.col("i") + 1) * F.col("trend") + F.get("season", F.col("i") % F.size("season"))
     rounded = lambda x: F.floor(x * 1000 + 0.5) / 1000
-    told = f.ahead(F.col("s"), F.col("i"))
-    at = F.timestamp_seconds(F.col("end") + (F.col("i") + 1) * gap["seconds"])
-    return each.select(at.alias("t"), F.lit(f.name).alias("model"), rounded(told).alias("forecast"), rounded(told + low).alias("low"), rounded(told + high).alias("high"))
+    time = F.timestamp_seconds(F.col("end") + (F.col("i") + 1) * gap)
+    found = stored(each.select(*keys, time.alias("t"), "model", rounded(told).alias("forecast"), rounded(told + F.col("low")).alias("low"), rounded(told + F.col("high")).alias("high")), "forecast")
+    scan.discard()
+    return found

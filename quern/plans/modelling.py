@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import cluster, encode, evaluate, metrics, models, split, timeseries
+from quern.operators import boosting, cluster, encode, evaluate, metrics, models, split, timeseries
 from quern.plans.registry import Tables, determines_sql, query
 
 
@@ -235,10 +235,53 @@ for _name in ("logistic", "tree", "forest", "mlp"):
     _family(_name)
 
 
+_PART_X = {"p_size": "p_size", "brand": "CAST(substr(p_brand, 7) AS INTEGER)", "place": "p_partkey % 1000"}
+
+
+def part_rows(t: Tables):
+    x = F.array(*[F.expr(e).cast("double") for e in _PART_X.values()])
+    return t.part.select("p_partkey", x.alias("x"), "p_retailprice")
+
+
 @query("ml_boosting_regress")
 def ml_boosting_regress(t: Tables):
-    rows = models.assembled(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size"], "p_retailprice", ["p_partkey"])
-    return models.fit_predict("boosting", rows.where("p_partkey % 4 <> 0"), rows.where("p_partkey % 4 = 0"), ["p_partkey"], task="regression")
+    """120 rounds on three features; its trees have no SQL, the first round's splits do (``ml_boosting_round``)."""
+    rows = part_rows(t)
+    model = boosting.fit_regressor(rows.where("p_partkey % 4 <> 0"), "x", "p_retailprice")
+    return rows.where("p_partkey % 4 = 0").select("p_partkey", F.get(model.predict("x"), F.lit(0)).alias("predicted"))
+
+
+@query("ml_boosting_classify")
+def ml_boosting_classify(t: Tables):
+    """Quality of documents from their length, language and source, one booster for two classes."""
+    rows = labelled(t).select("doc_id", F.array(F.col("n_chars").cast("double"), F.pmod(F.xxhash64("lang"), F.lit(97)).cast("double"), F.pmod(F.xxhash64("source"), F.lit(97)).cast("double")).alias("x"), "quality")
+    model = boosting.fit_classifier(rows.where("doc_id % 4 <> 0"), "x", "quality", 2)
+    return rows.where("doc_id % 4 = 0").select("doc_id", F.get(model.predict("x"), F.lit(1)).alias("share"))
+
+
+_GAIN = "0.5 * (power(lg, 2) / (ln + 1) + power(ag - lg, 2) / (an - ln + 1) - power(ag, 2) / (an + 1))"
+
+
+@query(
+    "ml_boosting_round",
+    f"""WITH x AS (SELECT unnest(range(3)) AS f, unnest([{', '.join(f'CAST({e} AS DOUBLE)' for e in _PART_X.values())}]) AS v, (SELECT avg(p_retailprice) FROM part) - p_retailprice AS g FROM part),
+    d AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS k, count(*) OVER (PARTITION BY f) AS n FROM (SELECT DISTINCT f, v FROM x)),
+    e AS (SELECT f, v AS edge FROM d WHERE k < n AND (n <= 32 OR k = (((k * 32 + n - 1) // n) * n) // 32)),
+    s AS (SELECT e.f, edge, count(*) FILTER (v <= edge) AS ln, sum(g) FILTER (v <= edge) AS lg, count(*) AS an, sum(g) AS ag FROM e JOIN x ON e.f = x.f GROUP BY e.f, edge)
+    SELECT CAST(f AS INTEGER) AS feature, edge, ln AS rows, round({_GAIN}, 3) AS gain, round(-lg / (ln + 1), 6) AS "left", round(-(ag - lg) / (an - ln + 1), 6) AS "right" FROM s WHERE ln >= 10 AND an - ln >= 10""",
+)
+def ml_boosting_round(t: Tables):
+    """Every split of the first tree's root with its gain and both leaves: what the first round chooses from."""
+    return boosting.root_splits(part_rows(t), "x", "p_retailprice").withColumn("gain", F.round("gain", 3))
+
+
+@query("eval_replay_boosting")
+def eval_replay_boosting(t: Tables):
+    """Each part's way through every tree: steps, the leaf's part, and what the trees so far come to."""
+    rows = part_rows(t)
+    model = boosting.fit_regressor(rows.where("p_partkey % 4 <> 0"), "x", "p_retailprice", boosting.Settings(rounds=20))
+    told = rows.select("p_partkey", F.posexplode(model.replay("x")).alias("tree", "r"))
+    return told.select("p_partkey", "tree", F.size("r.path").alias("nodes"), F.get("r.value", F.lit(0)).alias("leaf"), F.get("r.so_far", F.lit(0)).alias("so_far"))
 
 
 @query("metric_accuracy", f"WITH {_SCORED} SELECT round(avg(CAST(y = c AS DOUBLE)), 6) AS accuracy FROM p")
@@ -423,7 +466,8 @@ def ts_backtest_seasonal(t: Tables):
 
 @query("ts_ses", f"WITH RECURSIVE {_DAYS}, k AS (SELECT y, row_number() OVER (ORDER BY day) AS i FROM s), r(i, level) AS (SELECT i, y FROM k WHERE i = 1 UNION ALL SELECT k.i, 0.5 * k.y + 0.5 * r.level FROM r JOIN k ON k.i = r.i + 1) SELECT CAST(i - 1 AS INTEGER) AS pos, round(level, 6) AS level FROM r")
 def ts_ses(t: Tables):
-    return timeseries.as_array(daily(t)).select(F.posexplode(timeseries.ses(F.col("ys"), 0.5)).alias("pos", "level"))
+    told = timeseries.Scan(daily(t), [timeseries.ses(0.5)]).every_state()
+    return told.select(F.col("pos").cast("int").alias("pos"), "level")
 
 
 @query(
@@ -432,12 +476,30 @@ def ts_ses(t: Tables):
     UNION ALL SELECT k.i, 0.5 * k.y + 0.5 * (r.level + r.trend), 0.1 * (0.5 * k.y + 0.5 * (r.level + r.trend) - r.level) + 0.9 * r.trend FROM r JOIN k ON k.i = r.i + 1) SELECT round(level, 6) AS level, round(trend, 6) AS trend FROM r ORDER BY i DESC LIMIT 1""",
 )
 def ts_holt(t: Tables):
-    return timeseries.as_array(daily(t)).select(timeseries.holt(F.col("ys"), 0.5, 0.1).alias("h")).select("h.level", "h.trend")
+    return timeseries.Scan(daily(t), [timeseries.holt(0.5, 0.1)]).last_states().select("level", "trend")
 
 
-@query("ts_holt_winters")
+@query(
+    "ts_holt_winters",
+    f"""WITH RECURSIVE {_DAYS}, k AS (SELECT y, row_number() OVER (ORDER BY day) AS i FROM s), h AS (SELECT avg(y) FILTER (i <= 7) AS one, avg(y) FILTER (i BETWEEN 8 AND 14) AS two, list(y ORDER BY i) FILTER (i <= 7) AS ys FROM k),
+    r(i, level, trend, season) AS (SELECT CAST(0 AS BIGINT), one, (two - one) / 7, list_transform(ys, lambda y: y - one) FROM h
+    UNION ALL SELECT i, l, 0.1 * (l - level) + 0.9 * trend, list_append(season[2:], 0.3 * (y - l) + 0.7 * season[1]) FROM (SELECT k.i, k.y, r.level, r.trend, r.season, 0.5 * (k.y - r.season[1]) + 0.5 * (r.level + r.trend) AS l FROM r JOIN k ON k.i = r.i + 1))
+    SELECT round(level, 6) AS level, round(trend, 6) AS trend FROM r ORDER BY i DESC LIMIT 1""",
+)
 def ts_holt_winters(t: Tables):
-    return timeseries.as_array(daily(t)).select(timeseries.holt_winters(F.col("ys"), 0.5, 0.1, 0.3, 7).alias("h")).select("h.level", "h.trend")
+    return timeseries.Scan(daily(t), [timeseries.holt_winters(0.5, 0.1, 0.3, 7)]).last_states().select("level", "trend")
+
+
+@query(
+    "ts_many",
+    """WITH RECURSIVE s AS (SELECT o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2), k AS (SELECT o_custkey, y, row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM s),
+    r(o_custkey, i, n, level) AS (SELECT o_custkey, i, n, y FROM k WHERE i = 1 UNION ALL SELECT k.o_custkey, k.i, k.n, 0.2 * k.y + 0.8 * r.level FROM r JOIN k ON k.o_custkey = r.o_custkey AND k.i = r.i + 1)
+    SELECT o_custkey, n AS points, round(level, 6) AS level FROM r WHERE i = n""",
+)
+def ts_many(t: Tables):
+    """The level of every customer's orders: one short series for each of them, side by side."""
+    days = t.orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("t")).agg(F.avg("o_totalprice").alias("y"))
+    return timeseries.Scan(days, [timeseries.ses(0.2)], ["o_custkey"]).last_states().select("o_custkey", F.col("total").alias("points"), "level")
 
 
 @query("ts_compare")

@@ -216,7 +216,7 @@ def test_neighbours_in_blocks_match_brute_force(spark):
 
 def test_forecasters_on_known_series(spark):
     line = spark.createDataFrame([(i, 3.0 + 2 * i) for i in range(40)], "t int, y double")
-    level = timeseries.as_array(line).select(timeseries.holt(F.col("ys"), 0.5, 0.1).alias("h")).first()["h"]
+    level = timeseries.Scan(line, [timeseries.holt(0.5, 0.1)]).last_states().first()
     assert level["level"] + level["trend"] == pytest.approx(3 + 2 * 40)
     best = timeseries.compare_forecasters(line).first()
     assert best["model"].startswith("holt") and best["mae"] == pytest.approx(0, abs=1e-9)
@@ -277,14 +277,69 @@ def test_forecast_goes_on_from_the_last_point(spark):
 
 
 def test_long_series_lose_no_point(spark):
-    """1.5 million points: every one moves the state, and time grows with their number only."""
+    """1.5 million points in many ranges: every one moves the state, none is gathered with all others."""
     n = 1_500_000
-    ys = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double")).alias("ys"))
-    end = ys.select(timeseries.holt(F.col("ys"), 0.5, 0.2).alias("h")).first()["h"]
+    scan = timeseries.Scan(spark.range(n).select(F.col("id").alias("t"), F.col("id").cast("double").alias("y")), [timeseries.holt(0.5, 0.2), timeseries.ses(0.5), timeseries.Forecaster("naive", {}, 1, 1)])
+    assert scan.states.count() > 3
+    end = scan.last_states().where("place = 0").first()
     assert end["level"] == pytest.approx(n - 1) and end["trend"] == pytest.approx(1)
-    assert ys.select(F.size(timeseries.ses(F.col("ys"), 0.5)).alias("n")).first()["n"] == n
-    naive = timeseries.Forecaster("naive", {}, 1, 1)
-    assert ys.select(timeseries.held_errors(F.col("ys"), naive, F.lit(n - 60)).alias("e")).first()["e"] == [1.0] * 60
+    assert scan.every_state().where("pos > 0 AND level - pos BETWEEN -0.001 AND 0.001").count() == n - 1
+    assert scan.held_errors().where("place = 2").first()["errors"] == [1.0] * 60
+
+
+def loop_state(y, f):
+    """Level and trend after the last point, point by point."""
+    m, (a, b, g) = f.season, (f.params.get(k, 0.0) for k in ("alpha", "beta", "gamma"))
+    if f.method == "holtWinters":
+        one, two = sum(y[:m]) / m, sum(y[m : 2 * m]) / m
+        level, trend, season = one, (two - one) / m, [x - one for x in y[:m]]
+    else:
+        level, trend, season = y[0], y[1] - y[0] if f.method == "holt" else 0.0, [0.0]
+    for x in y[f.first :]:
+        old, level = level, a * (x - season[0]) + (1 - a) * (level + trend)
+        trend = b * (level - old) + (1 - b) * trend if b else 0.0
+        season = [*season[1:], g * (x - level) + (1 - g) * season[0]] if g else season
+    return level, trend
+
+
+def test_many_series_side_by_side(spark):
+    """A long series over several ranges, short ones, ones too short for a start and one without a key."""
+    rng = np.random.default_rng(5)
+    made = {"long": 3000, "a": 40, "b": 15, "c": 3, "d": 1, None: 60}
+    ys = {k: [float(20 + i * 0.1 + 5 * np.sin(i * 0.9) + rng.normal()) for i in range(n)] for k, n in made.items()}
+    series = spark.createDataFrame([(k, i, y) for k, v in ys.items() for i, y in enumerate(v)], "k string, t int, y double").repartition(4)
+    models = timeseries.forecasters(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few points are one range
+    scan = timeseries.Scan(series, models, ["k"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert scan.states.where("k = 'long'").count() > 2
+    found = {(r["k"], models[r["place"]].name): r for r in scan.last_states().collect()}
+    assert {k for k, _ in found} == set(made)
+    for (k, name), r in found.items():
+        f = next(f for f in models if f.name == name)
+        if f.method in ("ses", "holt", "holtWinters"):
+            assert (r["level"], r["trend"]) == pytest.approx(loop_state(ys[k], f), abs=1e-8)
+        else:
+            assert list(r["season"]) == pytest.approx(ys[k][-f.season :])
+    alone = {k: {(r["place"], r["model"]): (r["mae"], r["rmse"]) for r in timeseries.backtests(series.where(F.col("k").eqNullSafe(F.lit(k))).drop("k"), 7).collect()} for k in made}
+    together = {k: {} for k in made}
+    for r in timeseries.backtests(series, 7, ["k"]).collect():
+        together[r["k"]][r["place"], r["model"]] = (r["mae"], r["rmse"])
+    for k in made:
+        assert together[k].keys() == alone[k].keys() and bool(together[k]) == (made[k] >= 12)
+        assert [together[k][m] for m in alone[k]] == [pytest.approx(v) for v in alone[k].values()]
+
+
+def test_forecasts_of_each_series(spark):
+    rows = [(k, date(2024, 1, 1) + timedelta(days=i), float(s * i + 10 * (i % 7))) for k, s, n in (("x", 1, 80), (None, -2, 40), ("short", 1, 5)) for i in range(n)]
+    series = spark.createDataFrame(rows, "k string, t date, y double")
+    found = timeseries.forecast_each(series, 86400, 7, ["k"]).collect()
+    assert {r["k"] for r in found} == {"x", None} and len(found) == 28
+    for k, n in (("x", 80), (None, 40)):
+        alone = timeseries.forecast(series.where(F.col("k").eqNullSafe(F.lit(k))).drop("k")).orderBy("t").collect()
+        assert [r[1:] for r in sorted((r for r in found if r["k"] == k), key=lambda r: r["t"])] == [tuple(r) for r in alone]
+        assert alone[0]["t"].date() == date(2024, 1, 1) + timedelta(days=n)
+    assert timeseries.forecast(series.where("false").drop("k")).count() == 0
 
 
 COLUMNS = [ColumnInfo("age", True), ColumnInfo("fare", True), ColumnInfo("sex", False, ("female", "male")), ColumnInfo("town", False, ("Cherbourg", "Paris"))]
