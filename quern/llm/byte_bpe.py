@@ -27,8 +27,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 1 << 16, 1 << 12  # code points
 #: A match may look so many characters beyond its end (a sign, then the two letters of a contraction).
 MARGIN = 2
-#: Words remembered by a worker, and how long they may be.
-REMEMBERED, LONGEST = 1 << 17, 64
+#: Words remembered by a worker (twice as many at most), and how long they may be.
+REMEMBERED, LONGEST = 1 << 18, 64
+#: Words of more bytes are merged through a heap.
+SHORT = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,6 +83,25 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: always the pair of least rank, leftmost first, is joined."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) > SHORT:
+        return merged_long(word, ranks)
+    get, none = ranks.get, len(ranks) + 256
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(a + b, none) for a, b in pairwise(parts)]
+    while (least := min(pairs, default=none)) < none:
+        i = pairs.index(least)
+        joined = parts[i] + parts.pop(i + 1)
+        parts[i] = joined
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(joined + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + joined, none)
+    return [ranks[p] for p in parts]
+
+
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in O(n log n)."""
     end = len(word)
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
     alive = [True] * end
@@ -105,16 +128,21 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-tokens -> their packed ids; remembers a bounded number of words."""
+    """Pre-tokens -> their packed ids; remembers a bounded number of words, those met again longest."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.tokens = {i: token for token, i in ranks.items()}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(merged(word.encode(), self.ranks), "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            ids = merged(word.encode(), self.ranks)
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
