@@ -86,39 +86,6 @@ def naive_bayes(train: DataFrame, rows: DataFrame, label: str, features: list[st
     return rows.select(key, F.element_at(classes, best).alias("predicted"))
 
 
-def neighbours(train: DataFrame, probes: DataFrame, vector: str, key: str, value: str, k: int = 5, block: int = 2048) -> DataFrame:
-    """(key, near: array<struct<distance, key, value>>): each probe's k nearest training rows, exact, ties to the lesser key.
-
-    Probes go through in blocks against blocks of training rows; each block pair
-    keeps k candidates a probe, and these are merged per probe. Nothing is sorted
-    beyond k, and no pair of rows becomes a row.
-    """
-    base = train.select(F.col(key).alias("_tk"), F.col(value).cast("double").alias("_tv"), F.col(vector).cast("array<double>").alias("_tx"))
-    blocks = base.withColumn("_b", F.pmod(F.xxhash64("_tk"), F.lit(max(1, -(-base.count() // block))))).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_tk", "_tv", "_tx"))).alias("_t"))
-    asked = probes.select(F.col(key).alias("_pk"), F.col(vector).cast("array<double>").alias("_px"))
-    groups = asked.withColumn("_g", F.pmod(F.xxhash64("_pk"), F.lit(max(1, -(-asked.count() // block))))).groupBy("_g").agg(F.collect_list(F.struct("_pk", "_px")).alias("_p"))
-    near_type = "array<struct<pk:long,near:array<struct<distance:double,key:long,value:double>>>>"
-
-    @F.arrow_udf(near_type)
-    def nearest(train_blocks: pa.Array, probe_blocks: pa.Array) -> pa.Array:
-        out = []
-        for t, p in zip(train_blocks.to_pylist(), probe_blocks.to_pylist(), strict=True):
-            x, q = np.array([r["_tx"] for r in t]), np.array([r["_px"] for r in p])
-            d = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T))
-            keys = np.array([r["_tk"] for r in t])
-            rows = []
-            for i, r in enumerate(p):
-                best = np.lexsort((keys, d[i]))[:k] if len(t) <= k else (lambda c: c[np.lexsort((keys[c], d[i][c]))][:k])(np.nonzero(d[i] <= np.partition(d[i], k - 1)[k - 1])[0])
-                exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                rows.append({"pk": r["_pk"], "near": [{"distance": float(exact[j]), "key": int(keys[b]), "value": t[b]["_tv"]} for j, b in enumerate(best)]})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("pk", pa.int64()), ("near", pa.list_(pa.struct([("distance", pa.float64()), ("key", pa.int64()), ("value", pa.float64())])))])))
-
-    pairs = groups.crossJoin(blocks).select(F.explode(nearest("_t", "_p")).alias("r")).select("r.pk", F.explode("r.near").alias("n"))
-    merged = pairs.groupBy("pk").agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("near"))  # k from each block
-    return merged.withColumnRenamed("pk", key)
-
-
 def knn_vote(found: DataFrame, key: str) -> DataFrame:
     """(key, predicted): the most frequent value of the neighbours, the least of equals."""
     votes = found.select(key, F.explode("near").alias("n")).groupBy(key, F.col("n.value").cast("int").alias("v")).agg(F.count("*").alias("c"))

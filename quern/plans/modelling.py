@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import boosting, cluster, encode, evaluate, metrics, models, split, timeseries
+from quern.operators import boosting, cluster, encode, evaluate, metrics, models, nearest, split, timeseries
 from quern.plans.registry import Tables, determines_sql, query
 
 
@@ -198,13 +198,24 @@ _KNN = f"""WITH {_V}, d AS (SELECT p.vec_id AS p, t.vec_id AS n, t.label, sqrt(l
 def ml_knn_classify(t: Tables):
     """Every vector whose id 20 divides, against all others."""
     e = t.embeddings
-    return models.knn_vote(models.neighbours(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "embedding", "vec_id", "label"), "vec_id")
+    return models.knn_vote(nearest.neighbours(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "embedding", "vec_id", "label"), "vec_id")
 
 
 @query("ml_knn_regress", f"{_KNN} SELECT p AS vec_id, round(avg(label), 6) AS predicted FROM k GROUP BY p")
 def ml_knn_regress(t: Tables):
     e = t.embeddings
-    return models.knn_mean(models.neighbours(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "embedding", "vec_id", "label"), "vec_id")
+    return models.knn_mean(nearest.neighbours(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "embedding", "vec_id", "label"), "vec_id")
+
+
+@query(
+    "nearest_distance",
+    "WITH d AS (SELECT q.vec_id AS p, t.vec_id AS k, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(q.embedding[i] AS DOUBLE) - t.embedding[i]) ** 2))) AS d FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0) "
+    "SELECT p AS vec_id, round(min(d), 6) AS distance, arg_min(k, (d, k)) AS nearest FROM d GROUP BY p",
+)
+def nearest_distance(t: Tables):
+    """How far every vector whose id 20 divides is from the nearest of all others."""
+    e = t.embeddings
+    return nearest.nearest_distance(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "embedding", "vec_id")
 
 
 _SCORED = "p AS (SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 101.0 * 0.6 + 0.3 * quality AS s, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS c, lang FROM documents JOIN labels USING (doc_id))"

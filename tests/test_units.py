@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import cells
-from quern.operators import drift, evaluate, joins, metrics, models, profile, quality, timeseries
+from quern.operators import drift, evaluate, joins, metrics, models, nearest, profile, quality, timeseries
 from quern.operators.clean import ColumnStep, Recipe, apply
 from quern.operators.intent import Filter, Intent, IntentError, compile_intent, validate
 from quern.operators.question import ColumnInfo, parse_question
@@ -208,7 +208,7 @@ def test_neighbours_in_blocks_match_brute_force(spark):
 
     x = np.random.default_rng(3).normal(size=(300, 4))
     df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, y int")
-    found = models.neighbours(df.where("id % 10 <> 0"), df.where("id % 10 = 0"), "v", "id", "y", k=4, block=50)
+    found = nearest.neighbours(df.where("id % 10 <> 0"), df.where("id % 10 = 0"), "v", "id", "y", k=4)
     for r in found.collect():
         d = [(np.linalg.norm(x[r["id"]] - x[j]), j) for j in range(300) if j % 10]
         assert [n["key"] for n in r["near"]] == [j for _, j in sorted(d)[:4]]
