@@ -58,33 +58,75 @@ def test_sharded_names_a_shard_for_each_row(docs, empty, clashing):
 # 2: line dedup
 
 
+def brute_units(text, least_unit):
+    """Character by character: (start, end, size, words, whether a short piece ended it)."""
+    units, start, at, first, held, size, short = [], 0, 0, 0, [], 0, 0
+    while at < len(text):
+        at += 1
+        marks = text[start:at].rstrip("\x20\t\x0b\x0c\r")
+        blanks = at - start - len(marks)
+        ends = text[at - 1] == "\n" or (marks.endswith((".", "!", "?")) and blanks and text[at : at + 1] not in ("\x20", "\t", "\x0b", "\x0c", "\r"))
+        ends = ends or (text[at - 1] in "。！？" and text[at : at + 1] not in ("。", "！", "？"))
+        if ends or at == len(text):
+            words = text[start:at].lower().encode().split()
+            many = len(words) + sum("\u4e00" <= c <= "\u9fff" or "\u3040" <= c <= "\u30ff" for c in text[start:at])
+            held, size = held + words, size + many
+            if words:
+                short = 0 if many >= least_unit else short + 1
+            marked = words and short >= 24 and hashlib.md5(b" ".join(words)).hexdigest()[0] in "0123"
+            if many >= least_unit or marked or (held and at == len(text)):
+                units.append((first, at, size, held, many < least_unit))
+                first, held, size = at, [], 0
+            start = at
+    return units
+
+
+def words_alike(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
 def brute_passages(rows, min_words, least_unit):
-    """Character by character and unit by unit: {doc_id: spans}."""
-    seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda d: d[0]):
-        text, units, start, at, first, held = text or "", [], 0, 0, 0, []
-        while at < len(text):
-            at += 1
-            marks = text[start:at].rstrip("\x20\t\x0b\x0c\r")
-            blanks = at - start - len(marks)
-            ends = text[at - 1] == "\n" or (marks.endswith((".", "!", "?")) and blanks and text[at : at + 1] not in ("\x20", "\t", "\x0b", "\x0c", "\r"))
-            if ends or at == len(text):
-                words = text[start:at].lower().encode().split()
-                held += words
-                if len(words) >= least_unit or (held and at == len(text)):
-                    units.append((first, at, len(held), b" ".join(held)))
-                    first, held = at, []
-                start = at
+    """Unit by unit in order of the documents: {doc_id: spans}."""
+    texts = {i: t or "" for i, t in rows}
+    units = {i: brute_units(t, least_unit) for i, t in texts.items()}
+    seen, out = {}, {}
+    for i in sorted(units):
         runs, last = [], None
-        for n, (a, b, size, norm) in enumerate(units):
-            if norm in seen:
-                if last == n - 1 and runs:
-                    runs[-1] = (runs[-1][0], b, runs[-1][2] + size)
-                else:
-                    runs.append((a, b, size))
-                last = n
-            seen.add(norm)
-        out[i] = [(a, b) for a, b, size in runs if size >= min_words]
+        for n, (_, _, _, words, short) in enumerate(units[i]):
+            where = seen.setdefault(b" ".join(words), (i, n))
+            if where == (i, n):
+                continue
+            joins = last is not None and last[0] == n - 1 and (not (short or last[2]) or where == (last[1][0], last[1][1] + 1))
+            if joins:
+                runs[-1].append((n, where))
+            else:
+                runs.append([(n, where)])
+            last = (n, where, short)
+        spans = []
+        for run in runs:
+            (low, (d, at)), (high, (e, to)) = run[0], run[-1]
+            left = words_alike(units[i][low - 1][3][::-1], units[d][at - 1][3][::-1]) if low and at else 0
+            right = words_alike(units[i][high + 1][3], units[e][to + 1][3]) if high + 1 < len(units[i]) and to + 1 < len(units[e]) else 0
+            if sum(units[i][n][2] for n, _ in run) + left + right < min_words:
+                continue
+            start, end = units[i][low][0], units[i][high][1]
+            for _ in range(left):
+                start = len(texts[i][:start].rstrip("\x20\t\n\x0b\x0c\r"))
+                while start and texts[i][start - 1] not in "\x20\t\n\x0b\x0c\r":
+                    start -= 1
+            for _ in range(right):
+                while texts[i][end] in "\x20\t\n\x0b\x0c\r":
+                    end += 1
+                while end < len(texts[i]) and texts[i][end] not in "\x20\t\n\x0b\x0c\r":
+                    end += 1
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+            else:
+                spans.append((start, end))
+        out[i] = spans
     return out
 
 
@@ -98,11 +140,12 @@ def passages(texts):
     own = lambda: ".  ".join(sentences(5))
     made = [f"{own()} {p}. {own()}" for p in shared] + [f"{own()}! {p}? {own()}" for p in shared]
     made += [f"{own()}\n{shared[0].replace('. ', '.\n').upper()}.\n\n{own()}", f"{own()}. {shared[1]}.\r\n{shared[1]}. {shared[1]}"]
+    made += ["first word " + p + " and then " + " ".join(sentences(3)) for p in shared] + [" ".join(sentences(1)) + " " + p[20:-20] + " other " + p[:200] for p in shared]
     made += [shared[2]] * 40 + ["Yes! " * 100, "no yes! Yes!  Yes! " * 30, shared[3][: len(shared[3]) // 2], "tail " * 5000, "tail " * 5000 + ". "]
     return [*texts, *made]
 
 
-@pytest.mark.parametrize(("min_words", "least_unit"), [(40, 5), (5, 1), (12, 6)])
+@pytest.mark.parametrize(("min_words", "least_unit"), [(50, 5), (40, 5), (5, 1), (12, 6)])
 def test_repeated_passages_are_kept_once(spark, passages, min_words, least_unit):
     rows = list(enumerate(passages))
     found = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words, least_unit).collect()
@@ -117,13 +160,30 @@ def test_repeated_passages_are_kept_once(spark, passages, min_words, least_unit)
 
 
 def test_a_passage_within_longer_lines_goes(spark):
-    """A shared passage of 60 words between words that differ, in one line."""
+    """A shared passage of 60 words between words that differ, in one line; cut sentences go as far as they are alike."""
     sentence = lambda of: " ".join(f"{of}{i}" for i in range(12)) + ". "
     passage = "".join(sentence(x) for x in "abcde")
-    texts = [f"start one {passage}end one", f"another start {passage}another end", f"{passage[:180]} x"]
+    texts = [f"start one {passage}end one", f"another start {passage}another end", f"{passage[:140]} x"]
     got = {r["doc_id"]: r["text"] for r in line_dedup.op2_line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == texts[0] and got[2] == texts[2]
-    assert got[1] == f"another start {sentence('a')}another end"
+    assert got[1] == "another start another end"
+
+
+def test_lists_code_and_unspaced_scripts(spark):
+    """Texts whose pieces are all short, or that have no blanks, lose the half that they share with an earlier one."""
+    lines = lambda of, n: "".join(f"{of} {i}: v{i * 7 % 13}\n" for i in range(n))
+    code = "".join(f"  x{i} = f({i})\n" for i in range(150))
+    chinese = "".join(f"第{chr(0x4E00 + i * 37)}句话说的是{chr(0x5000 + i * 11)}和{chr(0x6000 + i * 5)}。" for i in range(40))
+    shared = [lines("key", 150), code, chinese]
+    own = lambda n: lines(f"own{n}", 60)
+    texts = [p + own(i) for i, p in enumerate(shared)] + [own(10 + i) + p + own(20 + i) for i, p in enumerate(shared)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [(s["start"], s["end"]) for s in r["removed_spans"]] for i, r in got.items()} == brute_passages(rows, 50, 5)
+    for i, p in enumerate(shared):
+        assert got[i]["text"] == texts[i]
+        left = got[3 + i]["text"]
+        assert len(left) < len(texts[3 + i]) - 0.6 * len(p) and left.startswith(own(10 + i)[:300]) and left.endswith(own(20 + i)[-300:])
 
 
 def test_lines_and_paragraphs_as_units(spark):
