@@ -145,7 +145,7 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     count = known.count()
     share = min(1.0, sample / max(1, count))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 62)) < int(share * (1 << 62)) if share < 1 else F.lit(True)
     chosen = known.where(drawn)  # about `sample` rows of 16 bytes: small enough to broadcast, whatever the corpus
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", text_stats("text").alias("s"))
 

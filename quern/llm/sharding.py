@@ -8,14 +8,18 @@ the one before); a tier of ``fanout`` or more runs is merged into files of about
 ``target_bytes``, until no tier is that full. Both end with a commit: a commit
 file that exists already is never replaced, so of two writers one fails and can
 try again; readers see one version or the next, and a job that dies leaves only
-files that no manifest names.
+files that no manifest names. That rests on a rename that is atomic and refuses to
+replace: HDFS and local file systems have it, plain object stores don't, and there
+a store needs one writer at a time. ``vacuum`` spares folders younger than a stated
+age, which another writer may have written and not yet committed.
 
 Merging reads a tier's files and coalesces the readers' partitions: shards of a
 tier are alike in size, so equal numbers of them make equal files, and no row is
 shuffled. What reaches the driver is file names and sizes of one tier's shards.
 
 Defined results: an empty arrival adds no shard; rows are stored as they are,
-nulls, repeated rows and extra columns included; shards of
+nulls in any column, empty and very long texts, repeated rows and extra columns
+included (a row is never cut, so a text longer than a shard makes a larger one); shards of
 ``target_bytes * 3 / 4`` or more are done; fewer than ``fanout`` runs of a tier
 wait for more arrivals.
 """
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import work_folder
 
 MIB = 1 << 20
+DAY = 86_400
 SHARDS = "path string, bytes long, rows long, generation int"
 
 
@@ -129,10 +135,15 @@ class ShardStore:
             self._commit(live.where(~chosen).union(merged), version + 1)
         return self.version()
 
-    def vacuum(self) -> int:
-        """Delete data that the last version doesn't name; older versions can't be read after."""
-        kept = {p.rsplit("/", 2)[-2] for p in (r["path"] for r in self.manifest().select("path").collect())}
-        gone = [n for n, _ in self._names(f"{self.root}/data") if n not in kept]
+    def vacuum(self, older_than: float = DAY) -> int:
+        """Delete data that the last version doesn't name and that is older than so many seconds; older versions can't be read after.
+
+        What is younger may be another writer's, written and not yet committed.
+        """
+        kept = {r["write"] for r in self.manifest().select(F.element_at(F.split("path", "/"), -2).alias("write")).distinct().collect()}  # a name for each write
+        fs, where = self._fs(f"{self.root}/data")
+        limit = (time.time() - older_than) * 1000
+        gone = [s.getPath().getName() for s in (fs.listStatus(where) if fs.exists(where) else []) if s.getModificationTime() <= limit and s.getPath().getName() not in kept]
         for name in gone:
             fs, where = self._fs(f"{self.root}/data/{name}")
             fs.delete(where, True)
@@ -149,7 +160,7 @@ def sharded(docs: DataFrame, target_bytes: int = 128 * MIB, root: str | None = N
     store = ShardStore(docs.sparkSession, root or work_folder(docs.sparkSession, "shards"), target_bytes)
     version = store.append(docs)
     if store.compact() > version:
-        store.vacuum()
+        store.vacuum(DAY if root else 0)  # a fresh folder has no other writer
     if not store.manifest().take(1):
         nothing = {"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long"), "version": F.lit(store.version())}
         return docs.select("doc_id", "source").where("false").withColumns(nothing)

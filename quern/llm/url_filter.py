@@ -49,7 +49,7 @@ def path_of(url: Column) -> Column:
 def linked_hosts(html: Column) -> Column:
     """The hosts of a page's absolute links."""
     pieces = F.split(F.coalesce(html, F.lit("")), "(?i)href\\s*=\\s*")
-    hosts = F.transform(F.slice(pieces, 2, 1_000_000_000), lambda x: F.regexp_extract(x, "^[\"']?https?://([^/?#\"'\\s>]*)", 1))
+    hosts = F.transform(F.slice(pieces, 2, 1_000_000_000), lambda x: F.regexp_extract(x, "(?i)^[\"']?https?://([^/?#\"'\\s>]*)", 1))
     return F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.translate(h, UPPER, LOWER))
 
 
