@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions.stats import normal_quantile, wilson
 from quern.operators.metrics import argmax
 from quern.operators.ordering import all_of, numbered, running
+from quern.operators.resample import parts_of
 from quern.sources.stored import stored
 
 
@@ -25,24 +25,13 @@ def bootstrap(df: DataFrame, key: str, value: Column, resamples: int = 1000, lev
     the same for every model that is compared on the same keys. A batch of rows
     becomes one sum of weights and values for each resample.
     """
-    # Inverse of the Poisson(1) distribution, to where its tail is below 1e-9.
-    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
-    draws = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))) >> np.uint64(11)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             w, wv = np.zeros(resamples), np.zeros(resamples)
-            for low in range(0, len(keys), 1024):  # bounded memory
-                u = mixed(keys[low : low + 1024, None] + draws[None, :]) / float(1 << 53)
-                drawn = np.searchsorted(steps, u, side="right").astype(float)
-                w += drawn.sum(axis=0)
-                wv += values[low : low + 1024] @ drawn
+            for (values,), drawn in parts_of(batch, resamples):
+                w += drawn[:, 1:].sum(axis=0)
+                wv += values @ drawn[:, 1:]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(wv)], names=["b", "w", "wv"])
 
     rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_k"), value.cast("double").alias("_v")).where("_v IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import boosting, cluster, encode, evaluate, metrics, models, nearest, split, timeseries
+from quern.operators import boosting, cluster, encode, evaluate, metrics, models, nearest, resample, split, timeseries
 from quern.plans.registry import Tables, determines_sql, query
 
 
@@ -413,6 +413,35 @@ def eval_bootstrap(t: Tables):
     return evaluate.bootstrap(df, "doc_id", (F.col("y") == F.col("c")).cast("double"))
 
 
+def _paired(metric: str) -> None:
+    @query(f"eval_paired_{metric}")
+    def paired(t: Tables):
+        """Two models and a constant on the same 1 000 resamples by hash; intervals have no SQL, ``eval_paired_estimates`` has what they are around."""
+        df = scored(t)
+        if metric == "auc":
+            models = {"score": F.col("s"), "class": F.col("c").cast("double"), "constant": F.lit(0.5)}
+        else:
+            models = {"score": (F.col("s") > 0.6).cast("int"), "class": F.col("c"), "constant": F.lit(1)}
+        return resample.paired_intervals(df, "doc_id", "y", models, metric, "constant")
+
+
+for _metric in ("accuracy", "macro_f1", "auc"):
+    _paired(_metric)
+
+
+@query(
+    "eval_paired_estimates",
+    f"""WITH {_SCORED}, r AS (SELECT y, s, c, avg(y) OVER () AS share FROM p), ranked AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS a, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS b FROM p),
+    n AS (SELECT sum(y) AS up, count(*) - sum(y) AS down FROM p)
+    SELECT 'class' AS model, round((sum(b) FILTER (y = 1) - any_value(up) * (any_value(up) + 1) / 2) / (any_value(up) * any_value(down)), 6) AS estimate FROM ranked, n
+    UNION ALL SELECT 'score', round((sum(a) FILTER (y = 1) - any_value(up) * (any_value(up) + 1) / 2) / (any_value(up) * any_value(down)), 6) FROM ranked, n""",
+)
+def eval_paired_estimates(t: Tables):
+    """The areas that paired intervals lie around, by the ranges of score that they are taken with."""
+    found = resample.resampled(scored(t), "doc_id", "y", {"score": F.col("s"), "class": F.col("c").cast("double")}, "auc", 20)
+    return found.where("b = 0").select("model", F.col("value").alias("estimate"))
+
+
 @query("eval_partial_dependence", "WITH g AS (SELECT unnest(range(0, 20)) AS i), m AS (SELECT min(p_size) AS a, max(p_size) AS b FROM part) SELECT round(a + (b - a) * i / 19, 6) AS x, round(avg(2 * (a + (b - a) * i / 19) + p_retailprice / 10), 6) AS mean FROM part, g, m GROUP BY a, b, i")
 def eval_partial_dependence(t: Tables):
     return evaluate.partial_dependence(t.part.withColumn("p_size", F.col("p_size").cast("double")), "p_size", 2 * F.col("p_size") + F.col("p_retailprice") / 10)
