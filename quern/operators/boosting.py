@@ -29,6 +29,8 @@ from quern.sources.stored import discard, stored
 
 #: Rounds after which scores are stored.
 STORED_EVERY = 10
+#: Rows that one task goes through in a pass, if there are so many.
+ROWS_A_TASK = 1 << 16
 LEAST_HESSIAN = 1e-12
 LEAST_GAIN = 1e-12
 
@@ -222,7 +224,7 @@ class Boosters:
         self.unstored = [[] for _ in self.bases]
 
     def fit(self) -> list[Ensemble]:
-        active = list(range(len(self.bases)))
+        active = list(range(len(self.bases))) if self.edges else []  # without features there is nothing to split
         for i in range(self.s.rounds):
             if not (active := self.round(active)):
                 break
@@ -249,7 +251,12 @@ def moved(score: np.ndarray, x: np.ndarray, trees: list[Tree], rate: float) -> n
     return score
 
 
-def coded(df: DataFrame, features: str, label: str, weight: Column, edges: list[list[float]], bases: list[float]) -> DataFrame:
+def tasks_for(n: int) -> int:
+    """Tasks that share the passes over so many rows, at most: small tables aren't cut finer than a pass is worth."""
+    return max(1, -(-n // ROWS_A_TASK))
+
+
+def coded(df: DataFrame, features: str, label: str, weight: Column, edges: list[list[float]], bases: list[float], n: int) -> DataFrame:
     """(y, weight, codes, scores): the rows as they are trained on; rows without a label are left out."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +266,24 @@ def coded(df: DataFrame, features: str, label: str, weight: Column, edges: list[
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([start] * batch.num_rows, pa.binary())], names=["y", "weight", "codes", "scores"])
 
     rows = df.select(F.col(label).cast("double").alias("y"), weight.cast("double").alias("weight"), F.col(features).alias("x")).where("y IS NOT NULL")
-    return stored(rows.mapInArrow(pack, CODED), "boosting")
+    return stored(rows.mapInArrow(pack, CODED).coalesce(tasks_for(n)), "boosting")
 
 
 def width_of(df: DataFrame, features: str) -> int:
     return df.agg(F.max(F.size(features))).first()[0] or 0
 
 
+def counted_mean(df: DataFrame, label: str) -> tuple[int, float]:
+    n, mean = df.agg(F.count(label), F.avg(F.col(label).cast("double"))).first()
+    return n, float(mean or 0.0)
+
+
 def fit_regressor(df: DataFrame, features: str, label: str, settings: Settings = Settings()) -> Ensemble:
     """Squared loss from the mean on. features: a column of arrays of doubles, one length."""
     width = width_of(df, features)
     edges = bin_edges(df, features, width, settings.bins)
-    base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
-    return Boosters(coded(df, features, label, F.lit(1.0), edges, [base]), edges, "regression", [base], settings).fit()[0]
+    n, base = counted_mean(df, label)
+    return Boosters(coded(df, features, label, F.lit(1.0), edges, [base], n), edges, "regression", [base], settings).fit()[0]
 
 
 @dataclass(frozen=True)
@@ -312,7 +324,8 @@ def fit_classifier(df: DataFrame, features: str, label: str, classes: int, setti
     bases = [float(np.log(p / (1 - p))) for p in prior]
     # With two classes the one booster is class 1's, which is booster 0: its rows are turned round.
     target = df.withColumn(label, 1 - F.col(label)) if classes == 2 else df
-    boosters = Boosters(coded(target, features, label, weight if classes != 2 else weight_of_turned(label, class_weights), edges, bases), edges, "classification", bases, settings)
+    rows = coded(target, features, label, weight if classes != 2 else weight_of_turned(label, class_weights), edges, bases, df.count())
+    boosters = Boosters(rows, edges, "classification", bases, settings)
     return Classifier(tuple(boosters.fit()), classes)
 
 
@@ -327,8 +340,8 @@ def root_splits(df: DataFrame, features: str, label: str, settings: Settings = S
     """(feature, edge, rows, gain, left, right): every split of the first tree's root in a regression, with both leaves' values."""
     width = width_of(df, features)
     edges = bin_edges(df, features, width, settings.bins)
-    base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
-    rows = coded(df, features, label, F.lit(1.0), edges, [base])
+    n, base = counted_mean(df, label)
+    rows = coded(df, features, label, F.lit(1.0), edges, [base], n)
     sums = Boosters(rows, edges, "regression", [base], settings).histograms({0: Growing.begun()})[0, 0]
     discard(rows)
     g, h, n = sums

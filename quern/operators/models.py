@@ -13,7 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import boosting
+from quern.operators import boosting, network
 
 RIDGE = 1e-6
 LEAST_VARIANCE = 1e-9
@@ -125,9 +125,11 @@ def assembled(df: DataFrame, features: list[str] | str, label: str, keep: list[s
 
 
 def fit_predict(family: str, train: DataFrame, rows: DataFrame, keep: list[str], classes: int = 2, width: int = 0, seed: int = 42, task: str = "classification") -> DataFrame:
-    """(keep, predicted[, probability]): a family of MLlib, or the boosting of ``boosting``, trained on all of ``train``, without caps."""
+    """(keep, predicted[, probability]): a family of MLlib, or the library's own boosting and network, trained on all of ``train``, without caps."""
     if family == "boosting":
         return boosted(train, rows, keep, classes, task)
+    if family == "mlp":
+        return networked(train, rows, keep, classes, task, seed)
     if task == "regression":
         return REGRESSORS[family](seed).fit(train).transform(rows).select(*keep, F.col("prediction").alias("predicted"))
     found = CLASSIFIERS[family](seed, [width, 16, classes]).fit(train).transform(rows)
@@ -147,6 +149,15 @@ def boosted(train: DataFrame, rows: DataFrame, keep: list[str], classes: int, ta
     return told.select(*keep, (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("predicted"), "probability")
 
 
+def networked(train: DataFrame, rows: DataFrame, keep: list[str], classes: int, task: str, seed: int) -> DataFrame:
+    """The network of ``network`` with its defaults: one hidden ReLU layer, 300 epochs; the first of equal classes."""
+    model = network.fit(train.select(vector_to_array("features").alias("x"), "label"), "x", "label", 0 if task == "regression" else classes, seed)
+    told = rows.select(*keep, vector_to_array("features").alias("_x")).select(*keep, model.predict("_x").alias("probability"))
+    if task == "regression":
+        return told.select(*keep, F.get("probability", F.lit(0)).alias("predicted"))
+    return told.select(*keep, (F.array_position("probability", F.array_max("probability")) - 1).cast("int").alias("predicted"), "probability")
+
+
 def kmeans_step(points: DataFrame, key: str, vector: str, centres: list[list[float]]) -> DataFrame:
     """(key, cluster, distance): the nearest centre, the first of equals."""
     x = F.col(vector)
