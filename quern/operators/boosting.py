@@ -134,9 +134,10 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, s: Settings) -> tupl
 class Boosters:
     """Boosters of one model, grown side by side over stored codes."""
 
-    def __init__(self, rows: DataFrame, edges: list[list[float]], task: str, bases: list[float], settings: Settings):
-        """rows: (y, weight, codes, scores), stored."""
-        self.rows, self.edges, self.task, self.bases, self.s = rows, edges, task, bases, settings
+    def __init__(self, rows: DataFrame, edges: list[list[float]], task: str, bases: list[float], settings: Settings, tasks: int):
+        """rows: (y, weight, codes, scores), stored for so many tasks."""
+        self.rows, self.tasks = rows, tasks
+        self.edges, self.task, self.bases, self.s = edges, task, bases, settings
         self.bins = max(2, max(map(len, edges), default=2))
         self.done: list[list[Growing]] = [[] for _ in bases]
         self.unstored: list[list[Tree]] = [[] for _ in bases]
@@ -169,7 +170,9 @@ class Boosters:
 
         parts = self.rows.mapInArrow(add_up, "b int, node int, place int, g double, h double, n double")
         found = {(b, node): np.zeros((3, width * bins)) for b, (_, nodes) in under_way.items() for node in nodes}
-        sums = parts.groupBy("b", "node", "place").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()  # nodes x features x bins
+        if self.tasks > 1:  # one task's sums are the sums
+            parts = parts.groupBy("b", "node", "place").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        sums = parts.toArrow()  # nodes x features x bins
         b, node, place, *values = (c.to_numpy() for c in sums.columns)
         for key, total in found.items():
             here = (b == key[0]) & (node == key[1])
@@ -219,7 +222,7 @@ class Boosters:
                 yield pa.RecordBatch.from_arrays([batch[0], batch[1], batch[2], pa.array([r.tobytes() for r in new], pa.binary())], names=["y", "weight", "codes", "scores"])
 
         old = self.rows
-        self.rows = stored(old.mapInArrow(move, CODED), "boosting")
+        self.rows = stored(old.mapInArrow(move, CODED).coalesce(self.tasks), "boosting")
         discard(old)
         self.unstored = [[] for _ in self.bases]
 
@@ -283,7 +286,7 @@ def fit_regressor(df: DataFrame, features: str, label: str, settings: Settings =
     width = width_of(df, features)
     edges = bin_edges(df, features, width, settings.bins)
     n, base = counted_mean(df, label)
-    return Boosters(coded(df, features, label, F.lit(1.0), edges, [base], n), edges, "regression", [base], settings).fit()[0]
+    return Boosters(coded(df, features, label, F.lit(1.0), edges, [base], n), edges, "regression", [base], settings, tasks_for(n)).fit()[0]
 
 
 @dataclass(frozen=True)
@@ -324,8 +327,9 @@ def fit_classifier(df: DataFrame, features: str, label: str, classes: int, setti
     bases = [float(np.log(p / (1 - p))) for p in prior]
     # With two classes the one booster is class 1's, which is booster 0: its rows are turned round.
     target = df.withColumn(label, 1 - F.col(label)) if classes == 2 else df
-    rows = coded(target, features, label, weight if classes != 2 else weight_of_turned(label, class_weights), edges, bases, df.count())
-    boosters = Boosters(rows, edges, "classification", bases, settings)
+    n = df.count()
+    rows = coded(target, features, label, weight if classes != 2 else weight_of_turned(label, class_weights), edges, bases, n)
+    boosters = Boosters(rows, edges, "classification", bases, settings, tasks_for(n))
     return Classifier(tuple(boosters.fit()), classes)
 
 
@@ -342,7 +346,7 @@ def root_splits(df: DataFrame, features: str, label: str, settings: Settings = S
     edges = bin_edges(df, features, width, settings.bins)
     n, base = counted_mean(df, label)
     rows = coded(df, features, label, F.lit(1.0), edges, [base], n)
-    sums = Boosters(rows, edges, "regression", [base], settings).histograms({0: Growing.begun()})[0, 0]
+    sums = Boosters(rows, edges, "regression", [base], settings, tasks_for(n)).histograms({0: Growing.begun()})[0, 0]
     discard(rows)
     g, h, n = sums
     told = []

@@ -95,7 +95,7 @@ class Network:
         return told(features)
 
 
-def summed_gradient(rows: DataFrame, shape: Shape, weights: np.ndarray, classes: bool) -> np.ndarray:
+def summed_gradient(rows: DataFrame, shape: Shape, weights: np.ndarray, classes: bool, tasks: int) -> np.ndarray:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape.size)
         for batch in batches:
@@ -103,7 +103,10 @@ def summed_gradient(rows: DataFrame, shape: Shape, weights: np.ndarray, classes:
             total += shape.gradient(weights, x, batch[0].to_numpy(), classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.size, dtype=np.int32)), pa.array(total)], names=["i", "g"])
 
-    sums = rows.mapInArrow(add_up, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()  # a number for each weight
+    parts = rows.mapInArrow(add_up, "i int, g double")
+    if tasks > 1:  # one task's sums are the sums
+        parts = parts.groupBy("i").agg(F.sum("g").alias("g"))
+    sums = parts.toArrow()  # a number for each weight
     out = np.zeros(shape.size)
     out[sums["i"].to_numpy()] = sums["g"].to_numpy()
     return out
@@ -132,7 +135,7 @@ def fit(df: DataFrame, features: str, label: str, classes: int = 0, seed: int =
     rows = packed(df, features, (y - mean) / spread, n)
     first, second = np.zeros(shape.size), np.zeros(shape.size)
     for t in range(1, epochs + 1):
-        g = summed_gradient(rows, shape, weights, bool(classes)) / n + DECAY * shape.decayed() * weights
+        g = summed_gradient(rows, shape, weights, bool(classes), tasks_for(n)) / n + DECAY * shape.decayed() * weights
         first, second = MOMENTUM * first + (1 - MOMENTUM) * g, SCALE * second + (1 - SCALE) * g * g
         weights = weights - RATE * (first / (1 - MOMENTUM**t)) / (np.sqrt(second / (1 - SCALE**t)) + TINY)
     discard(rows)

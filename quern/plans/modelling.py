@@ -465,7 +465,7 @@ def eval_counterfactuals_two(t: Tables):
     """Changes in one or two columns that bring a part above a score, with plausibility; small ones are held against the full grid in tests."""
     df = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.substring("p_brand", 1, 7).alias("brand"))
     score = F.col("size") * 20 + F.col("price") + F.when(F.col("brand") == "Brand#5", 300.0).otherwise(0.0)
-    return counterfactual.search(df.where("p_partkey % 20 = 0"), df, ["size", "price", "brand"], score, F.col("predicted") > 2300, "p_partkey")
+    return counterfactual.search(df.where("p_partkey % 20 = 0"), df, ["size", "price", "brand"], score, F.col("predicted") > 1900, "p_partkey")
 
 
 @query("ledger_levels", "WITH l AS (SELECT c_nationkey % 6 AS test_set, c_custkey % (1 + c_nationkey % 6 * 3) AS config FROM customer) SELECT test_set, count(DISTINCT config) AS configs, CASE WHEN count(DISTINCT config) >= 10 THEN 'worn' WHEN count(DISTINCT config) >= 5 THEN 'used' WHEN count(DISTINCT config) >= 2 THEN 'seen' ELSE 'fresh' END AS level FROM l GROUP BY 1")

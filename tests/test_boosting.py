@@ -68,7 +68,10 @@ def test_edges_are_quantiles_of_distinct_values(spark, points):
     assert boosting.bin_edges(table(spark, x, y).where("false"), "x", 2, 32) == [[], []]
 
 
-def test_regression_equals_the_plain_builder(spark, points):
+@pytest.mark.parametrize("rows_a_task", [1 << 16, 100])
+def test_regression_equals_the_plain_builder(spark, points, monkeypatch, rows_a_task):
+    """In one task, and in several whose sums are added up."""
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", rows_a_task)
     x, y = points
     df = table(spark, x, y)
     model = boosting.fit_regressor(df, "x", "y", SMALL)

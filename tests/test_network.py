@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quern.operators import network
+from quern.operators import boosting, network
 
 
 def loss(shape, weights, x, y, classes):
@@ -28,8 +28,10 @@ def table(spark, x, y):
     return spark.createDataFrame([(i, [float(v) for v in r], None if t is None else float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "k long, x array<double>, y double").repartition(3)
 
 
-@pytest.mark.parametrize("classes", [3, 0])
-def test_fit_equals_a_loop_over_all_rows(spark, classes):
+@pytest.mark.parametrize(("classes", "rows_a_task"), [(3, 1 << 16), (0, 50)])
+def test_fit_equals_a_loop_over_all_rows(spark, monkeypatch, classes, rows_a_task):
+    """In one task, and in several whose gradients are added up."""
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", rows_a_task)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3))
     y = np.digitize(x[:, 0] + x[:, 1] ** 2, [0.0, 1.5]).astype(float) if classes else 3 * x[:, 0] - x[:, 1] + 7
