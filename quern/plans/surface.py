@@ -8,6 +8,7 @@ from quern.operators.question import ask
 from quern.plans.registry import Tables, query
 from quern.sources import ingest, sinks
 from quern.streaming import windows
+from quern.streaming.visits import visits
 
 
 @query("src_decimal_locale", "SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, CAST(o_orderkey AS VARCHAR) || '.5' AS plain FROM orders")
@@ -86,3 +87,13 @@ def stream_session(t: Tables):
 @query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(t: Tables):
     return windows.first_seen(t.events, "ts", ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query(
+    "stream_visits",
+    """WITH o AS (SELECT user_id, ts, event_type, value, lag(ts) OVER w AS t, lag(event_type) OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type NULLS FIRST)), g AS (SELECT *, CASE WHEN t IS NULL OR ts >= t + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM o),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_type NULLS FIRST ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(coalesce(value, 0)), 6) AS total, min_by(event_type, ts) AS first, max_by(event_type, ts) AS last, CAST(count(*) FILTER (new = 0 AND event_type IS DISTINCT FROM e) AS BIGINT) AS switches FROM s WHERE ts IS NOT NULL GROUP BY user_id, k""",
+)
+def stream_visits(t: Tables):
+    return _text(visits(t.events, "ts", ["user_id"], "event_type", "value", 6 * 3600.0))
