@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import boosting, cluster, counterfactual, encode, evaluate, metrics, models, nearest, resample, split, timeseries
+from quern.operators import boosting, cluster, counterfactual, encode, evaluate, metrics, models, nearest, resample, split, timeseries, words
 from quern.plans.registry import Tables, determines_sql, query
 
 
@@ -115,6 +115,28 @@ def text_tfidf_vector(t: Tables):
     return encode.tfidf_vectors(df, "p_partkey", "words", encode.tfidf_vocabulary(df, "words"))
 
 
+@query(
+    "text_word_effects",
+    f"""WITH {_TOKENS}, w AS (SELECT p_partkey, term, count(*) * max(idf) AS x, count(*) * max(idf) * (len(term) - 5) AS wx FROM (SELECT p_partkey, unnest(w) AS term FROM k) JOIN i USING (term) GROUP BY 1, 2),
+    d AS (SELECT p_partkey, sum(wx) AS s, sum(x * x) AS q, count(*) AS n FROM w GROUP BY 1), e AS (SELECT term, 1 / (1 + exp(-(0.5 + s / sqrt(q)))) - 1 / (1 + exp(-(0.5 + CASE WHEN n = 1 THEN 0 ELSE (s - wx) / sqrt(CASE WHEN n = 1 THEN 1 ELSE q - x * x END) END))) AS shift FROM w JOIN d USING (p_partkey))
+    SELECT term AS word, count(*) AS rows, round(avg(shift), 6) + 0.0 AS effect FROM e GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 40""",
+)
+def text_word_effects(t: Tables):
+    """A model whose weights are the words' lengths less five."""
+    df = part_texts(t)
+    found = encode.tfidf_vocabulary(df, "words").collect()
+    model = words.WordModel(tuple(r["term"] for r in found), tuple(r["idf"] for r in found), tuple(float(len(r["term"]) - 5) for r in found), 0.5, True)
+    return words.word_effects(df, "words", model, top=None)
+
+
+@query("text_model_effects")
+def text_model_effects(t: Tables):
+    """What the words of documents say of their quality: fitted on four rows in five, told on the fifth."""
+    df = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    return words.word_effects(df.where(held), "text", words.fit_words(df.where(~held), "text", "quality"))
+
+
 @query("task_detect", "SELECT 'quality' AS target, count(DISTINCT quality) AS \"distinct\", 'binary' AS task FROM labels UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), 'regression' FROM orders UNION ALL SELECT 'lang', count(DISTINCT lang), 'multiclass' FROM documents")
 def task_detect(t: Tables):
     return encode.task_of(t.labels, "quality").union(encode.task_of(t.orders, "o_totalprice")).union(encode.task_of(t.documents, "lang"))
