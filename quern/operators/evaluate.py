@@ -66,6 +66,45 @@ def group_audit(df: DataFrame, group: str, truth: str, predicted: str, least: in
     return found.crossJoin(F.broadcast(largest)).select(*found.columns, *[(F.col(name) - F.col(f"_first.{name}")).alias(f"{name}_gap") for name in rates])
 
 
+def value_audit(df: DataFrame, group: str, key: str, truth: str, predicted: str, least: int = 20, most: int = 8, resamples: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Bias and absolute error of a predicted number by group, with intervals, and gaps to the largest group with theirs.
+
+    The ``most`` largest groups of ``least`` rows and more, the largest first (ties by
+    name); no rows where fewer than two are large enough to compare. Rows without a
+    group, a truth or a prediction are left out. Every row's weight in a resample is
+    the same for both figures; tasks keep sums for each group and resample. A gap is
+    ``decisive`` if its interval doesn't hold zero.
+    """
+    error = F.col(predicted).cast("double") - F.col(truth).cast("double")
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_k"), F.trim(F.col(group).cast("string")).alias("_g"), error.alias("_e")).where("_g <> '' AND _e IS NOT NULL")
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "_g").limit(most).collect()
+    names = [r["_g"] for r in sizes] if len(sizes) > 1 else []
+    at = {g: i for i, g in enumerate(names)}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), 3, resamples + 1))
+        for batch in batches:
+            for (groups, errors), w in parts_of(batch, resamples):
+                place = np.array([at[g] for g in groups])
+                for i in np.unique(place):
+                    e = errors[place == i]
+                    total[i] += np.vstack([np.ones(len(e)), e, np.abs(e)]) @ w[place == i]
+        for i, part in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples + 1, i, np.int32)), pa.array(np.arange(resamples + 1, dtype=np.int32)), *map(pa.array, part)], names=["i", "b", "w", "e", "a"])
+
+    drawn = rows.where(F.col("_g").isin(*names)).mapInArrow(sums, "i int, b int, w double, e double, a double").groupBy("i", "b").agg(*[F.sum(c).alias(c) for c in ("w", "e", "a")])
+    each = drawn.select("i", "b", F.col("w").alias("n"), F.try_divide(F.col("e"), F.col("w")).alias("bias"), F.try_divide(F.col("a"), F.col("w")).alias("mae"))
+    first = each.where("i = 0").select("b", F.col("bias").alias("bias_of"), F.col("mae").alias("mae_of"))  # a row for each resample
+    gaps = each.join(first, "b").withColumns({f"{c}_gap": F.col(c) - F.col(f"{c}_of") for c in ("bias", "mae")})
+    tail, figures = (1 - level) / 2, []
+    for c in ("bias", "mae", "bias_gap", "mae_gap"):
+        figures += [F.max(F.when(F.col("b") == 0, F.col(c))).alias(c), *[F.percentile(F.when(F.col("b") > 0, F.col(c)), F.lit(q)).alias(f"{c}_{end}") for end, q in (("low", tail), ("high", 1 - tail))]]  # one value a resample
+    found = gaps.groupBy("i").agg(F.max(F.when(F.col("b") == 0, F.col("n"))).cast("long").alias("n"), *figures).orderBy("i")
+    decisive = [((F.col(f"{c}_gap_low") > 0) | (F.col(f"{c}_gap_high") < 0)).alias(f"{c}_decisive") for c in ("bias", "mae")]
+    name = F.get(F.array(*[F.lit(g) for g in names]).cast("array<string>"), F.col("i"))
+    return found.select(name.alias("group"), *found.columns[1:], *decisive)
+
+
 def conformal_quantile(scores: DataFrame, score: str, alpha: float) -> DataFrame:
     """(quantile): the ceil((n + 1)(1 - alpha))-th least score; no row for too few scores."""
     counted = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("k"))

@@ -31,12 +31,13 @@ WEIGHTED = ("logistic", "tree", "forest")
 
 @dataclass(frozen=True)
 class Prepared:
-    """Rows with ``part`` and the encoders fitted on the training part alone."""
+    """Rows with ``part``, the encoders fitted on the training part alone, and what fits them on other rows."""
 
     rows: DataFrame
     encoders: PipelineModel
     label: str
     key: str
+    recipe: Pipeline
 
     def part(self, *names: str) -> DataFrame:
         """(key, features, label) of some parts."""
@@ -67,7 +68,8 @@ def prepare(df: DataFrame, numeric: list[str], words: list[str], label: str, key
     if words:
         stages += [StringIndexer(inputCols=words, outputCols=[f"_i_{c}" for c in words], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_i_{c}" for c in words], outputCols=[f"_h_{c}" for c in words])]
     stages.append(VectorAssembler(inputCols=["_scaled"] * bool(numeric) + [f"_h_{c}" for c in words], outputCol="features"))
-    return Prepared(typed, Pipeline(stages=stages).fit(typed.where("part = 'train'")), label, key)
+    recipe = Pipeline(stages=stages)
+    return Prepared(typed, recipe.fit(typed.where("part = 'train'")), label, key, recipe)
 
 
 def fit(family: str, train: DataFrame, classes: int, weighted: bool = False, seed: int = 42, task: str = "classification") -> PipelineModel:
@@ -97,10 +99,10 @@ def measured(told: DataFrame, task: str) -> DataFrame:
 
 
 def refit(family: str, data: Prepared, classes: int, weighted: bool = False, seed: int = 42, task: str = "classification") -> PipelineModel:
-    """The family on all labelled rows, encoders included: what goes into production after the choice is made."""
-    encoders = Pipeline(stages=[*data.encoders.stages])
-    rows = encoders.fit(data.rows).transform(data.rows).select(data.key, "features", F.col(data.label).cast("double").alias("label"))
-    return fit(family, rows, classes, weighted, seed, task)
+    """The family and its encoders, fitted anew on all labelled rows: what goes into production, on rows as ``prepare`` stored them."""
+    encoders = data.recipe.fit(data.rows)
+    rows = encoders.transform(data.rows).select(data.key, "features", F.col(data.label).cast("double").alias("label"))
+    return PipelineModel([*encoders.stages, *fit(family, rows, classes, weighted, seed, task).stages])
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -173,7 +175,7 @@ def robust_rank(data: Prepared, families: list[str], classes: int = 2, repeats:
     for repeat in range(repeats):
         halves = split.stratified(pool, data.label, data.key, 0.5, seed + 101 + repeat).persist()
         for one, other in (("train", "test"), ("test", "train")):
-            encoders = Pipeline(stages=[*data.encoders.stages]).fit(halves.where(F.col("part") == one))
+            encoders = data.recipe.fit(halves.where(F.col("part") == one))
             sides = {p: encoders.transform(halves.where(F.col("part") == p)).select(data.key, "features", F.col(data.label).cast("double").alias("label")) for p in (one, other)}
             for family in families:
                 model = fit(family, sides[one], classes, seed=seed, task=task)

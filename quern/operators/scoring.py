@@ -10,7 +10,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import drift, evaluate, metrics, models, split
+from quern.operators import drift, evaluate, metrics, models, resample, runs, split
+from quern.sources.stored import stored
+
+# How many sizes a learning curve has, how far they span, and the least of them.
+CURVE_POINTS, CURVE_SPAN, CURVE_LEAST = 6, 16, 16
 
 #: A prediction as a function of named columns, so that inputs can be replaced.
 Predictor = Callable[[dict[str, Column]], Column]
@@ -109,6 +113,55 @@ def learning_curve(train: DataFrame, test: DataFrame, features: list[str], targe
     return reduce(DataFrame.unionByName, parts)
 
 
+def curve_sizes(rows: int, least: int) -> list[int]:
+    """Up to six sizes from a sixteenth of the rows to all of them, evenly spaced in ratio, each of ``least`` rows at least."""
+    step = CURVE_SPAN ** (1 / (CURVE_POINTS - 1))
+    sizes = {round(rows / step**i) for i in range(CURVE_POINTS)}
+    return sorted(n for n in sizes if least <= n <= rows)
+
+
+def family_curve(data: runs.Prepared, family: str, classes: int = 2, task: str = "classification", seed: int = 42) -> DataFrame:
+    """(rows, estimate, low, high, gain, gain_low, gain_high, win_share, verdict): a family fitted on nested samples, told on the same held rows.
+
+    The samples are prefixes of one order in which every class keeps its share;
+    encoders are fitted on each sample alone. Intervals and the gain over the size
+    before come from shared resamples of the test part, a positive gain being better.
+    The last row's verdict is ``climbing`` where its gain is decisive, else
+    ``plateau``. Fewer than two sizes give no rows: one point is no curve.
+    """
+    train, test = data.rows.where("part = 'train'").drop("part"), data.rows.where("part = 'test'").drop("part")
+    sizes = curve_sizes(train.count(), max(CURVE_LEAST, classes * 4))
+    nothing = "rows long, estimate double, low double, high double, gain double, gain_low double, gain_high double, win_share double, verdict string"
+    if len(sizes) < 2:
+        return data.rows.sparkSession.createDataFrame([], nothing)
+    order = train.withColumn("_stratum", F.lit(0) if task == "regression" else F.col(data.label))
+    nested = stored(split.nested_order(order, "_stratum", data.key, seed), "nested")
+    within = [F.col("place") <= n / sizes[-1] for n in sizes]  # as many rows as asked for, up to half a row of each class
+    sizes = list(nested.agg(*[F.count_if(w).alias(f"c{i}") for i, w in enumerate(within)]).first())
+    told, held = test, {}
+    for i, inside in enumerate(within):
+        some = nested.where(inside)
+        encoders = data.recipe.fit(some)
+        rows = encoders.transform(some).select(data.key, "features", F.col(data.label).cast("double").alias("label"))
+        model = runs.fit(family, rows, classes, seed=seed, task=task)
+        told = model.transform(encoders.transform(told)).withColumn(f"_at_{i}", F.col("prediction")).select(*told.columns, f"_at_{i}")
+        held[str(i)] = F.col(f"_at_{i}")
+    told = stored(told.withColumn("_truth", F.col(data.label).cast("double")), "curve")
+    metric = "rmse" if task == "regression" else "accuracy"
+    draws = resample.resampled(told, data.key, "_truth", held, metric)
+    sign, tail = (1.0 if resample.METRICS[metric] else -1.0), (1 - resample.LEVEL) / 2
+    before = draws.select((F.col("model").cast("int") + 1).alias("i"), "b", F.col("value").alias("_was"))
+    steps = draws.withColumn("i", F.col("model").cast("int")).join(before, ["i", "b"], "left").withColumn("gain", sign * (F.col("value") - F.col("_was")))
+    drawn = F.col("b") > 0
+    figures = []
+    for c, name in (("value", "estimate"), ("gain", "gain")):
+        ends = [F.percentile(F.when(drawn, F.col(c)), F.lit(q)).alias(end if c == "value" else f"gain_{end}") for end, q in (("low", tail), ("high", 1 - tail))]  # one value a resample
+        figures += [F.max(F.when(~drawn, F.col(c))).alias(name), *ends]
+    won = F.avg(F.when(drawn & F.col("gain").isNotNull(), (F.col("gain") > 0).cast("double")))
+    verdict = F.when(F.col("i") == len(sizes) - 1, F.when((F.col("gain") > 0) & (F.col("gain_low") > 0), "climbing").otherwise("plateau"))
+    return steps.groupBy("i").agg(*figures, won.alias("win_share")).select(F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("i")).alias("rows"), "estimate", "low", "high", "gain", "gain_low", "gain_high", "win_share", verdict.alias("verdict")).orderBy("rows")
+
+
 def random_search(rows: DataFrame, key: str, family: Callable[[dict], object], grid: dict[str, list], configs: int = 4, folds: int = 3, seed: int = 42) -> DataFrame:
     """(config, mean, sd): k-fold accuracy of configurations drawn from a grid, the best first. rows: key, features, label."""
     every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]

@@ -406,6 +406,16 @@ def eval_group_audit(t: Tables):
     return evaluate.group_audit(scored(t), "lang", "y", "c").select("group", "n", "selection", "recall", "accuracy", "accuracy_gap")
 
 
+@query(
+    "eval_value_audit",
+    """WITH e AS (SELECT p_brand AS g, 900.0 + p_size * 10 - p_retailprice AS e FROM part), a AS (SELECT g, count(*) AS n, avg(e) AS bias, avg(abs(e)) AS mae FROM e GROUP BY 1 HAVING count(*) >= 20 ORDER BY 2 DESC, 1 LIMIT 8)
+    SELECT g AS "group", n, round(bias, 6) + 0.0 AS bias, round(mae, 6) AS mae, round(bias - first_value(bias) OVER w, 6) + 0.0 AS bias_gap, round(mae - first_value(mae) OVER w, 6) + 0.0 AS mae_gap FROM a WHERE (SELECT count(*) FROM a) > 1 WINDOW w AS (ORDER BY n DESC, g)""",
+)
+def eval_value_audit(t: Tables):
+    df = t.part.withColumn("f", 900.0 + F.col("p_size") * 10)
+    return evaluate.value_audit(df, "p_brand", "p_partkey", "p_retailprice", "f").select("group", "n", "bias", "mae", "bias_gap", "mae_gap")
+
+
 @query("eval_conformal_reg", "WITH e AS (SELECT p_partkey, abs(p_retailprice - (900.0 + p_size * 10)) AS e FROM part), c AS (SELECT e FROM e WHERE p_partkey % 2 = 0), q AS (SELECT e AS q FROM (SELECT e, row_number() OVER (ORDER BY e) AS k FROM c) WHERE k = CAST(ceil(((SELECT count(*) FROM c) + 1) * 0.9 - 1e-9) AS BIGINT)) SELECT round(q, 6) AS quantile, count(*) AS n, round(avg(CAST(e <= q AS DOUBLE)), 6) AS covered FROM e, q WHERE p_partkey % 2 = 1 GROUP BY q")
 def eval_conformal_reg(t: Tables):
     e = t.part.select("p_partkey", F.abs(F.col("p_retailprice") - (900.0 + F.col("p_size") * 10)).alias("e"))

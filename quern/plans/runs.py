@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import cluster, runs
+from quern.operators import cluster, runs, scoring
 from quern.plans.modelling import _DIMS, _SCORED, labelled, scored, vectors
 from quern.plans.registry import Tables, query
 
@@ -110,4 +110,10 @@ def run_leaderboard(t: Tables):
 
 @query("run_robust_rank")
 def run_robust_rank(t: Tables):
-    return runs.robust_rank(prepared(t), ["logistic", "tree"], repeats=2)
+    return runs.robust_rank(prepared(t), ["logistic", "tree"])
+
+
+@query("run_learning_curve")
+def run_learning_curve(t: Tables):
+    """Six sizes of the training part, each with its interval, and whether the last step still gained."""
+    return scoring.family_curve(prepared(t), "tree")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import cluster, runs, split
+from quern.operators import cluster, runs, scoring, split
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,33 @@ def test_records_and_refits_predict(prepared, tmp_path):
     assert told(runs.load(str(tmp_path / "tree"))) == told(model)
 
 
+def test_refits_fit_their_encoders_anew(prepared):
+    """Encoders of a refit come from all rows, those of the run from train alone."""
+    model = runs.refit("tree", prepared, 2)
+    known = sorted(r["x"] for r in prepared.rows.where("x IS NOT NULL").collect())
+    middle = model.stages[0].surrogateDF.first()["x"]
+    assert known[len(known) // 2 - 2] <= middle <= known[len(known) // 2 + 2]
+    assert middle != prepared.encoders.stages[0].surrogateDF.first()["x"]
+    told = runs.predicted(model, prepared.rows.withColumn("label", F.col("y").cast("double")), "id")
+    assert told.count() == 294 and runs.measured(told, "classification").first()[0] > 0.7
+
+
+def test_learning_curve_has_sizes_intervals_and_a_verdict(prepared):
+    assert scoring.curve_sizes(1600, 16) == [100, 174, 303, 528, 919, 1600] and scoring.curve_sizes(20, 16) == [20] and scoring.curve_sizes(10, 16) == []
+    found = scoring.family_curve(prepared, "tree").collect()
+    n = prepared.rows.where("part = 'train'").count()
+    assert len(found) >= 3 and found[-1]["rows"] == n and [r["rows"] for r in found] == sorted(r["rows"] for r in found)
+    assert all(r["low"] <= r["estimate"] <= r["high"] for r in found) and found[0]["gain"] is None
+    for a, b in zip(found, found[1:], strict=False):
+        assert b["gain"] == pytest.approx(b["estimate"] - a["estimate"]) and b["gain_low"] <= b["gain_high"]
+    assert [r["verdict"] for r in found[:-1]] == [None] * (len(found) - 1)
+    assert found[-1]["verdict"] == ("climbing" if found[-1]["gain"] > 0 and found[-1]["gain_low"] > 0 else "plateau")
+    whole = runs.fit("tree", prepared.part("train"), 2)
+    assert found[-1]["estimate"] == pytest.approx(runs.measured(runs.predicted(whole, prepared.part("test"), "id"), "classification").first()[0])
+    small = runs.prepare(prepared.rows.drop("part").where("id < 18"), ["x"], [], "y", "id")
+    assert scoring.family_curve(small, "tree").count() == 0
+
+
 def test_ranking_gap_and_blends(spark, prepared):
     board = runs.leaderboard(prepared, ["logistic", "tree"])
     assert {r["model"] for r in board.collect()} == {"logistic", "tree"} and board.where("test < 0.6").count() == 0
