@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import cells
 from quern.operators import metrics, models, split
+from quern.operators.encode import MOST_TERMS
 from quern.operators.ordering import all_of
 from quern.sources.stored import stored
 
@@ -45,31 +46,72 @@ class Prepared:
         return told.select(self.key, "features", F.col(self.label).cast("double").alias("label"))
 
 
-def prepare(df: DataFrame, numeric: list[str], words: list[str], label: str, key: str, seed: int = 42) -> Prepared:
-    """Splits labelled rows by class (test 20 %, then validation 20 % of the rest from 60 rows on) and fits the encoders on train.
+def parted(df: DataFrame, label: str, key: str, by: str = "class", column: str | None = None, seed: int = 42) -> DataFrame:
+    """Labelled rows with ``part``: test 20 %, and validation 20 % of the rest from 60 rows on.
 
-    Numbers are imputed by the training median and scaled; words are indexed by
-    frequency and made one-hot, those unseen in training as none of them. Columns
-    that may not be used are left out by name before.
+    by: ``class`` (each class in proportion), ``random``, ``time`` (the last rows by
+    ``column`` are the test, those before them the validation; rows without a time are
+    left out), or ``group`` (all rows of a value of ``column`` in one part).
     """
-    if clash := {key, label} & {*numeric, *words}:
-        raise ValueError(f"not-a-feature:{','.join(sorted(clash))}")
+    if by in ("time", "group") and not column:
+        raise ValueError(f"no-column-for:{by}")
     known = df.where(F.col(label).isNotNull())
-    marked = split.stratified(known, label, key, TEST_SHARE, seed)
-    if known.count() >= LEAST_FOR_VALIDATION:
-        rest = split.stratified(marked.where("part = 'train'").drop("part"), label, key, VALIDATION_SHARE, seed + 1)
+    enough = known.count() >= LEAST_FOR_VALIDATION
+    if by == "group":
+        return split.grouped(known, column, key, TEST_SHARE, VALIDATION_SHARE * (1 - TEST_SHARE) if enough else 0.0, seed)
+    if by == "time":
+        cut = lambda rows, share, seed: split.chronological(rows, column, key, share)
+    elif by == "class":
+        cut = lambda rows, share, seed: split.stratified(rows, label, key, share, seed)
+    elif by == "random":
+        cut = lambda rows, share, seed: split.stratified(rows.withColumn("_all", F.lit(0)), "_all", key, share, seed).drop("_all")
+    else:
+        raise ValueError(f"no-split:{by}")
+    marked = cut(known, TEST_SHARE, seed)
+    if enough:
+        rest = cut(marked.where("part = 'train'").drop("part"), VALIDATION_SHARE, seed + 1)
         rest = rest.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise("train"))
         marked = rest.unionByName(marked.where("part = 'test'"))
-    typed = marked.select(key, label, "part", *[F.col(c).cast("double").alias(c) for c in numeric], *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in words])
-    typed = stored(typed, "prepared")  # every fit and every part reads the same rows, dealt once
-    stages = []
+    return marked
+
+
+def typed(df: DataFrame, numeric: list[str], words: list[str]) -> dict[str, Column]:
+    """What the encoders read of each column: numbers as such, all else as text."""
+    return {c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in words}
+
+
+def prepare(df: DataFrame, numeric: list[str], words: list[str], label: str, key: str, seed: int = 42, by: str = "class", column: str | None = None, wide: list[str] | None = None, texts: list[str] | None = None) -> Prepared:
+    """Splits labelled rows (see ``parted``) and fits the encoders on the training part alone.
+
+    Numbers are imputed by the training median and scaled; words are indexed by
+    frequency and made one-hot, those unseen in training as none of them; ``wide``
+    ones, of many values, are their scaled rank by frequency; ``texts`` are unit
+    vectors of their most frequent terms. Columns that may not be used are left out
+    by name before.
+    """
+    wide, texts = wide or [], texts or []
+    if clash := {key, label} & {*numeric, *words, *wide, *texts}:
+        raise ValueError(f"not-a-feature:{','.join(sorted(clash))}")
+    cast = typed(df, numeric, [*words, *wide, *texts])
+    marked = parted(df, label, key, by, column, seed)
+    rows = stored(marked.select(key, label, "part", *[c.alias(name) for name, c in cast.items()]), "prepared")  # every fit and every part reads the same rows, dealt once
+    stages, blocks = [], []
     if numeric:
-        stages += [Imputer(inputCols=numeric, outputCols=[f"_n_{c}" for c in numeric], strategy="median"), VectorAssembler(inputCols=[f"_n_{c}" for c in numeric], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+        stages.append(Imputer(inputCols=numeric, outputCols=[f"_n_{c}" for c in numeric], strategy="median"))
+    if words or wide:
+        stages.append(StringIndexer(inputCols=[*words, *wide], outputCols=[f"_i_{c}" for c in [*words, *wide]], handleInvalid="keep"))
+    if numeric or wide:
+        stages += [VectorAssembler(inputCols=[*[f"_n_{c}" for c in numeric], *[f"_i_{c}" for c in wide]], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+        blocks.append("_scaled")
     if words:
-        stages += [StringIndexer(inputCols=words, outputCols=[f"_i_{c}" for c in words], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_i_{c}" for c in words], outputCols=[f"_h_{c}" for c in words])]
-    stages.append(VectorAssembler(inputCols=["_scaled"] * bool(numeric) + [f"_h_{c}" for c in words], outputCol="features"))
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in words], outputCols=[f"_h_{c}" for c in words]))
+        blocks += [f"_h_{c}" for c in words]
+    for c in texts:
+        stages += [RegexTokenizer(inputCol=c, outputCol=f"_t_{c}", pattern="[^a-z0-9]+", minTokenLength=3), CountVectorizer(inputCol=f"_t_{c}", outputCol=f"_c_{c}", vocabSize=MOST_TERMS), IDF(inputCol=f"_c_{c}", outputCol=f"_f_{c}"), Normalizer(inputCol=f"_f_{c}", outputCol=f"_u_{c}")]
+        blocks.append(f"_u_{c}")
+    stages.append(VectorAssembler(inputCols=blocks, outputCol="features"))
     recipe = Pipeline(stages=stages)
-    return Prepared(typed, recipe.fit(typed.where("part = 'train'")), label, key, recipe)
+    return Prepared(rows, recipe.fit(rows.where("part = 'train'")), label, key, recipe)
 
 
 def fit(family: str, train: DataFrame, classes: int, weighted: bool = False, seed: int = 42, task: str = "classification") -> PipelineModel:

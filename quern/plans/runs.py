@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import cluster, runs, scoring
+from quern.operators import cluster, runs, scoring, training
 from quern.plans.modelling import _DIMS, _SCORED, labelled, scored, vectors
 from quern.plans.registry import Tables, query
 
@@ -117,3 +117,19 @@ def run_robust_rank(t: Tables):
 def run_learning_curve(t: Tables):
     """Six sizes of the training part, each with its interval, and whether the last step still gained."""
     return scoring.family_curve(prepared(t), "tree")
+
+
+@query("run_train")
+def run_train(t: Tables):
+    """Whether an order is urgent, from its own columns and its customer's, split by time: every family, the baseline and the blend."""
+    df = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal"), "o_custkey").withColumn("urgent", F.col("o_orderpriority").startswith("1").cast("int"))
+    return training.train(df.drop("o_orderpriority", "o_custkey"), "urgent", "o_orderkey", ["logistic", "tree"], "time", "o_orderdate").results
+
+
+@query(
+    "split_parts_time",
+    """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER () AS n FROM orders), c AS (SELECT *, n - round(n * 0.2) AS rest FROM r)
+    SELECT o_orderkey, CASE WHEN k > rest THEN 'test' WHEN k > rest - round(rest * 0.2) THEN 'validation' ELSE 'train' END AS part FROM c""",
+)
+def split_parts_time(t: Tables):
+    return runs.parted(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), "o_totalprice", "o_orderkey", "time", "o_orderdate").select("o_orderkey", "part")
