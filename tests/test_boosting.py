@@ -153,3 +153,18 @@ def test_votes_of_mllib_classifiers(spark, points, family):
         assert r["p"] == pytest.approx(r["probability"].toArray().tolist())
         votes = np.mean([t["value"] for t in r["replay"]], axis=0)
         assert votes.tolist() == pytest.approx(r["p"])
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_rows_of_the_same_codes_are_stored_once(spark, points, task):
+    """A table fifty times as long, with the same values, makes passes no longer."""
+    x, y = points
+    y = y if task == "regression" else (y > 2).astype(float)
+    df = table(spark, x, y)
+    edges = boosting.bin_edges(df, "x", 4, 4)
+    once, _ = boosting.coded(df, "x", "y", F.lit(2.0), edges, [0.0], task)
+    often, _ = boosting.coded(df.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(50)))), "x", "y", F.lit(2.0), edges, [0.0], task)
+    assert once.count() == often.count() < 300
+    sums = lambda rows: rows.agg(F.sum("rows"), F.sum("weight"), F.sum(F.col("weight") * F.col("y"))).first()
+    assert tuple(sums(once)) == pytest.approx((500, 1000, 2 * y.sum()))
+    assert tuple(sums(often)) == pytest.approx((25_000, 50_000, 100 * y.sum()))
