@@ -444,3 +444,17 @@ def test_a_missing_package_is_not_taken_for_a_removed_subpackage(monkeypatch):
     monkeypatch.setattr(entry, "import_module", fails("xxhash"))
     with pytest.raises(ModuleNotFoundError):
         entry.removable("quern.llm.queries")
+
+
+def test_range_join_of_crowded_values(spark, monkeypatch):
+    """Blocks of rows of one value meet, whatever their size; candidates don't become rows: every task tells its share."""
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    points = spark.range(900).select("id", F.when(F.col("id") % 100 != 0, F.floor(F.col("id") % 3).cast("double")).alias("x"))
+    ranges = spark.range(300).select(F.col("id").alias("r"), (F.col("id") % 5 - 1).cast("double").alias("low"), (F.col("id") % 5).cast("double").alias("high"))
+    told = joins.range_join(points, ranges, "x", "low", "high", 10.0)
+    want = sorted((i, r) for i in range(900) if i % 100 for r in range(300) if r % 5 - 1 <= i % 3 < r % 5)
+    assert sorted((t["id"], t["r"]) for t in told.collect()) == want
+    sizes = told.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) > 8 and max(s["count"] for s in sizes) < len(want) / 4
+    only = joins.range_join(points.select("x"), ranges.select("low", "high"), "x", "low", "high", 10.0)
+    assert only.columns == ["x", "low", "high"] and only.count() == len(want)
