@@ -1,14 +1,15 @@
-"""Near-copies by the shingles they share: bands of minima find candidates, exact similarity confirms them.
+"""Near-copies: SimHash and bands of minima find candidates, exact similarity confirms them.
 
-SimHash at a few bits links nearly equal texts only, and at the 9 to 16 bits
-that texts of similarity 0.8 differ in, its index no longer prunes. Here a
-document's shingles are hashed and the least value under each of many
-permutations is taken; documents that agree in a band of minima share a bucket.
+Fingerprints that differ in a few bits (``simhash``) give the first candidates. They
+are nearly equal texts only, and at the 9 to 16 bits that texts of similarity 0.8
+differ in, the index of fingerprints no longer prunes. So a document's shingles are
+also hashed and the least value under each of many permutations is taken; documents that agree in a band of minima share a bucket.
 A pair of Jaccard similarity 0.8 shares one with probability 0.9999.
 
 1. Equal word sequences are one entry, however many copies there are.
-2. Each member of a bucket is held against the bucket's least entry by the exact
-   similarity of both texts; confirmed pairs make components.
+2. Each member of a bucket is held against the bucket's least entry, and entries of
+   one or of linked fingerprints against each other, by the exact similarity of both
+   texts; confirmed pairs make components.
 3. In buckets that still hold several components, entries of different ones are
    held against each other too, so that no pair is lost for want of a like pivot.
    They go through in blocks of bounded size, block against block: four bits of
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, row_key, stored
 from quern.llm.components import connected_components
-from quern.llm.simhash import representatives
+from quern.llm.simhash import blocks_for, fingerprints, linked_fingerprints, representatives
 
 BANDS, ROWS = 32, 6
+BITS, WORDS, SEED, PER_PART = 3, 3, 42, 4096  # of fingerprints, as in ``simhash``
 PLANES, DEVIATIONS = 4, 4
 BLOCK = 100_000  # shingles of a block: under a megabyte, or one long text
 _DRAWN = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
@@ -165,17 +167,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return both.where(similarity_of("x", "y", size) >= similarity).select("a", "b")
 
 
+def fingerprint_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): keys whose fingerprints are equal or linked, a the less; each fingerprint is met by its least key. Stored."""
+    prints = stored(entries.groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    near = linked_fingerprints(prints.select("fp"), BITS, blocks_for(prints.count(), BITS, PER_PART))
+    ends = [prints.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")) for side in "ab"]
+    apart = near.join(ends[0], "a").join(ends[1], "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    alike = entries.join(prints, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    found = stored(apart.union(alike).distinct(), "print-pairs")
+    discard(prints)
+    return found
+
+
 def similar_components(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, row, root), one row for each input row: ``row`` is its key, ``root`` names its component."""
-    sketched = docs.select("doc_id", row_key("doc_id", "text").alias("row"), sketches("text", size).alias("s"))
-    marked = stored(sketched.select("doc_id", "row", "s.*"), "sketches")
-    entries = stored(marked.groupBy("key").agg(F.min("row").alias("row"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks")), "entries")
+    sketched = docs.select("doc_id", row_key("doc_id", "text").alias("row"), sketches("text", size).alias("s"), fingerprints("text", WORDS, SEED).alias("fp"))
+    marked = stored(sketched.select("doc_id", "row", "s.*", "fp"), "sketches")
+    entries = stored(marked.groupBy("key").agg(F.min("row").alias("row"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"), F.first("fp").alias("fp")), "entries")
+    printed = fingerprint_pairs(entries)
     members = entries.select("key", F.explode("buckets").alias("bucket"))
     pivots = members.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     pivots = stored(pivots, "bucket-pivots")
     shared = stored(members.join(pivots, "bucket"), "shared-buckets")
-    stars = stored(shared.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "star-pairs")
-    wanted = stored(entries.select("key", "row").join(shared.select("key").distinct(), "key", "left_semi"), "wanted-rows")
+    stars = stored(shared.where("key <> a").select("a", F.col("key").alias("b")).union(printed).distinct(), "star-pairs")
+    met = shared.select("key").union(printed.select("a")).union(printed.select("b")).distinct()
+    wanted = stored(entries.select("key", "row").join(met, "key", "left_semi"), "wanted-rows")
     # Equal rows have equal texts: the first will do.
     texts = docs.select(row_key("doc_id", "text").alias("row"), "text").join(wanted, "row").groupBy("key").agg(F.first("text").alias("text"))
     texts = stored(texts, "wanted-texts")
@@ -207,7 +223,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, size: int = 5)
     more = stored(links_across.distinct(), "cross-links")
     if more.take(1):
         roots = connected_components(links.union(more))
-    discard(entries, pivots, shared, stars, wanted, texts, links, placed, split, known, blocks, more)
+    discard(entries, printed, pivots, shared, stars, wanted, texts, links, placed, split, known, blocks, more)
     return marked.select("doc_id", "row", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
 
 

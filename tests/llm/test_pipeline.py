@@ -149,3 +149,24 @@ def test_marks_pass_nearly_all_pairs_at_the_similarity():
             differ += bin(int(planes[0][0][w] ^ planes[1][0][w]) | int(planes[0][1][w] ^ planes[1][1][w]) | int(planes[0][2][w] ^ planes[1][2][w]) | int(planes[0][3][w] ^ planes[1][3][w])).count("1")
         passed += differ <= near_copies.most_unlike(0.8)
     assert passed >= 299
+
+
+def test_fingerprints_give_candidates_that_bands_miss(spark, folder, monkeypatch):
+    """Without a bucket in common, nearly equal texts still meet by their fingerprints; texts that only look alike to them stay."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(8):
+        words = sentence_of(rng, 900)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, f"last{i}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = near_copies.sketches
+
+    def alone(text, size):
+        told = plain(text, size)
+        return told.withField("buckets", F.transform(told["buckets"], lambda b: F.xxhash64(b, "doc_id")))
+
+    monkeypatch.setattr(near_copies, "sketches", alone)
+    prints = {r["doc_id"]: r["fp"] for r in docs.select("doc_id", near_copies.fingerprints("text", 3, 42).alias("fp")).collect()}
+    close = [i for i in range(8) if bin((prints[2 * i] ^ prints[2 * i + 1]) % 2**64).count("1") <= 3]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, folder).collect()}
+    assert close and kept == set(range(16)) - {2 * i + 1 for i in close}
