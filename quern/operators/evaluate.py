@@ -153,20 +153,21 @@ def partial_dependence(df: DataFrame, feature: str, predict: Column, points: int
 
 
 def counterfactuals(rows: DataFrame, grids: dict[str, list[float]], predict: Column, wanted: Column, key: str, keep: int = 3) -> DataFrame:
-    """(key, feature, value, predicted): the smallest single changes that give the wanted outcome, by distance in grid steps."""
-    options = [F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("value")) for c, g in grids.items() for v in g]
-    tried = rows.withColumn("_c", F.explode(F.array(*options)))
-    spread = {c: (max(g) - min(g)) or 1.0 for c, g in grids.items()}
-    distance = F.lit(0.0)
-    for c in grids:
-        hit = F.col("_c.feature") == c
-        distance = F.when(hit, F.abs(F.col(c) - F.col("_c.value")) / spread[c]).otherwise(distance)
-    tried = tried.withColumn("_d", distance)
-    for c in grids:
-        tried = tried.withColumn(c, F.when(F.col("_c.feature") == c, F.col("_c.value")).otherwise(F.col(c)))
-    found = tried.withColumn("predicted", predict).where(wanted & (F.col("_d") > 0))
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_c.feature", "_c.value")))
-    return ranked.where(F.col("_r") <= keep).select(key, "_c.feature", "_c.value", "predicted")
+    """(key, feature, value, predicted): the smallest single changes that give the wanted outcome, by distance in grid steps, ``keep`` for each row.
+
+    A row's changes are tried and chosen within the row: only those that are told become rows.
+    """
+    tried = rows.withColumns({f"_was_{c}": F.col(c) for c in grids})
+    told = []
+    for c, values in grids.items():
+        distance = lambda v: F.abs(F.col(f"_was_{c}") - F.lit(v)) / ((max(values) - min(values)) or 1.0)  # noqa: B023, E731
+        for v in map(float, values):
+            change = F.struct(distance(v).alias("d"), F.lit(c).alias("feature"), F.lit(v).alias("value"), F.col("predicted").alias("predicted"))
+            told.append(f"_change_{len(told)}")
+            tried = tried.withColumn(c, F.lit(v)).withColumn("predicted", predict).withColumn(told[-1], F.when(wanted & (distance(v) > 0), change))
+        tried = tried.withColumn(c, F.col(f"_was_{c}"))
+    nearest = F.slice(F.array_sort(F.filter(F.array(*told), lambda change: change.isNotNull())), 1, keep)
+    return tried.select(key, F.explode(nearest).alias("_c")).select(key, "_c.feature", "_c.value", "_c.predicted")
 
 
 def ledger_levels(readings: DataFrame) -> DataFrame:

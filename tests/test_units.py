@@ -458,3 +458,26 @@ def test_range_join_of_crowded_values(spark, monkeypatch):
     assert len(sizes) > 8 and max(s["count"] for s in sizes) < len(want) / 4
     only = joins.range_join(points.select("x"), ranges.select("low", "high"), "x", "low", "high", 10.0)
     assert only.columns == ["x", "low", "high"] and only.count() == len(want)
+
+
+def test_isolation_depths_a_level_at_a_time():
+    """Trees in heap order say what the nested ones say, for equal and missing values too, in one step for each level."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    x[::50, 1] = np.nan
+
+    def plain(tree, row, at=0):
+        return at + quality.path_scale(tree[0]) if len(tree) == 1 else plain(tree[2 if row[tree[0]] < tree[1] else 3], row, at + 1)
+
+    for _ in range(5):
+        tree = quality.grow(np.nan_to_num(x[rng.choice(700, 64, replace=False)]), 0, 6, rng)
+        flat = quality.heap(tree, 6)
+        assert len(flat[0]) == 127
+        assert quality.depths(flat, x.T.copy(), 6).tolist() == [plain(tree, r) for r in x]
+
+
+def test_counterfactuals_are_chosen_within_the_row(spark):
+    df = spark.createDataFrame([(1, 3.0, 10.0), (2, 50.0, 0.0), (3, None, 12.0), (4, 0.0, 0.0)], "k long, a double, b double")
+    found = evaluate.counterfactuals(df, {"a": [0.0, 5.0, 10.0], "b": [0.0, 10.0, 20.0, 40.0]}, F.col("a") + F.col("b"), F.col("predicted") >= 15, "k", 2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 5.0, 15.0), (1, "b", 20.0, 23.0), (2, "b", 10.0, 60.0), (2, "b", 20.0, 70.0), (4, "b", 20.0, 20.0), (4, "b", 40.0, 40.0)]
