@@ -168,3 +168,15 @@ def test_rows_of_the_same_codes_are_stored_once(spark, points, task):
     sums = lambda rows: rows.agg(F.sum("rows"), F.sum("weight"), F.sum(F.col("weight") * F.col("y"))).first()
     assert tuple(sums(once)) == pytest.approx((500, 1000, 2 * y.sum()))
     assert tuple(sums(often)) == pytest.approx((25_000, 50_000, 100 * y.sum()))
+
+
+def test_replay_in_arrays(spark):
+    """Trees of different depths, a null row, and a model without trees."""
+    a = trees.Tree(np.array([0, -1, 1, -1, -1]), np.array([1.0, 0, 2.0, 0, 0]), np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1]), np.array([[0.0], [1.0], [0.0], [2.0], [3.0]]), np.ones(5))
+    b = trees.Tree(np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([[5.0]]), np.ones(1))
+    rows = spark.createDataFrame([(0, [0.0, 9.0]), (1, [3.0, 1.0]), (2, [3.0, 3.0]), (3, None)], "k long, x array<double>")
+    told = {r["k"]: [(t["tree"], t["path"], t["value"], t["so_far"]) for t in r["r"]] for r in rows.select("k", trees.Ensemble((a, b), (1.0, 0.5), 10.0, "sum").replay("x").alias("r")).collect()}
+    last = lambda path, v: [(0, path, [v], [10 + v]), (1, [0], [5.0], [12.5 + v])]
+    assert told == {0: last([0, 1], 1.0), 1: last([0, 2, 3], 2.0), 2: last([0, 2, 4], 3.0), 3: last([0, 1], 1.0)}
+    assert {tuple(r[0]) for r in rows.select(trees.Ensemble((), (), 1.0, "sum").replay("x")).collect()} == {()}
+    assert trees.lists_of(np.arange(3), np.array([2, 0, 1])).to_pylist() == [[0, 1], [], [2]]
