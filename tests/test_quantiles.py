@@ -67,3 +67,19 @@ def test_correlations_of_two_hundred_columns(spark):
         both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
         want = np.corrcoef(x[both, i], x[both, j])[0, 1] if both.sum() > 1 and x[both, i].std() > 0 and x[both, j].std() > 0 else 0.0
         assert found[f"c{i}", f"c{j}"] == pytest.approx(want, abs=1e-9)
+
+
+def test_group_quantiles_never_gather_a_group(spark):
+    """Interpolated and discrete quantiles of groups of all sizes, as the aggregates say; no aggregate or task holds a group's values."""
+    rows = [(g, None if i % 11 == 0 else float((i * 37) % 101)) for g, n in (("a", 400), ("b", 3), ("c", 1), (None, 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    found = quantiles.group_quantiles(df, "g", "v", {"q1": 0.25, "q9": 0.9}, {"d0": 0.0, "d": 0.5, "d1": 1.0})
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    df.createOrReplaceTempView("grouped_values")
+    disc = ", ".join(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v) AS {n}" for n, q in (("d0", 0.0), ("d", 0.5), ("d1", 1.0)))
+    want = spark.sql(f"SELECT g, percentile(v, 0.25) AS q1, percentile(v, 0.9) AS q9, {disc} FROM grouped_values GROUP BY g")
+    order = lambda t: sorted(map(tuple, t.collect()), key=repr)
+    got = order(found)
+    assert [r[0] for r in got] == [r[0] for r in order(want)] and len(got) == 4
+    for a, b in zip(got, order(want), strict=True):
+        assert a[1:] == pytest.approx(b[1:]) if a[1] is not None else a == b
