@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import boosting, network
 
@@ -62,3 +63,17 @@ def test_network_of_odd_tables(spark):
     assert (model.mean, model.spread) == (1.0, 1.0)
     empty = network.fit(df.where("false"), "x", "y", 0)
     assert empty.shape.inputs == 0 and df.select(empty.predict("x")).limit(0).count() == 0
+
+
+def test_rows_are_packed_in_blocks(spark, monkeypatch):
+    """Many rows to a stored block; whatever the blocks, the gradient is that of all rows."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(500, 3)), rng.integers(0, 2, 500)
+    df = spark.createDataFrame([(list(map(float, r)), int(t)) for r, t in zip(x, y, strict=True)], "x array<double>, y int").coalesce(1)
+    shape = network.Shape(3, 4, 2)
+    want = shape.gradient(shape.start(1), x, y, True)
+    for block, least, most in ((1 << 19, 1, 8), (30, 50, 60)):
+        monkeypatch.setattr(network, "BLOCK", block)
+        rows = network.packed(df, "x", F.col("y"), 500)
+        assert least <= rows.count() <= most
+        assert network.summed_gradient(rows, shape, shape.start(1), True, 1) == pytest.approx(want)
