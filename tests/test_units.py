@@ -481,3 +481,23 @@ def test_counterfactuals_are_chosen_within_the_row(spark):
     found = evaluate.counterfactuals(df, {"a": [0.0, 5.0, 10.0], "b": [0.0, 10.0, 20.0, 40.0]}, F.col("a") + F.col("b"), F.col("predicted") >= 15, "k", 2)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 5.0, 15.0), (1, "b", 20.0, 23.0), (2, "b", 10.0, 60.0), (2, "b", 20.0, 70.0), (4, "b", 20.0, 20.0), (4, "b", 40.0, 40.0)]
+
+
+def test_silhouette_sums_rows_where_they_lie(spark):
+    """No probe is paired with a row in a join; repeated keys and missing vectors count as they did."""
+    from quern.operators import cluster
+
+    rng = np.random.default_rng(2)
+    rows = [(i // 2 if i < 10 else i, None if i == 30 else rng.normal(size=3).tolist(), i % 3 if i != 31 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, c int").repartition(3)
+    found = cluster.silhouette(df, "k", "v", "c", 60)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    each = []
+    for k, v, c in rows:
+        if v is None or c is None:
+            continue
+        m = {g: [np.linalg.norm(np.subtract(v, w)) for j, w, h in rows if h == g and j != k and w is not None] for g in range(3)}
+        m = {g: np.mean(d) for g, d in m.items() if d}
+        a, b = m[c], min(x for g, x in m.items() if g != c)
+        each.append((b - a) / max(a, b))
+    assert tuple(found.first()) == pytest.approx((np.mean(each), len(each)))
