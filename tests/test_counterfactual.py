@@ -85,3 +85,33 @@ def test_rows_that_need_or_find_no_change(spark, people):
     found = counterfactual.search(df, df, COLUMNS, F.expr(PREDICT), F.col("predicted") > 15, "k")
     each = counterfactual.agreement(found, "k", 120)
     assert set(r["column"] for r in each.collect()) <= set(COLUMNS) and each.agg(F.max("share")).first()[0] <= 1
+
+
+def test_copies_are_looked_up_once(spark, people, monkeypatch):
+    """Where every vector has copies the nearest other row is 0 away: no neighbours are searched, and only observed vectors are plausible."""
+    copies = [(i, *people[i % 40][1:]) for i in range(200)]
+    df = spark.createDataFrame(copies, "k long, x double, y double, g string").repartition(3)
+    monkeypatch.setattr(counterfactual.nearest, "neighbours", lambda *_, **__: pytest.fail("searched"))
+    got = {}
+    for r in counterfactual.search(df.where("k < 40"), df, COLUMNS, F.expr(PREDICT), F.col("predicted") > 15, "k").collect():
+        got.setdefault(r["k"], []).append((r["far"], r["columns"].count(","), round(r["cost"], 9), r["columns"]))
+    want = {k: v for k, v in brute(copies, 15).items() if v and k < 40}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert len({far for v in got.values() for far, *_ in v}) == 2
+
+
+def test_own_distance_of_some_copies(spark, people):
+    """A quantile among copies and single rows, and of tables of one row or none."""
+    x = np.array([[float(i), 0.0] for i in range(30)] + [[3.0, 0.0]] * 5 + [[99.0, 0.0], [200.0, 7.0]])
+    rows = lambda some: spark.createDataFrame([(v.tolist(),) for v in some], "x array<double>")
+    own = [np.sort(np.sqrt(((x - v) ** 2).sum(1)))[1] for v in x]
+    assert counterfactual.own_distance(counterfactual.distinct_vectors(rows(x))) == pytest.approx(np.quantile(own, 0.95))
+    assert counterfactual.own_distance(counterfactual.distinct_vectors(rows(x[:1]))) == float("inf") == counterfactual.own_distance(counterfactual.distinct_vectors(rows(x[:0])))
+
+
+def test_rows_of_one_file_are_dealt_before_they_are_tried(spark, people, monkeypatch):
+    monkeypatch.setattr(counterfactual, "TRIED", 100)
+    df = spark.createDataFrame(people, "k long, x double, y double, g string").coalesce(1)
+    space = counterfactual.Space(df, COLUMNS)
+    found = counterfactual.flips(space, df, len(people), F.expr(PREDICT), F.col("predicted") > 15, [("x",), ("y",)], 40, "k")
+    assert found.rdd.getNumPartitions() > 8 and found.count()
