@@ -3,10 +3,12 @@
 A forecaster's state is a vector, and a point moves it by one affine map, the same
 for every point: state' = A state + b y. So what a range of points does is A to the
 power of its length, and one vector, and ranges are put together without walking
-through them again. Series lie side by side by key, cut into ranges of time; every
-range is folded where it lies, a row for each range is carried along its series, and
+through them again. Series lie side by side by key in blocks of at most ``BLOCK``
+points; what a block holds of a series is a range. All ranges of a block are folded
+in one call, short ones a point of each at a time; series that lie in one block are
+done with that, of the others a row for each range is carried along the series, and
 only then points are looked at whose forecasts are asked for. A long series is as
-many tasks as it has ranges; many short ones share a task.
+many blocks as it needs; thousands of short ones share a block.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ LEAST_POINTS = 12
 LEAST_HELD, MOST_HELD, HELD_SHARE = 8, 60, 0.2
 HORIZON, MOST_AHEAD = 12, 28
 LOW, HIGH = 0.1, 0.9
+#: Points of a block, and how many of a range are walked side by side with other ranges.
+BLOCK, SHORT = 1 << 15, 256
 #: (most days between points, name, points of a season)
 FREQUENCIES = [(1.5, "daily", 7), (10, "weekly", None), (45, "monthly", 12), (135, "quarterly", 4), (550, "yearly", None)]
 
@@ -159,6 +163,30 @@ class Forecaster:
         """Where the points lead from zero."""
         return self.states(ys, np.zeros(self.season + 2))[-1] if len(ys) else np.zeros(self.season + 2)
 
+    def ends(self, ys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """ranges x state: where each range of the points leads from zero; short ones are walked side by side."""
+        a, b = self.step
+        out = np.zeros((len(starts), len(b)))
+        sizes = stops - starts
+        for i in np.flatnonzero(sizes > SHORT):
+            out[i] = self.end(ys[starts[i] : stops[i]])
+        short = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        left = len(short)
+        for j in range(sizes[short[0]] if left else 0):
+            while sizes[short[left - 1]] <= j:
+                left -= 1
+            some = short[:left]
+            out[some] = out[some] @ a.T + ys[starts[some] + j, None] * b
+        return out
+
+    def over_each(self, starts: np.ndarray, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``over`` for many ranges."""
+        out = np.empty_like(ends)
+        for n in np.unique(points):
+            out[points == n] = starts[points == n] @ np.linalg.matrix_power(self.step[0], int(n)).T + ends[points == n]
+        return out
+
     def over(self, start: np.ndarray, points: int, end: np.ndarray) -> np.ndarray:
         """Where as many points lead from a state, if they lead to ``end`` from zero."""
         return np.linalg.matrix_power(self.step[0], points) @ start + end
@@ -189,6 +217,22 @@ def holt_winters(alpha: float, beta: float, gamma: float, m: int) -> Forecaster:
 
 
 STATES = pa.list_(pa.list_(pa.float64()))
+#: A range: its block, its points, its first place in the block's order, the points before it and all of its series.
+NAMES = ["_p", "n", "first", "before", "total"]
+PLACED = ", ".join(f"{c} long" for c in NAMES)
+STATED = f"{PLACED}, states array<array<double>>"
+
+
+def lists(rows: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists, null where they aren't known."""
+    places = np.arange(len(rows) + 1) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(rows.ravel()), mask=pa.array(~known))
+
+
+def beside(columns: list[pa.Array], n: int) -> pa.Array:
+    """Lists that hold the n rows' values of several columns side by side."""
+    order = np.arange(n * len(columns)).reshape(len(columns), n).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(columns), pa.int32()), pa.concat_arrays(columns).take(pa.array(order)))
 
 
 class Scan:
@@ -196,42 +240,78 @@ class Scan:
 
     ``series``: (by..., t, y), one row for each time of a series. Two passes over
     the points; between them a row for each range is carried along its series.
+    Rows are grouped by block, never by series, so that a call has work for many.
     """
 
     def __init__(self, series: DataFrame, models: list[Forecaster], by: list[str] | None = None):
         self.models = models
         self.given, self.by = list(by or []), list(by or ["_all"])
         rows = (series if by else series.withColumn("_all", F.lit(0))).select(*self.by, "t", F.col("y").cast("double").alias("y"))
-        self.rows = in_ranges(rows, [*self.by, "t"])
+        self.ordered = in_ranges(rows, [*self.by, "t"])
+        block = F.shiftleft(F.col("_p").cast("long"), 32) + F.floor(F.col("_i") / BLOCK)  # in the order of the rows
+        self.rows = self.ordered.withColumn("_p", block)
         self.key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*self.by).schema)
         self.parts = stored(self._parts(), "series-parts")
-        self.states = stored(self._carried(self._folded()), "series-states")
+        folded = stored(self._folded(), "series-folded")
+        cut = folded.where("n < total").drop("states").groupBy(*self.by).applyInArrow(self._carry, f"{self.key}, {STATED}")
+        self.states = stored(folded.where("n = total").select(*self.by, *NAMES, "states").unionByName(cut), "series-states")
+        discard(folded)
 
     def _parts(self) -> DataFrame:
-        """(by, _p, n, before, total): the ranges of each series and where they begin in it."""
-        parts = self.rows.groupBy(*self.by, "_p").agg(F.count("*").alias("n"))
+        """(by, _p, n, first, before, total): the ranges of each series, where they begin in their block's order and where in their series."""
+        parts = self.rows.groupBy(*self.by, "_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
         series = Window.partitionBy(*self.by)  # a row for each range
         before = F.coalesce(F.sum("n").over(series.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return parts.select(*self.by, "_p", "n", before.alias("before"), F.sum("n").over(series).alias("total"))
+        return parts.select(*self.by, "_p", "n", "first", before.alias("before"), F.sum("n").over(series).alias("total"))
 
     def _with_parts(self, rows: DataFrame, others: DataFrame, fold, schema: str) -> DataFrame:
-        return rows.groupBy(*self.by, "_p").cogroup(others.groupBy(*self.by, "_p")).applyInArrow(fold, schema)
+        """``fold`` of each block: its rows in order, its ranges in order, and where each range starts and stops among the rows."""
 
-    def _folded(self) -> DataFrame:
-        """(by, _p, n, before, total, head, ends): where each range leads every forecaster from zero, and the points that starts are made of."""
-        models, most, key = self.models, max(f.needed for f in self.models), len(self.by)
+        def ordered(rows: pa.Table, parts: pa.Table) -> pa.Table:
+            rows, parts = rows.sort_by("_i"), parts.sort_by("first")
+            starts = np.searchsorted(rows["_i"].to_numpy(), parts["first"].to_numpy())
+            return fold(rows, parts, starts, starts + parts["n"].to_numpy())
 
-        def fold(rows: pa.Table, part: pa.Table) -> pa.Table:
-            ys, before = in_time(rows), part["before"][0].as_py()
-            ends = [f.end(ys[max(0, f.first - before) :]).tolist() for f in models]
-            columns = [*part.columns[:key], part["_p"], part["n"], part["before"], part["total"], pa.array([ys[: max(0, most - before)].tolist()], pa.list_(pa.float64())), pa.array([ends], STATES)]
-            return pa.Table.from_arrays(columns, names=[*part.column_names[:key], "_p", "n", "before", "total", "head", "ends"])
+        return rows.groupBy("_p").cogroup(others.groupBy("_p")).applyInArrow(ordered, schema)
 
-        return self._with_parts(self.rows, self.parts, fold, f"{self.key}, _p int, n long, before long, total long, head array<double>, ends array<array<double>>")
+    def _folded(self) -> DataFrame:
+        """(by, _p, n, first, before, total, head, ends, states): where each range leads every forecaster from zero, and the points that starts are made of.
+
+        A series of one range has its states instead: a row at its start, and one at _p = -1 after the last point.
+        """
+        models, most, by = self.models, max(f.needed for f in self.models), self.by
+
+        def fold(rows: pa.Table, parts: pa.Table, starts: np.ndarray, stops: np.ndarray) -> pa.Table:
+            ys, n, before = rows["y"].to_numpy(), parts["n"].to_numpy(), parts["before"].to_numpy()
+            skips = [np.minimum(n, np.maximum(0, f.first - before)) for f in models]
+            ends = [f.ends(ys, starts + skip, stops) for f, skip in zip(models, skips, strict=True)]
+            whole, cut = np.flatnonzero(n == parts["total"].to_numpy()), np.flatnonzero(n != parts["total"].to_numpy())
+            at, last = [], []
+            for f, skip, end in zip(models, skips, ends, strict=True):
+                fits = n[whole] >= f.needed
+                begun = np.full((len(whole), end.shape[1]), np.nan)
+                for k in np.flatnonzero(fits):
+                    begun[k] = f.start(ys[starts[whole[k]] : starts[whole[k]] + f.needed])
+                done = np.full_like(begun, np.nan)
+                done[fits] = f.over_each(begun[fits], (n - skip)[whole][fits], end[whole][fits])
+                at.append(lists(begun, fits))
+                last.append(lists(done, fits))
+            heads = [ys[starts[i] : starts[i] + min(n[i], max(0, most - before[i]))] for i in cut]
+            out = parts.take(pa.array(np.concatenate([cut, whole, whole])))
+            places = np.concatenate([parts["_p"].to_numpy()[np.concatenate([cut, whole])], np.full(len(whole), -1)])
+            told = {c: out[c] for c in by} | {"_p": pa.array(places, pa.int64())} | {c: out[c] for c in NAMES[1:]}
+            empty = [None] * 2 * len(whole)
+            told["head"] = pa.array([*heads, *empty], pa.list_(pa.float64()))
+            told["ends"] = pa.array([*([e[i].tolist() for e in ends] for i in cut), *empty], STATES)
+            told["states"] = pa.chunked_array([pa.array([None] * len(cut), STATES), beside(at, len(whole)), beside(last, len(whole))])
+            return pa.table(told)
+
+        return self._with_parts(self.rows, self.parts, fold, f"{self.key}, {PLACED}, head array<double>, ends array<array<double>>, states array<array<double>>")
 
-    def _carried(self, folded: DataFrame) -> DataFrame:
-        """(by, _p, n, before, total, states): each forecaster's state where a range starts, and at _p = -1 after the last point; null where the series is too short."""
-        models, key = self.models, len(self.by)
+    @property
+    def _carry(self):
+        """Each forecaster's state where a range of a series starts, and at _p = -1 after the last point; null where the series is too short."""
+        models, by = self.models, self.by
 
         def carry(ranges: pa.Table) -> pa.Table:
             ranges = ranges.sort_by("_p")
@@ -242,13 +322,11 @@ class Scan:
                 told.append([None if s is None else s.tolist() for s in at])
                 at = [None if s is None else f.over(s, max(0, before + n - max(f.first, before)), np.array(end)) for f, s, end in zip(models, at, ends, strict=True)]
             told.append([None if s is None else s.tolist() for s in at])
-            pick = [*range(ranges.num_rows), ranges.num_rows - 1]
-            out = ranges.take(pick)
-            places = [*ranges["_p"].to_pylist(), -1]
-            columns = [*out.columns[:key], pa.array(places, pa.int32()), out["n"], out["before"], out["total"], pa.array(told, STATES)]
-            return pa.Table.from_arrays(columns, names=[*out.column_names[:key], "_p", "n", "before", "total", "states"])
+            out = ranges.take([*range(ranges.num_rows), ranges.num_rows - 1])
+            places = pa.array([*ranges["_p"].to_pylist(), -1], pa.int64())
+            return pa.table({c: out[c] for c in by} | {"_p": places} | {c: out[c] for c in NAMES[1:]} | {"states": pa.array(told, STATES)})
 
-        return folded.groupBy(*self.by).applyInArrow(carry, f"{self.key}, _p int, n long, before long, total long, states array<array<double>>")
+        return carry
 
     def last_states(self) -> DataFrame:
         """(by, total, place, level, trend, season): the state of each forecaster after the last point."""
@@ -257,20 +335,24 @@ class Scan:
 
     def every_state(self) -> DataFrame:
         """(by, t, pos, y, level, trend, forecast): the first forecaster after each point, and what it had said of it; from its start on."""
-        model, key = self.models[0], len(self.by)
-
-        def walk(rows: pa.Table, part: pa.Table) -> pa.Table:
-            rows = rows.sort_by("t")
-            before, start = part["before"][0].as_py(), part["states"][0].as_py()[0]
-            skip = max(0, model.first - before)
-            ys = rows["y"].to_numpy()
-            states = np.tile(np.array(start if start is not None else [0.0] * (model.season + 2)), (len(ys), 1))
-            states[skip:] = model.states(ys[skip:], states[0])
-            said = np.vstack([states[:1] if skip else [start or states[0]], states[:-1]]) @ model.ahead(0)
-            told = rows if start is not None else rows.slice(0, 0)
-            forecast = pa.array([None if i < skip else float(v) for i, v in enumerate(said)], pa.float64()).slice(0, told.num_rows)
-            values = [pa.array(before + np.arange(len(ys))).slice(0, told.num_rows), told["y"], *[pa.array(states[:, i]).slice(0, told.num_rows) for i in (0, 1)], forecast]
-            return pa.Table.from_arrays([*told.columns[:key], told["t"], *values], names=[*told.column_names[:key], "t", "pos", "y", "level", "trend", "forecast"])
+        model, by = self.models[0], self.by
+
+        def walk(rows: pa.Table, parts: pa.Table, starts: np.ndarray, stops: np.ndarray) -> pa.Table:
+            ys, used, found = rows["y"].to_numpy(), [], []
+            for start, stop, before, state in zip(starts, stops, parts["before"].to_pylist(), parts["states"].to_pylist(), strict=True):
+                if state[0] is None:
+                    continue
+                n, skip = stop - start, min(stop - start, max(0, model.first - before))
+                states = np.tile(np.array(state[0]), (n, 1))
+                states[skip:] = model.states(ys[start + skip : stop], states[0])
+                forecast = np.vstack([[state[0]], states[:-1]]) @ model.ahead(0)
+                forecast[:skip] = np.nan
+                used.append(np.arange(start, stop))
+                found.append(np.column_stack([before + np.arange(n), states[:, :2], forecast]))
+            told = rows.take(pa.array(np.concatenate(used or [[]]), pa.int64()))
+            pos, level, trend, forecast = np.concatenate(found or [np.zeros((0, 4))]).T
+            values = {"pos": pa.array(pos.astype(np.int64)), "y": told["y"], "level": pa.array(level), "trend": pa.array(trend), "forecast": pa.array(forecast, mask=np.isnan(forecast) & (pos < model.first))}
+            return pa.table({c: told[c] for c in [*by, "t"]} | values)
 
         kind = self.rows.schema["t"].dataType.simpleString()
         told = self._with_parts(self.rows, self.states.where("_p >= 0"), walk, f"{self.key}, t {kind}, pos long, y double, level double, trend double, forecast double")
@@ -278,42 +360,30 @@ class Scan:
 
     def held_errors(self) -> DataFrame:
         """(by, total, place, errors): the errors of one-step forecasts of the held-out points, in order; only ranges that hold some are read again."""
-        models, key = self.models, len(self.by)
+        models, by = self.models, self.by
         held = self.states.where("_p >= 0").withColumn("start", F.col("total") - held_points(F.col("total"))).where(F.col("before") + F.col("n") > F.col("start"))
 
-        def walk(rows: pa.Table, part: pa.Table) -> pa.Table:
-            if not part.num_rows:
-                return pa.Table.from_arrays([*part.columns[:key], part["_p"], part["total"], pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64()))], names=names)
-            ys, before, start = in_time(rows), part["before"][0].as_py(), part["start"][0].as_py()
-            errors = []
-            for f, state in zip(models, part["states"][0].as_py(), strict=True):
-                if state is None:
-                    errors.append(None)
-                    continue
-                skip = max(0, f.first - before)
-                states = np.vstack([[state], f.states(ys[skip:], np.array(state))])[:-1]
-                said = states @ f.ahead(0)
-                first = max(0, start - before - skip)
-                errors.append((ys[skip + first :] - said[first:]).tolist())
-            many = len(models)
-            columns = [*[pa.array(c.to_pylist() * many, c.type) for c in part.columns[:key]], pa.array(part["_p"].to_pylist() * many, pa.int32()), pa.array(part["total"].to_pylist() * many), pa.array(range(many), pa.int32()), pa.array(errors, pa.list_(pa.float64()))]
-            return pa.Table.from_arrays(columns, names=names)
-
-        names = [*self.by, "_p", "total", "place", "errors"]
-        told = self._with_parts(self.rows.join(held.select(*self.by, "_p"), [*self.by, "_p"], "left_semi") if self._no_nulls() else self.rows, held, walk, f"{self.key}, _p int, total long, place int, errors array<double>")
+        def walk(rows: pa.Table, parts: pa.Table, starts: np.ndarray, stops: np.ndarray) -> pa.Table:
+            ys, used, places, found = rows["y"].to_numpy(), [], [], []
+            for i, (a, b, before, start, given) in enumerate(zip(starts, stops, *(parts[c].to_pylist() for c in ("before", "start", "states")), strict=True)):
+                for place, (f, state) in enumerate(zip(models, given, strict=True)):
+                    if state is None:
+                        continue
+                    skip = max(0, f.first - before)
+                    states = np.vstack([[state], f.states(ys[a + skip : b], np.array(state))])[:-1]
+                    first = max(0, start - before - skip)
+                    used.append(i)
+                    places.append(place)
+                    found.append((ys[a + skip + first : b] - (states @ f.ahead(0))[first:]).tolist())
+            out = parts.take(pa.array(used, pa.int64()))
+            return pa.table({c: out[c] for c in [*by, "_p", "total"]} | {"place": pa.array(places, pa.int32()), "errors": pa.array(found, pa.list_(pa.float64()))})
+
+        told = self._with_parts(self.rows.join(held.select("_p").distinct(), "_p", "left_semi"), held, walk, f"{self.key}, _p long, total long, place int, errors array<double>")
         whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_p", "errors"))), lambda e: e["errors"]))  # MOST_HELD of them at most
-        return told.where("errors IS NOT NULL").groupBy(*self.by, "total", "place").agg(whole.alias("errors")).select(*self.given, "total", "place", "errors")
-
-    def _no_nulls(self) -> bool:
-        """Whether keys can be joined by equality."""
-        return not self.given or self.parts.where(" OR ".join(f"`{c}` IS NULL" for c in self.by)).isEmpty()
+        return told.groupBy(*self.by, "total", "place").agg(whole.alias("errors")).select(*self.given, "total", "place", "errors")
 
     def discard(self) -> None:
-        discard(self.rows, self.parts, self.states)
-
-
-def in_time(rows: pa.Table) -> np.ndarray:
-    return rows.sort_by("t")["y"].to_numpy()
+        discard(self.ordered, self.parts, self.states)
 
 
 def held_points(n: Column) -> Column:

@@ -501,3 +501,36 @@ def test_silhouette_sums_rows_where_they_lie(spark):
         a, b = m[c], min(x for g, x in m.items() if g != c)
         each.append((b - a) / max(a, b))
     assert tuple(found.first()) == pytest.approx((np.mean(each), len(each)))
+
+
+def test_short_series_share_a_block(spark, monkeypatch):
+    """Ranges are grouped by block, not by series: thousands of short ones make few groups, and long ones are cut into several."""
+    monkeypatch.setattr(timeseries, "BLOCK", 100)
+    sizes = [1 + k % 7 for k in range(300)] + [450]
+    points = [(k if k else None, i, float((k * 31 + i * i * 7) % 23)) for k, n in enumerate(sizes) for i in range(n)]
+    models = [timeseries.ses(0.2), timeseries.holt(0.5, 0.1), timeseries.Forecaster("seasonalNaive", {"m": 3}, 4, 3)]
+    scan = timeseries.Scan(spark.createDataFrame(points, "k long, t long, y double").repartition(5), models, ["k"])
+    blocks = scan.parts.groupBy("_p").agg({"n": "sum", "*": "count"}).toDF("_p", "points", "ranges").collect()
+    assert max(b["points"] for b in blocks) <= 100 and len(blocks) < 40 and max(b["ranges"] for b in blocks) > 10
+    found = {(r["k"], r["place"]): (r["total"], r["level"], r["trend"], *r["season"]) for r in scan.last_states().collect()}
+    want = {}
+    for k, n in enumerate(sizes):
+        ys = np.array([y for key, _, y in points if key == (k if k else None)])
+        for place, f in enumerate(models):
+            if n >= f.needed:
+                want[k if k else None, place] = (n, *(f.states(ys[f.first :], f.start(ys))[-1] if n > f.first else f.start(ys)))
+    assert found.keys() == want.keys()
+    for key, state in want.items():
+        assert found[key] == pytest.approx(state)
+    scan.discard()
+
+
+def test_ends_of_many_ranges():
+    ys = np.random.default_rng(5).normal(size=2000)
+    starts = np.array([0, 3, 3, 10, 900, 1999, 2000])
+    stops = np.array([3, 3, 10, 900, 1999, 2000, 2000])
+    for f in timeseries.forecasters(7):
+        ends = f.ends(ys, starts, stops)
+        assert np.allclose(ends, [f.end(ys[a:b]) for a, b in zip(starts, stops, strict=True)])
+        begun = np.tile(np.arange(f.season + 2.0), (len(starts), 1))
+        assert np.allclose(f.over_each(begun, stops - starts, ends), [f.over(s, n, e) for s, n, e in zip(begun, stops - starts, ends, strict=True)])
