@@ -7,12 +7,14 @@ fits are MLlib's, on all rows that they are given.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from quern.functions import cells
 from quern.operators import metrics, models, split
@@ -25,6 +27,8 @@ LEAST_FOR_VALIDATION, TEST_SHARE, VALIDATION_SHARE = 60, 0.2, 0.2
 LEAK_SCORE, LEAK_ROWS, LEAK_BINS = 0.99, 20, 32
 BLEND_LEAST, BLEND_SIZE = 2, 3
 ROBUST_REPEATS = 5
+#: Repeats whose fits go on at the same time; each holds one dealing of the rows.
+AT_ONCE = 4
 NOTES = 20
 #: Families whose loss takes a weight for each row; the others are given resampled rows.
 WEIGHTED = ("logistic", "tree", "forest")
@@ -210,12 +214,14 @@ def blended(method: str, members: list[Column]) -> Column:
 def robust_rank(data: Prepared, families: list[str], classes: int = 2, repeats: int = ROBUST_REPEATS, seed: int = 42, task: str = "classification") -> DataFrame:
     """(model, mean, sd, folds): the families on halves of train and validation, both ways, dealt anew each time.
 
-    Encoders are fitted on each half alone; the test part is never read.
+    Encoders are fitted on each half alone; the test part is never read. Fits are
+    many short jobs that don't wait for each other: some repeats go on at once.
     """
     pool = data.rows.where("part <> 'test'").drop("part")
-    told = []
-    for repeat in range(repeats):
+
+    def dealt(repeat: int) -> list[tuple[str, float]]:
         halves = split.stratified(pool, data.label, data.key, 0.5, seed + 101 + repeat).persist()
+        told = []
         for one, other in (("train", "test"), ("test", "train")):
             encoders = data.recipe.fit(halves.where(F.col("part") == one))
             sides = {p: encoders.transform(halves.where(F.col("part") == p)).select(data.key, "features", F.col(data.label).cast("double").alias("label")) for p in (one, other)}
@@ -223,7 +229,12 @@ def robust_rank(data: Prepared, families: list[str], classes: int = 2, repeats:
                 model = fit(family, sides[one], classes, seed=seed, task=task)
                 told.append((family, measured(predicted(model, sides[other], data.key), task).first()["primary"]))
         halves.unpersist()
-    found = data.rows.sparkSession.createDataFrame(told, "model string, a double").groupBy("model")
+        return told
+
+    spark = data.rows.sparkSession
+    with ThreadPool(min(AT_ONCE, repeats)) as threads:
+        told = [t for each in threads.map(inheritable_thread_target(spark)(dealt), range(repeats), 1) for t in each]
+    found = spark.createDataFrame(told, "model string, a double").groupBy("model")
     mean = F.avg("a")
     return found.agg(mean.alias("mean"), F.stddev_samp("a").alias("sd"), F.count("a").alias("folds")).orderBy(F.asc("mean") if task == "regression" else F.desc("mean"), "model")
 

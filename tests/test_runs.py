@@ -1,6 +1,7 @@
 """Preparation, families, rankings, blends, leaks and comparisons on small tables."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,17 @@ def test_the_number_of_clusters_is_the_one_that_is_there(spark):
     flat = df.select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
     spread = cluster.project(flat, "id", ["x", "y"]).agg(F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).first()
     assert spread[0] > spread[1] and spread[2] == pytest.approx(0, abs=1e-6)
+
+
+def test_robust_ranking_repeats_go_on_at_once(prepared, monkeypatch):
+    """Every fit waits for one of the other repeat, and the figures are those of repeats on their own."""
+    alone = runs.robust_rank(prepared, ["tree"], repeats=2).first()
+    meet, plain = threading.Barrier(2), runs.fit
+
+    def fit(*given, **named):
+        meet.wait(60)
+        return plain(*given, **named)
+
+    monkeypatch.setattr(runs, "fit", fit)
+    found = runs.robust_rank(prepared, ["tree"], repeats=2).first()
+    assert found["folds"] == 4 and found["mean"] == pytest.approx(alone["mean"])
