@@ -180,3 +180,22 @@ def test_replay_in_arrays(spark):
     assert told == {0: last([0, 1], 1.0), 1: last([0, 2, 3], 2.0), 2: last([0, 2, 4], 3.0), 3: last([0, 1], 1.0)}
     assert {tuple(r[0]) for r in rows.select(trees.Ensemble((), (), 1.0, "sum").replay("x")).collect()} == {()}
     assert trees.lists_of(np.arange(3), np.array([2, 0, 1])).to_pylist() == [[0, 1], [], [2]]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_a_pass_serves_two_levels(spark, points, monkeypatch, depth):
+    """Where one task has all rows: half the passes, and the trees that a pass for each level gives."""
+    x, y = points
+    df = table(spark, x, np.minimum(np.digitize(y, [1.5, 4.0]), 2))
+    passes = []
+    histograms = boosting.Boosters.histograms
+    monkeypatch.setattr(boosting.Boosters, "histograms", lambda self, *given: passes.append(1) or histograms(self, *given))
+    fit = lambda: boosting.fit_classifier(df, "x", "y", 3, boosting.Settings(rounds=3, depth=depth, bins=16))
+    fast, n = fit(), len(passes)
+    monkeypatch.setattr(boosting, "PAIRS", 0)
+    slow = fit()
+    assert (n, len(passes) - n) == (3 * -(-depth // 2), 3 * depth)
+    for a, b in zip((t for e in fast.boosters for t in e.trees), (t for e in slow.boosters for t in e.trees), strict=True):
+        # The order of nodes is the same too.
+        assert (a.feature.tolist(), a.threshold.tolist(), a.left.tolist(), a.rows.tolist()) == (b.feature.tolist(), b.threshold.tolist(), b.left.tolist(), b.rows.tolist())
+        assert a.value == pytest.approx(b.value, abs=1e-12)
