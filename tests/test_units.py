@@ -1,6 +1,7 @@
 """Hand-computed cases on small tables."""
 
 import json
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -460,6 +461,23 @@ def test_range_join_of_crowded_values(spark, monkeypatch):
     assert only.columns == ["x", "low", "high"] and only.count() == len(want)
 
 
+def test_range_join_hands_rows_on_without_gathering_them(spark, monkeypatch):
+    """The two sides of a pair of blocks become rows in two compiled loops, so that one holds a block's rows and not its square; nulls and structs stay."""
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    points = spark.range(200).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), (F.col("id") % 3).cast("double").alias("x"))
+    ranges = spark.range(90).select(F.struct(F.col("id").alias("n")).alias("r"), (F.col("id") % 4).cast("double").alias("low"), (F.col("id") % 4 + 1).cast("double").alias("high"))
+    told = joins.range_join(points, ranges, "x", "low", "high", 10.0)
+    want = [(i if i % 7 else -1, float(i % 3), n) for i in range(200) for n in range(90) if n % 4 == i % 3]
+    assert sorted((-1 if t["id"] is None else t["id"], t["x"], t["r"]["n"]) for t in told.collect()) == sorted(want)
+    wide = joins.range_join(points.withColumn("also", F.col("x") + 1), ranges.withColumn("name", F.lit("a")), "x", "low", "high", 10.0)
+    assert wide.columns == ["id", "x", "also", "r", "low", "high", "name"] and wide.where("also = x + 1 AND name = 'a'").count() == len(want)
+    loops = {}
+    for line in told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines():
+        if found := re.search(r"\*\((\d+)\) Generate explode\((_[pr])\b", line):
+            loops[found[2]] = int(found[1])
+    assert set(loops) == {"_p", "_r"} and loops["_p"] != loops["_r"]
+
+
 def test_isolation_depths_a_level_at_a_time():
     """Trees in heap order say what the nested ones say, for equal and missing values too, in one step for each level."""
     rng = np.random.default_rng(3)
